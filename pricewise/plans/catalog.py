@@ -1,6 +1,6 @@
 """Import every catalog module so that all queries and SQL twins register."""
 
-from . import catalog_growth  # noqa: F401
+from . import catalog_growth, catalog_revisions  # noqa: F401
 from .oracle import SQL
 from .queries import QUERIES
 
