@@ -97,12 +97,14 @@ def _scaled(daily: DataFrame, keys: list[str], col: str) -> tuple[DataFrame, Dat
     return u, stats
 
 
-def _z(u: Column, lam: Column) -> Column:
-    return F.when(F.abs(lam) < LAMBDA_EPS, u).otherwise((F.exp(lam * u) - 1) / lam)
+def _parallelism(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+               spark.sparkContext.defaultParallelism)
 
 
-def _around_best(step: float):
-    return lambda j: F.col("_lam") + j * F.lit(step)
+def _z(u: Column, lam: Column) -> Column:
+    return F.when(F.abs(lam) < LAMBDA_EPS, u).otherwise((F.exp(lam * u) - 1) / lam)
 
 
 def _best_lambda(cands: DataFrame, keys: list[str]) -> DataFrame:
@@ -112,32 +114,46 @@ def _best_lambda(cands: DataFrame, keys: list[str]) -> DataFrame:
     return var.groupBy(*keys).agg(F.min_by("_lam", F.struct("_v", "_lam")).alias("_lam"))
 
 
+# Fixed search plan: a grid over [lo, hi], then refinement rounds of
+# 2*REFINE_HALF+1 candidates at each step around each group's best.
+REFINE_STEPS = (1e-2, 1e-3, 1e-4, 1e-5)
+REFINE_HALF = 10
+
+
 def boxcox_fit(daily: DataFrame, keys: list[str], col: str = "asking_price",
                lo: float = -5.0, hi: float = 5.0, step: float = 0.1,
-               refinements: int = 4) -> DataFrame:
+               refine_steps: tuple[float, ...] = REFINE_STEPS, refine_half: int = REFINE_HALF) -> DataFrame:
     """Maximum-likelihood Box-Cox lambda per group.
 
     The log-likelihood (l-1) sum(ln x) - n/2 ln var(y_l) equals, up to a
     constant, -n/2 ln var of the transform of x divided by its geometric mean,
     so each group's best lambda minimises that variance, which is computed
-    without cancellation. One aggregate scores a grid [lo, hi] for all groups,
-    then each refinement scores 21 points around each group's best at a ten
-    times finer step. Groups with fewer than two values or a single value get
-    NULL. Output: keys, ``normalize_lambda``, ``log_gmean``."""
+    without cancellation. One aggregate scores a grid [lo, hi] for all groups
+    at once; each refinement scores 2*refine_half+1 points around each group's
+    best at a finer step (final resolution: the last step). The rounds form one
+    plan over the (small) scaled table; only the result, one row per group, is
+    materialised. Groups with fewer than two values or a single value get NULL.
+    Output: keys, ``normalize_lambda``, ``log_gmean``."""
     u, stats = _scaled(daily, keys, col)
-    u = u.checkpoint(eager=True)
+    # The daily table is small, so adaptive execution packs it into very few
+    # partitions; every row then fans out into hundreds of candidates. Spread
+    # it over the cluster first (an explicit count is not coalesced).
+    u = u.repartition(_parallelism(daily))
     m = int(round((hi - lo) / step))
-    grid = u.select(*keys, "_u", F.explode(F.transform(F.sequence(F.lit(0), F.lit(m)),
-                                                       lambda i: F.lit(lo) + i * F.lit(step))).alias("_lam"))
+    # Candidates come from exploding a plain integer sequence; lambda is
+    # computed in the next projection so the whole stage stays code-generated.
+    grid = (u.select(*keys, "_u", F.explode(F.sequence(F.lit(0), F.lit(m))).alias("_i"))
+            .select(*keys, "_u", (F.lit(lo) + F.col("_i") * F.lit(step)).alias("_lam")))
     best = _best_lambda(grid, keys)
-    for r in range(1, refinements + 1):
-        fine = step / 10 ** r
-        cands = (u.join(best, keys)
-                 .select(*keys, "_u", F.explode(F.transform(
-                     F.sequence(F.lit(-10), F.lit(10)), _around_best(fine))).alias("_lam")))
+    for fine in refine_steps:
+        cands = (u.join(best.withColumnRenamed("_lam", "_b"), keys)
+                 .select(*keys, "_u", "_b",
+                         F.explode(F.sequence(F.lit(-refine_half), F.lit(refine_half))).alias("_j"))
+                 .select(*keys, "_u", (F.col("_b") + F.col("_j") * F.lit(fine)).alias("_lam")))
         best = _best_lambda(cands, keys)
     return (stats.join(best, keys, "left")
-            .select(*keys, F.col("_lam").alias("normalize_lambda"), F.col("_lgm").alias("log_gmean")))
+            .select(*keys, F.col("_lam").alias("normalize_lambda"), F.col("_lgm").alias("log_gmean"))
+            .checkpoint(eager=True))
 
 
 def boxcox_transform(daily: DataFrame, params: DataFrame, keys: list[str],
@@ -170,7 +186,10 @@ def boxcox_growth(daily: DataFrame, keys: tuple[str, ...] = ("location", "proper
     daily prices against days since the group's first day, the transform's
     parameters, and the growth factor over ``days``."""
     keys = list(keys)
-    params = boxcox_fit(daily, keys, col, refinements=refinements)
+    # The daily table is read by the fit, the transform and the line fit:
+    # materialise it once (it is bounded by groups x days).
+    daily = daily.checkpoint(eager=True)
+    params = boxcox_fit(daily, keys, col)
     rows, groups = boxcox_transform(daily, params, keys, col)
     rows = days_since_start(rows.filter(F.col("target").isNotNull()), keys, date_col, "_days")
     fits = trend_fit(rows, keys, "_days", "target")

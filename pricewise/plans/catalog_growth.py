@@ -365,25 +365,28 @@ FROM fits"""))
 
 # ------------------------------------------------------------------ I1-I3, I6, I8, I9, D11, I26
 
-def boxcox_sql(refinements: int = 4, lo: float = -5.0, hi: float = 5.0, step: float = 0.1) -> str:
+def boxcox_sql(lo: float = -5.0, hi: float = 5.0, step: float = 0.1) -> str:
     """CTEs bc_params (keys, normalize_lambda, log_gmean), bc_rows (daily rows
     with target) and bc_groups (keys, lambda, mean, std) over ``daily``."""
     z = "CASE WHEN abs(lam) < 1e-12 THEN u ELSE (exp(lam * u) - 1) / lam END"
     m = int(round((hi - lo) / step))
+    h = G.REFINE_HALF
     parts = [f"""
 bc_pos AS (SELECT {K}, asking_price AS x FROM daily WHERE asking_price > 0),
 bc_gst AS (SELECT {K}, avg(ln(x)) AS lgm, count(x) AS n, min(x) AS mn, max(x) AS mx FROM bc_pos GROUP BY {K}),
 bc_u AS (SELECT {K}, ln(x) - lgm AS u FROM bc_pos JOIN bc_gst USING ({K}) WHERE n >= 2 AND mx > mn),
 bc_b0 AS (SELECT {K}, arg_min(lam, {{'v': v, 'l': lam}}) AS lam FROM (
   SELECT {K}, lam, var_pop({z}) AS v
-  FROM (SELECT {K}, u, {lo!r} + i * {step!r} AS lam FROM bc_u, range(0, {m + 1}) t(i)) GROUP BY {K}, lam)
+  FROM (SELECT {K}, u, CAST({lo!r} AS DOUBLE) + i * CAST({step!r} AS DOUBLE) AS lam
+        FROM bc_u, range(0, {m + 1}) t(i)) GROUP BY {K}, lam)
   GROUP BY {K})"""]
-    for r in range(1, refinements + 1):
-        fine = step / 10 ** r
+    refinements = len(G.REFINE_STEPS)
+    for r, fine in enumerate(G.REFINE_STEPS, start=1):
         parts.append(f"""
 bc_b{r} AS (SELECT {K}, arg_min(lam, {{'v': v, 'l': lam}}) AS lam FROM (
   SELECT {K}, lam, var_pop({z}) AS v
-  FROM (SELECT {K}, u, b.lam + j * {fine!r} AS lam FROM bc_u JOIN bc_b{r - 1} b USING ({K}), range(-10, 11) t(j))
+  FROM (SELECT {K}, u, b.lam + j * CAST({fine!r} AS DOUBLE) AS lam
+        FROM bc_u JOIN bc_b{r - 1} b USING ({K}), range({-h}, {h + 1}) t(j))
   GROUP BY {K}, lam) GROUP BY {K})""")
     zr = "CASE WHEN abs(normalize_lambda) < 1e-12 THEN ln(asking_price) - log_gmean " \
          "ELSE (exp(normalize_lambda * (ln(asking_price) - log_gmean)) - 1) / normalize_lambda END"
@@ -428,7 +431,7 @@ SELECT {K}, round(normalize_lambda, 5) AS normalize_lambda, round(log_gmean, 9)
 
 @query("i2_boxcox_transform")
 def q_boxcox_transform(spark, sf_dir):
-    daily = daily_table(spark, sf_dir)
+    daily = daily_table(spark, sf_dir).checkpoint(eager=True)
     rows, groups = G.boxcox_transform(daily, G.boxcox_fit(daily, KEYS), KEYS)
     return rounded(rows.select(*KEYS, "listing_dt", "asking_price", "target"), 4, target=6)
 
@@ -465,7 +468,7 @@ FROM bc_coefs"""))
 
 @query("i9_qq_points")
 def q_qq(spark, sf_dir):
-    daily = daily_table(spark, sf_dir)
+    daily = daily_table(spark, sf_dir).checkpoint(eager=True)
     rows, _ = G.boxcox_transform(daily, G.boxcox_fit(daily, KEYS), KEYS)
     return rounded(D.qq_points(rows, KEYS, "target"), 6)
 
@@ -500,7 +503,7 @@ SELECT {K}, round(lower_act, 4) AS lower_act, round(upper_act, 4) AS upper_act,
 
 @query("i26_growth_check")
 def q_growth_check(spark, sf_dir):
-    daily = daily_table(spark, sf_dir)
+    daily = daily_table(spark, sf_dir).checkpoint(eager=True)
     coefs = G.boxcox_growth(daily, KEYS)
     return rounded(G.growth_check(coefs, daily, KEYS), 6, lower_pred=2, upper_pred=2,
                    lower_act=4, upper_act=4)
