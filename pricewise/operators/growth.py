@@ -83,6 +83,16 @@ def growth_ranking(df: DataFrame, group_col: str = "property_type", growth_col:
             .orderBy(F.desc(group_col), F.desc(growth_col)))
 
 
+def fit_messages(fits: DataFrame, group_col: str = "property_type") -> DataFrame:
+    """Per fitted line a capitalised group label and the message
+    "<group> - Slope: <coef>, Intercept: <intercept to 2 digits>"."""
+    return fits.withColumns({
+        "label": F.initcap(F.col(group_col)),
+        "message": F.format_string("%s - Slope: %.10f, Intercept: %.2f", F.col(group_col),
+                                   F.col("coef"), F.col("intercept")),
+    })
+
+
 # ---------------------------------------------------------------- Box-Cox
 
 def _scaled(daily: DataFrame, keys: list[str], col: str) -> tuple[DataFrame, DataFrame]:

@@ -20,14 +20,22 @@ def _day(df: DataFrame, date_col: str) -> Column:
 
 def daily_price(df: DataFrame, agg="median", group_col: str = "property_type",
                 by: tuple[str, ...] = ("location",), value: str = "asking_price",
-                date_col: str = "listing_dt", method: str = "percentile") -> DataFrame:
-    """One row per (by..., group_col, day) with the aggregated price.
+                date_col: str = "listing_dt", method: str = "percentile",
+                transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One row per (by..., group_col, day) with the aggregated price.
 
     ``agg`` is 'median', 'mean', 'log10_mean' or any Column -> Column aggregate
     builder. Daily groups are small, so the median uses Spark's ``percentile``
-    by default; pass ``method='ranked'`` for the fully distributed plan."""
+    by default; pass ``method='ranked'`` for the fully distributed plan.
+    ``transform`` is applied to the aggregated table (keyed by group), e.g. a
+    per-group Box-Cox standardisation."""
     keys = [*by, group_col, date_col]
     base = df.select(*by, group_col, _day(df, date_col).alias(date_col), value)
+    out = _daily_agg(base, keys, agg, value, method)
+    return transform(out) if transform else out
+
+
+def _daily_agg(base: DataFrame, keys: list[str], agg, value: str, method: str) -> DataFrame:
     if agg == "median":
         return group_quantiles(base, keys, value, [0.5], [value], method=method)
     if agg == "mean":

@@ -219,6 +219,16 @@ register("d4_daily_median_price", with_ctes(LISTING, CLEANED, DAILY, body=f"""
 SELECT {K}, listing_dt, round(asking_price, 4) AS asking_price FROM daily"""))
 
 
+@query("d4_daily_mean_price")
+def q_daily_mean(spark, sf_dir):
+    return rounded(P.daily_price(cleaned_listings(spark, sf_dir), agg="mean"), 4)
+
+
+register("d4_daily_mean_price", with_ctes(LISTING, CLEANED, body=f"""
+SELECT {K}, listing_dt, round(avg(asking_price), 4) AS asking_price
+FROM cleaned GROUP BY {K}, listing_dt"""))
+
+
 @query("d4_daily_log10_mean_price")
 def q_daily_log_mean(spark, sf_dir):
     return rounded(P.daily_price(cleaned_listings(spark, sf_dir), agg="log10_mean"), 9)
@@ -363,6 +373,21 @@ SELECT {K}, round(coef, 14) AS coef, round(intercept, 9) AS intercept, round(r2,
 FROM fits"""))
 
 
+@query("h10_fit_messages")
+def q_messages(spark, sf_dir):
+    fits = G.growth_log_linear(cleaned_listings(spark, sf_dir), KEYS)
+    return G.fit_messages(fits).select(*KEYS, "label", "message")
+
+
+register("h10_fit_messages", with_ctes(LISTING, CLEANED, f"""
+rows_ AS (SELECT {K}, listing_dt, log10(asking_price) AS y FROM cleaned WHERE asking_price > 0),
+xy AS (SELECT {K}, y, date_diff('day', min(listing_dt) OVER (PARTITION BY {K}), listing_dt) AS x FROM rows_),
+fits AS (SELECT {K}, regr_slope(y, x) AS coef, regr_intercept(y, x) AS intercept FROM xy GROUP BY {K})""", body=f"""
+SELECT {K}, upper(property_type[1]) || lower(property_type[2:]) AS label,
+       printf('%s - Slope: %.10f, Intercept: %.2f', property_type, coef, intercept) AS message
+FROM fits"""))
+
+
 # ------------------------------------------------------------------ I1-I3, I6, I8, I9, D11, I26
 
 def boxcox_sql(lo: float = -5.0, hi: float = 5.0, step: float = 0.1) -> str:

@@ -44,6 +44,16 @@ register("d9_revisions_by_date", with_ctes(REVISION, body="""
 SELECT price_revision_dt, count(revised_purchase_price) AS revision_count FROM revision GROUP BY price_revision_dt"""))
 
 
+@query("d1_revisions_per_listing")
+def q_rev_per_listing(spark, sf_dir):
+    from ..operators.profile import value_counts
+    return value_counts(revisions(spark, sf_dir), "listing_id")
+
+
+register("d1_revisions_per_listing", with_ctes(REVISION, body="""
+SELECT listing_id, count(*) AS count FROM revision GROUP BY listing_id"""))
+
+
 @query("e2_revision_count")
 def q_rev_count(spark, sf_dir):
     return rounded(R.with_revision_count(revisions(spark, sf_dir)), 4)
@@ -253,13 +263,13 @@ FROM split"""))
 
 @query("f6_sample_n")
 def q_sample_n(spark, sf_dir):
-    s = RW.sample_n(cleaned_listings(spark, sf_dir), 1000, "listing_id", SEED)
+    s = RW.sample_n(cleaned_listings(spark, sf_dir), 10000, "listing_id", SEED)
     return s.select("listing_dt", "asking_price", "location").orderBy("location", "listing_dt")
 
 
 register("f6_sample_n", with_ctes(LISTING, CLEANED, body=f"""
 SELECT listing_dt, asking_price, location FROM cleaned
-ORDER BY md5(CAST(listing_id AS VARCHAR) || '-{SEED}'), listing_id LIMIT 1000"""))
+ORDER BY md5(CAST(listing_id AS VARCHAR) || '-{SEED}'), listing_id LIMIT 10000"""))
 
 
 @query("d18_class_balance")
@@ -557,3 +567,15 @@ ca AS (SELECT c.label, c.prediction, c.cell, count(s.revision) AS count_a FROM c
 cb AS (SELECT c.label, c.prediction, count(s.revision) AS count_b FROM cells c
        LEFT JOIN bp s ON s.revision = c.label AND s.y_pred = c.prediction GROUP BY ALL)""", body="""
 SELECT label, prediction, cell, count_a, count_b, count_b - count_a AS change FROM ca JOIN cb USING (label, prediction)"""))
+
+
+@query("i25_interaction_model_comparison")
+def q_interactions(spark, sf_dir):
+    """RP:352-373: refit with the (location x time_listed) interaction and
+    compare confusion cells of both models on the training rows."""
+    tf, model, _ = fitted(spark, sf_dir, cv=True)
+    plain = M.score(model, tf, FT.EXTENDED)
+    tfi = FT.interactions(tf, "location", "time_listed").checkpoint(eager=True)
+    cols = FT.EXTENDED + ["location_x_time_listed"]
+    res = M.fit_logistic_cv(tfi, cols, "revision", "row_idx")
+    return EV.compare_models(plain, M.score(res.model, tfi, cols))
