@@ -317,7 +317,7 @@ def q_days(spark, sf_dir):
 
 register("e3_days_since_start", with_ctes(LISTING, CLEANED, DAILY, body=f"""
 SELECT {K}, listing_dt, round(asking_price, 4) AS asking_price,
-       date_diff('day', min(listing_dt) OVER (PARTITION BY {K}), listing_dt) AS days
+       CAST(date_diff('day', min(listing_dt) OVER (PARTITION BY {K}), listing_dt) AS INTEGER) AS days
 FROM daily"""))
 
 
@@ -328,9 +328,10 @@ def _log_daily(spark, sf_dir):
 
 _LOG_DAILY_SQL = f"""
 ld AS (SELECT {K}, listing_dt, log10(asking_price) AS log10_price,
-              date_diff('day', min(listing_dt) OVER (PARTITION BY {K}), listing_dt) AS days FROM daily),
+              CAST(date_diff('day', min(listing_dt) OVER (PARTITION BY {K}), listing_dt) AS INTEGER) AS days
+       FROM daily),
 fits AS (SELECT {K}, regr_slope(log10_price, days) AS coef, regr_intercept(log10_price, days) AS intercept,
-                regr_r2(log10_price, days) AS r2, regr_count(log10_price, days) AS n FROM ld GROUP BY {K})"""
+                regr_r2(log10_price, days) AS r2, CAST(regr_count(log10_price, days) AS BIGINT) AS n FROM ld GROUP BY {K})"""
 
 
 @query("i4_trend_fit")
@@ -364,11 +365,11 @@ register("i7_growth_log_linear", with_ctes(LISTING, CLEANED, f"""
 rows_ AS (SELECT {K}, listing_dt, log10(asking_price) AS y FROM cleaned WHERE asking_price > 0),
 xy AS (SELECT {K}, y, date_diff('day', min(listing_dt) OVER (PARTITION BY {K}), listing_dt) AS x FROM rows_),
 fits AS (SELECT {K}, regr_slope(y, x) AS coef, regr_intercept(y, x) AS intercept,
-                regr_r2(y, x) AS r2, regr_count(y, x) AS n FROM xy GROUP BY {K})""", body=f"""
+                regr_r2(y, x) AS r2, CAST(regr_count(y, x) AS BIGINT) AS n FROM xy GROUP BY {K})""", body=f"""
 SELECT {K}, round(coef, 14) AS coef, round(intercept, 9) AS intercept, round(r2, 9) AS r2, n,
        round(pow(10.0, coef * 730), 9) AS growth_2_yr,
-       row_number() OVER (PARTITION BY property_type ORDER BY pow(10.0, coef * 730) DESC, location,
-                          coef, intercept, r2, n) AS rank,
+       CAST(row_number() OVER (PARTITION BY property_type ORDER BY pow(10.0, coef * 730) DESC, location,
+                          coef, intercept, r2, n) AS INTEGER) AS rank,
        pow(10.0, coef * 730) > 1 AS grew
 FROM fits"""))
 
@@ -431,7 +432,7 @@ bc_rows AS (SELECT bc_z.{K.replace(', ', ', bc_z.')}, listing_dt, asking_price,
 bc_fit_rows AS (SELECT *, date_diff('day', min(listing_dt) OVER (PARTITION BY {K}), listing_dt) AS days
                 FROM bc_rows WHERE target IS NOT NULL),
 bc_fits AS (SELECT {K}, regr_slope(target, days) AS coef, regr_intercept(target, days) AS intercept,
-                   regr_r2(target, days) AS r2, regr_count(target, days) AS n FROM bc_fit_rows GROUP BY {K}),
+                   regr_r2(target, days) AS r2, CAST(regr_count(target, days) AS BIGINT) AS n FROM bc_fit_rows GROUP BY {K}),
 bc_coefs AS (SELECT f.*, g.normalize_lambda, g.normalized_mean, g.normalized_std,
    CASE WHEN abs(g.normalize_lambda) < 1e-12 THEN exp(g.normalized_std * f.coef * {G.GROWTH_DAYS}.0)
         ELSE pow(1 + g.normalize_lambda * g.normalized_std * f.coef * {G.GROWTH_DAYS}.0
@@ -485,8 +486,8 @@ def _r(cols: dict) -> str:
 
 register("i6_boxcox_growth_ranking", with_ctes(LISTING, CLEANED, DAILY, boxcox_sql(), body=f"""
 SELECT {K}, n, {_r(_COEF_ROUND)},
-       row_number() OVER (PARTITION BY property_type ORDER BY growth_975_days DESC, location, coef, intercept,
-                          r2, n, normalize_lambda, normalized_mean, normalized_std) AS rank,
+       CAST(row_number() OVER (PARTITION BY property_type ORDER BY growth_975_days DESC, location, coef, intercept,
+                          r2, n, normalize_lambda, normalized_mean, normalized_std) AS INTEGER) AS rank,
        growth_975_days > 1 AS grew
 FROM bc_coefs"""))
 

@@ -493,7 +493,7 @@ ps AS (SELECT proba AS threshold, sum(CAST(revision = 1 AS BIGINT)) AS pos, sum(
        FROM scored GROUP BY proba),
 cum AS (SELECT *, sum(pos) OVER (ORDER BY threshold DESC) AS pos_cum, sum(neg) OVER (ORDER BY threshold DESC) AS neg_cum,
                sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM ps)""", body="""
-SELECT round(threshold, 12) AS threshold, pos, neg, round(pos_cum / P, 12) AS tpr, round(neg_cum / N, 12) AS fpr,
+SELECT round(threshold, 12) AS threshold, CAST(pos AS BIGINT) AS pos, CAST(neg AS BIGINT) AS neg, round(pos_cum / P, 12) AS tpr, round(neg_cum / N, 12) AS fpr,
        round(sum(neg * (pos_cum - pos + pos / 2.0) / (P * N)) OVER (), 12) AS auc
 FROM cum"""))
 
