@@ -25,12 +25,23 @@ CS = [10 ** (-8 + 12 * i / 19) for i in range(20)]
 FOLDS = 5
 MAX_ITER = 200
 TOL = 1e-6
+# Rows per partition of a table an iterative solver passes over many times.
+ROWS_PER_PARTITION = 1_000_000
 
 
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(df)
 
 
+def solver_table(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Materialise a table that a solver reads once per iteration: partitions
+    sized by its row count (each pass costs one task per partition), written
+    to the checkpoint folder (lineage cut) and cached."""
+    n = df.count()
+    parts = max(1, math.ceil(n / rows_per_partition))
+    return df.repartition(parts).checkpoint(eager=True).persist()
+
+
 def fit_logistic(df: DataFrame, features: list[str], label: str, C: float,
                  weight_col: str | None = "weight", max_iter: int = MAX_ITER,
                  weight_sum: float | None = None) -> LogisticRegressionModel:
@@ -38,14 +49,18 @@ def fit_logistic(df: DataFrame, features: list[str], label: str, C: float,
 
     Spark minimises sum_i w_i logloss_i / sum_i w_i + regParam/2 |w|^2, which
     is the same problem scaled by 1/(C sum w): regParam = 1/(C * sum w)."""
+    cols = ["features", label] + ([weight_col] if weight_col else [])
+    data = solver_table(assemble(df, features).select(*cols))
     if weight_sum is None:
-        weight_sum = (df.agg(F.sum(weight_col)).first()[0] if weight_col else df.count())
+        weight_sum = (data.agg(F.sum(weight_col)).first()[0] if weight_col else data.count())
     lr = LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / (C * weight_sum),
                             elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=TOL,
                             fitIntercept=True, family="binomial")
     if weight_col:
         lr.setWeightCol(weight_col)
-    return lr.fit(assemble(df, features))
+    model = lr.fit(data)
+    data.unpersist()
+    return model
 
 
 def score(model: LogisticRegressionModel, df: DataFrame, features: list[str],
@@ -112,8 +127,7 @@ def fit_logistic_cv(train: DataFrame, features: list[str], label: str, order: st
     data = stratified_folds(balanced_weights(train, label), label, order, folds)
     # Every fit iterates over this table: cut its lineage once (checkpoint in
     # the shared folder, then cache) instead of recomputing it per pass.
-    data = (assemble(data, features).select("features", label, "weight", "fold")
-            .checkpoint(eager=True).persist())
+    data = solver_table(assemble(data, features).select("features", label, "weight", "fold"))
     sums = dict(data.groupBy("fold").agg(F.sum("weight")).collect())
     total = sum(sums.values())
 
