@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normal import with_norm_ppf
@@ -103,12 +103,23 @@ def kde(df: DataFrame, col: str, by: list[str] | None = None, points: int = 100,
                                                              * math.sqrt(2 * math.pi))).alias("density"))
 
 
-def qq_points(df: DataFrame, keys: list[str], col: str) -> DataFrame:
+def qq_points(df: DataFrame, keys: list[str], col: str, method: str = "ranked") -> DataFrame:
     """Normal Q-Q points per group: sorted values against the normal
     quantiles of Filliben's order-statistic medians, and the two-point guide
-    line from (min x, min y) to (max x, max y) as group columns."""
+    line from (min x, min y) to (max x, max y) as group columns.
+
+    ``method='ranked'`` ranks with the distributed row index (any group size);
+    ``'window'`` uses a per-group window and is meant for tables whose groups
+    are bounded by construction, such as one row per group and day."""
     data = df.select(*keys, col).filter(F.col(col).isNotNull())
-    ranked = with_group_rank(data, keys, [F.col(col)], "rank", "n", tiebreak=True)
+    if method == "window":
+        ranked = data.select(*keys, col,
+                             (F.row_number().over(Window.partitionBy(*keys).orderBy(col)) - 1).alias("rank"),
+                             F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n"))
+    elif method == "ranked":
+        ranked = with_group_rank(data, keys, [F.col(col)], "rank", "n", tiebreak=True)
+    else:
+        raise ValueError(f"unknown method {method!r}")
     n = F.col("n").cast("double")
     i = F.col("rank")
     last = F.pow(F.lit(0.5), 1 / n)

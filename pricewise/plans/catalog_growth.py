@@ -496,7 +496,8 @@ FROM bc_coefs"""))
 def q_qq(spark, sf_dir):
     daily = daily_table(spark, sf_dir).checkpoint(eager=True)
     rows, _ = G.boxcox_transform(daily, G.boxcox_fit(daily, KEYS), KEYS)
-    return rounded(D.qq_points(rows, KEYS, "target"), 6)
+    # One row per (town, type, day): groups bounded by the calendar.
+    return rounded(D.qq_points(rows, KEYS, "target", method="window"), 6)
 
 
 register("i9_qq_points", with_ctes(LISTING, CLEANED, DAILY, boxcox_sql(), f"""

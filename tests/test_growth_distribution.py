@@ -121,3 +121,12 @@ def test_qq_points_match_filliben_and_normal_quantiles(spark):
     assert [p.sample for p in pts] == sorted(x)
     for p, mi in zip(pts, m):
         assert math.isclose(p.theoretical, nd.inv_cdf(mi), rel_tol=1e-12, abs_tol=1e-15)
+
+
+def test_qq_plans_agree(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 300), "v": rng.normal(size=300).round(1)})
+    df = spark.createDataFrame(pdf)
+    a = D.qq_points(df, ["g"], "v", method="ranked").orderBy("g", "rank").toPandas()
+    b = D.qq_points(df, ["g"], "v", method="window").orderBy("g", "rank").toPandas()
+    pd.testing.assert_frame_equal(a[b.columns], b, check_dtype=False)
