@@ -126,7 +126,7 @@ FROM cleaned"""))
 @query("d3_describe_price_by_type")
 def q_describe_by(spark, sf_dir):
     return rounded(PR.describe_column(cleaned_listings(spark, sf_dir), "asking_price",
-                                      by=["property_type"], method="percentile"), 4)
+                                      by=["property_type"]), 4)
 
 
 register("d3_describe_price_by_type", with_ctes(LISTING, CLEANED, body="""

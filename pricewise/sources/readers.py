@@ -71,6 +71,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def write_bucketed(df: DataFrame, table: str, key: str = "listing_id", buckets: int = 256,
+                   fmt: str = "parquet", mode: str = "overwrite") -> None:
+    """A4: save a table bucketed and sorted by ``key`` in the session catalog.
+
+    Listings, revisions and the modelling table are all joined and grouped by
+    ``listing_id``; when they are stored with the same bucket count, later
+    joins and aggregations on the key read co-located buckets without a
+    shuffle."""
+    (df.write.mode(mode).format(fmt).bucketBy(buckets, key).sortBy(key).saveAsTable(table))
+
+
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                  partition_by: list[str] | None = None) -> None:
     """A4: persist a shown result table (display itself is not built)."""

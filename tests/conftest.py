@@ -17,6 +17,7 @@ def spark():
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.ui.enabled", "false")
          .config("spark.checkpoint.dir", ckpt)
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="pricewise-test-wh-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     if not s.sparkContext.getCheckpointDir():

@@ -38,3 +38,25 @@ def test_query_matches_sql_twin(spark, name):
     from tests.oracle_check import compare, duck
     res = compare(spark, duck(SF), name, E.queries()[name], E.oracle_sql()[name], SF)
     assert res["status"] == "OK", res
+
+
+def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
+    from pricewise.sources import write_bucketed
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = spark.range(0, 2000).withColumnRenamed("id", "listing_id").withColumn("x", F_lit(1))
+        b = spark.range(0, 2000).withColumnRenamed("id", "listing_id").withColumn("y", F_lit(2))
+        write_bucketed(a, "bk_a", buckets=8)
+        write_bucketed(b, "bk_b", buckets=8)
+        joined = spark.table("bk_a").join(spark.table("bk_b"), "listing_id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 2000 and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS bk_a")
+        spark.sql("DROP TABLE IF EXISTS bk_b")
+
+
+def F_lit(v):
+    from pyspark.sql import functions as F
+    return F.lit(v)
