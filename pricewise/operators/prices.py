@@ -20,13 +20,15 @@ def _day(df: DataFrame, date_col: str) -> Column:
 
 def daily_price(df: DataFrame, agg="median", group_col: str = "property_type",
                 by: tuple[str, ...] = ("location",), value: str = "asking_price",
-                date_col: str = "listing_dt", method: str = "percentile",
+                date_col: str = "listing_dt", method: str = "ranked",
                 transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row per (by..., group_col, day) with the aggregated price.
 
     ``agg`` is 'median', 'mean', 'log10_mean' or any Column -> Column aggregate
-    builder. Daily groups are small, so the median uses Spark's ``percentile``
-    by default; pass ``method='ranked'`` for the fully distributed plan.
+    builder. The median uses the fully distributed ranked plan by default, so
+    even a (town, type, day) holding a large share of all listings is spread
+    over many tasks; ``method='percentile'`` (one shuffle, per-group map of
+    distinct values) is faster when groups are known to be small.
     ``transform`` is applied to the aggregated table (keyed by group), e.g. a
     per-group Box-Cox standardisation."""
     keys = [*by, group_col, date_col]
@@ -50,7 +52,7 @@ def _daily_agg(base: DataFrame, keys: list[str], agg, value: str, method: str) -
 
 
 def daily_medians(df: DataFrame, cols: list[str], keys: tuple[str, ...] = ("location", "property_type"),
-                  date_col: str = "listing_dt", method: str = "percentile") -> DataFrame:
+                  date_col: str = "listing_dt", method: str = "ranked") -> DataFrame:
     """Daily median of each numeric column in ``cols`` per (keys, day)."""
     base = df.select(*keys, _day(df, date_col).alias(date_col), *cols)
     gkeys = [*keys, date_col]
