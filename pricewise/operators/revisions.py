@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import iso_week, price_sign, weekday_monday0
-from ..plans.joins import join_small
+from ..plans.joins import HOT_ROWS, SALTS, hot_keys, salted_join
 from .growth import days_between
 from .rows import sample_fraction
 
@@ -31,17 +31,32 @@ def revision_counts(revisions: DataFrame, col: str = PRICE, out: str = "revision
     return revisions.groupBy(KEY).agg(F.count(F.col(col)).alias(out))
 
 
-def with_revision_count(revisions: DataFrame, out: str = "revision_count") -> DataFrame:
-    """Every revision row with the number of rows of its listing."""
-    counts = revisions.groupBy(KEY).agg(F.count(F.lit(1)).alias(out))
-    return join_small(revisions, counts, [KEY])
+def _key_counts(revisions: DataFrame) -> DataFrame:
+    """Rows and priced rows per listing, one map-side combined aggregate."""
+    return revisions.groupBy(KEY).agg(F.count(F.lit(1)).alias("_rows"),
+                                      F.count(F.col(PRICE)).alias("_priced"))
 
 
-def drop_revision_outliers(revisions: DataFrame, max_count: int = OUTLIER_REVISIONS) -> DataFrame:
+def with_revision_count(revisions: DataFrame, out: str = "revision_count",
+                        hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+    """Every revision row with the number of rows of its listing.
+
+    The counts are joined back with a salted join: a listing with a very long
+    history (more than ``hot_rows`` rows) is split over ``salts`` tasks."""
+    counts = _key_counts(revisions)
+    hot = hot_keys(counts, [KEY], "_rows", hot_rows)
+    return salted_join(revisions, counts.select(KEY, F.col("_rows").alias(out)), [KEY], "inner", hot, salts)
+
+
+def drop_revision_outliers(revisions: DataFrame, max_count: int = OUTLIER_REVISIONS,
+                           hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
     """Remove all revisions of listings with more than ``max_count``
-    priced revisions (a left anti join: unlike NOT IN, safe with NULL keys)."""
-    high = revision_counts(revisions).filter(F.col("revision_count") > max_count).select(KEY)
-    return revisions.join(high, KEY, "left_anti")
+    priced revisions (an anti join: unlike NOT IN, safe with NULL keys; salted
+    for listings with more than ``hot_rows`` rows)."""
+    counts = _key_counts(revisions)
+    high = counts.filter(F.col("_priced") > max_count).select(KEY)
+    hot = hot_keys(counts, [KEY], "_rows", hot_rows)
+    return salted_join(revisions, high, [KEY], "left_anti", hot, salts)
 
 
 def frequent_revisers(listings: DataFrame, revisions: DataFrame,
@@ -87,13 +102,23 @@ def with_last_revision(listings: DataFrame, revisions: DataFrame, order_cols: li
 
 
 def with_all_revisions(listings: DataFrame, revisions: DataFrame,
-                       max_count: int = OUTLIER_REVISIONS) -> DataFrame:
+                       max_count: int = OUTLIER_REVISIONS, hot_rows: int = HOT_ROWS,
+                       salts: int = SALTS) -> DataFrame:
     """Every listing joined with all its revisions (one row per
     revision; listings without any keep one row), with the listing's revision
-    count, counted before outliers are removed and 0 when there is none."""
-    revs = drop_revision_outliers(with_revision_count(revisions), max_count)
-    return (listings.join(revs, KEY, "left")
-            .na.fill({"revision_count": 0}))
+    count, counted before outliers are removed and 0 when there is none.
+
+    The left join is written as a salted inner join (revisions are the many
+    side) plus the listings that have no kept revision, so a listing with a
+    very long history never meets its revisions in one task."""
+    revs = drop_revision_outliers(with_revision_count(revisions, hot_rows=hot_rows, salts=salts),
+                                  max_count, hot_rows, salts)
+    hot = hot_keys(revs.select(KEY, F.col("revision_count")), [KEY], "revision_count", hot_rows).distinct()
+    matched = salted_join(revs, listings, [KEY], "inner", hot, salts)
+    alone = listings.join(revs.select(KEY).distinct(), KEY, "left_anti")
+    out = matched.unionByName(alone, allowMissingColumns=True)
+    return out.select(*listings.columns, *[c for c in revs.columns if c not in listings.columns]) \
+        .na.fill({"revision_count": 0})
 
 
 def add_revision_features(df: DataFrame, date_col: str = "listing_dt") -> DataFrame:

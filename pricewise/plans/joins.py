@@ -35,3 +35,39 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner",
     if max_rows is not None and right.count() <= max_rows:
         right = F.broadcast(right)
     return left.join(right, on, how)
+
+
+# A key with more rows than this on the many-rows side is split into SALTS
+# sub-keys. The hot-key list therefore has fewer than rows / HOT_ROWS entries,
+# which bounds what is broadcast.
+HOT_ROWS = 1_000_000
+SALTS = 64
+
+
+def hot_keys(counts: DataFrame, keys: list[str], count_col: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows, flagged ``_hot`` (small by construction)."""
+    return counts.filter(F.col(count_col) > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str, hot: DataFrame,
+                salts: int = SALTS) -> DataFrame:
+    """Join ``big`` (many rows per key) with ``small`` (at most one row per key)
+    so that no key's rows meet in one task.
+
+    ``hot`` lists the heavy keys (``hot_keys``). Their rows in ``big`` get a
+    random salt in [0, salts); their row in ``small`` is repeated once per salt;
+    every other key keeps salt 0. ``how`` is 'inner', 'left' (keep every row of
+    ``big``) or 'left_anti' (rows of ``big`` whose key is not in ``small``);
+    each row of ``big`` meets exactly the copy with its salt, so results equal
+    the plain join's."""
+    if how not in ("inner", "left", "left_anti"):
+        raise ValueError("how must be 'inner', 'left' or 'left_anti'")
+    flag = F.broadcast(hot)
+    b = (big.join(flag, keys, "left")
+         .withColumn("_salt", F.when(F.col("_hot"), (F.rand() * salts).cast("int")).otherwise(F.lit(0)))
+         .drop("_hot"))
+    s = (small.join(flag, keys, "left")
+         .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
+                                        .otherwise(F.array(F.lit(0)))))
+         .drop("_hot"))
+    return b.join(s, [*keys, "_salt"], how).drop("_salt")
