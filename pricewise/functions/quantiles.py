@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.rows import with_prefix_sums
+from ..plans.joins import hot_keys, salted_join
 
 
 def _name(p: float) -> str:
@@ -48,9 +49,10 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     start_aggs = [F.min(F.col("_w_cum") - F.col("_w")).alias("_start"),
                   F.sum("_w").alias("_n")]
     if keys:
-        # One row per group; adaptive execution broadcasts it when it is small
-        # and splits a hot group's partition otherwise.
-        spans = ranked.join(ranked.groupBy(*keys).agg(*start_aggs), keys)
+        # One row per group, joined back to the group's distinct values with a
+        # salted join, so a group with very many distinct values is split.
+        starts = ranked.groupBy(*keys).agg(*start_aggs, F.count(F.lit(1)).alias("_d"))
+        spans = salted_join(ranked, starts.drop("_d"), keys, "inner", hot_keys(starts, keys, "_d"))
     else:
         # The whole table is one group: its start and size are scalar subqueries.
         spans = ranked.select("*", *[ranked.select(a).scalar().alias(a_name)

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.joins import hot_keys, salted_join
 from ..session import ensure_checkpoint_dir
 
 
@@ -133,11 +134,14 @@ def with_group_rank(df: DataFrame, keys: list[str], order: list, rank_col: str =
     idx = with_row_index(df, [F.col(k) for k in keys] + order, "_gidx", num_partitions)
     if tiebreak:
         idx = idx.drop("_tb")
-    aggs = [F.min("_gidx").alias("_gstart")]
+    starts = idx.groupBy(*keys).agg(F.min("_gidx").alias("_gstart"), F.count(F.lit(1)).alias("_gn"))
+    hot = hot_keys(starts, keys, "_gn")
     if count_col:
-        aggs.append(F.count(F.lit(1)).alias(count_col))
-    starts = idx.groupBy(*keys).agg(*aggs)
-    return (idx.join(starts, keys)
+        starts = starts.withColumnRenamed("_gn", count_col)
+    else:
+        starts = starts.drop("_gn")
+    # A salted join: a very large group's rows meet its start in many tasks.
+    return (salted_join(idx, starts, keys, "inner", hot)
             .withColumn(rank_col, F.col("_gidx") - F.col("_gstart"))
             .drop("_gidx", "_gstart"))
 
