@@ -1,7 +1,7 @@
 """Exact, linearly interpolated quantiles per group (as pandas ``quantile``,
 Spark ``percentile`` and SQL ``quantile_cont``): value at position (n-1)p.
 
-Two plans give the same numbers:
+Three plans give the same numbers (``auto``, the default, picks per group):
 
 * ``"percentile"``: Spark's ``percentile`` aggregate. It combines map-side, but
   the final merge of a group keeps one entry per distinct value of that group in
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.rows import with_prefix_sums
-from ..plans.joins import hot_keys, salted_join
+from ..plans.joins import HOT_ROWS, hot_keys, salted_join
 
 
 def _name(p: float) -> str:
@@ -26,12 +26,31 @@ def _name(p: float) -> str:
 
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                    names: list[str] | None = None, method: str = "ranked",
-                    count_col: str | None = None) -> DataFrame:
+                    names: list[str] | None = None, method: str = "auto",
+                    count_col: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per group: ``keys``, the quantiles (named by ``names``) and,
-    when ``count_col`` is set, the number of non-null values."""
+    when ``count_col`` is set, the number of non-null values.
+
+    ``method='auto'`` counts rows per group first: groups with at most
+    ``hot_rows`` values use ``percentile`` (its per-group map then holds at most
+    ``hot_rows`` entries), larger groups the ranked plan; the two are unioned.
+    When no group is that large (the common case) only the cheap plan runs."""
     names = names or [_name(p) for p in probs]
     v = F.col(value)
+    if method == "auto":
+        data = df.select(*keys, value).filter(v.isNotNull())
+        sizes = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gn"))
+        hot = sizes.filter(F.col("_gn") > hot_rows).select(*keys)
+        if hot.isEmpty():
+            return group_quantiles(data, keys, value, probs, names, "percentile", count_col)
+        if not keys:
+            return group_quantiles(data, keys, value, probs, names, "ranked", count_col)
+        # The hot list has fewer than rows / hot_rows entries: a bounded broadcast.
+        small = group_quantiles(data.join(F.broadcast(hot), keys, "left_anti"), keys, value, probs,
+                                names, "percentile", count_col)
+        big = group_quantiles(data.join(F.broadcast(hot), keys, "left_semi"), keys, value, probs,
+                              names, "ranked", count_col)
+        return small.unionByName(big)
     if method == "percentile":
         aggs = [F.percentile(v, F.lit(float(p))).alias(n) for p, n in zip(probs, names)]
         if count_col:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import group_quantiles
-from ..plans.joins import join_small
+from ..plans.joins import HOT_ROWS, join_small
 
 AggSpec = "str | Callable[[Column], Column]"
 
@@ -20,15 +20,15 @@ def _day(df: DataFrame, date_col: str) -> Column:
 
 def daily_price(df: DataFrame, agg="median", group_col: str = "property_type",
                 by: tuple[str, ...] = ("location",), value: str = "asking_price",
-                date_col: str = "listing_dt", method: str = "ranked",
+                date_col: str = "listing_dt", method: str = "auto",
                 transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row per (by..., group_col, day) with the aggregated price.
 
     ``agg`` is 'median', 'mean', 'log10_mean' or any Column -> Column aggregate
-    builder. The median uses the fully distributed ranked plan by default, so
-    even a (town, type, day) holding a large share of all listings is spread
-    over many tasks; ``method='percentile'`` (one shuffle, per-group map of
-    distinct values) is faster when groups are known to be small.
+    builder. The median's default plan (``auto``) uses Spark's ``percentile``
+    for groups of bounded size and the distributed ranked plan for any group
+    above the hot-group threshold, so a (town, type, day) holding a large share
+    of all listings is spread over many tasks.
     ``transform`` is applied to the aggregated table (keyed by group), e.g. a
     per-group Box-Cox standardisation."""
     keys = [*by, group_col, date_col]
@@ -52,10 +52,13 @@ def _daily_agg(base: DataFrame, keys: list[str], agg, value: str, method: str) -
 
 
 def daily_medians(df: DataFrame, cols: list[str], keys: tuple[str, ...] = ("location", "property_type"),
-                  date_col: str = "listing_dt", method: str = "ranked") -> DataFrame:
+                  date_col: str = "listing_dt", method: str = "auto") -> DataFrame:
     """Daily median of each numeric column in ``cols`` per (keys, day)."""
     base = df.select(*keys, _day(df, date_col).alias(date_col), *cols)
     gkeys = [*keys, date_col]
+    if method == "auto":
+        sizes = base.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_gn"))
+        method = "ranked" if not sizes.filter(F.col("_gn") > HOT_ROWS).isEmpty() else "percentile"
     if method == "percentile":
         return base.groupBy(*gkeys).agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c)
                                           for c in cols])
@@ -74,7 +77,7 @@ def group_mean(df: DataFrame, keys: list[str], col: str, out: str | None = None)
 
 def with_group_median(df: DataFrame, keys: tuple[str, ...] = ("property_type", "location"),
                       col: str = "asking_price", out: str = "median_price",
-                      method: str = "ranked") -> DataFrame:
+                      method: str = "auto") -> DataFrame:
     """E1 (+B7, C6): every row with log10 price and its group's median price,
     sorted by (first key, median) descending.
 
@@ -88,7 +91,7 @@ def with_group_median(df: DataFrame, keys: tuple[str, ...] = ("property_type", "
 
 
 def box_stats(df: DataFrame, keys: tuple[str, ...] = ("location", "property_type"),
-              col: str = "log10_asking_price", method: str = "ranked") -> DataFrame:
+              col: str = "log10_asking_price", method: str = "auto") -> DataFrame:
     """Box-plot numbers per group: quartiles, whiskers at the furthest values
     within 1.5 IQR of the box, and the number of values outside them."""
     quarts = group_quantiles(df, list(keys), col, [0.25, 0.5, 0.75], ["q1", "median", "q3"],

@@ -50,7 +50,7 @@ def key_check(df: DataFrame, key: str, approx: bool = False) -> DataFrame:
 
 
 def describe_column(df: DataFrame, col: str, by: list[str] | None = None,
-                    method: str = "ranked") -> DataFrame:
+                    method: str = "auto") -> DataFrame:
     """D3: count, mean, sample std, min, 25/50/75 % (interpolated), max.
 
     Exact quantiles, not ``df.summary()`` (which is approximate)."""

@@ -95,36 +95,55 @@ def last_per_key(df: DataFrame, key: str, order_cols: list[str], cols: list[str]
 
 def with_last_revision(listings: DataFrame, revisions: DataFrame, order_cols: list[str],
                        max_count: int = OUTLIER_REVISIONS, cols: tuple[str, ...] = (DATE, PRICE)) -> DataFrame:
-    """Every listing with its last revision (outlier listings' revisions
-    removed first); listings without revisions keep NULLs."""
-    last = last_per_key(drop_revision_outliers(revisions, max_count), KEY, order_cols, list(cols))
+    """Every listing with its last revision; listings with more than
+    ``max_count`` priced revisions (outliers) and listings without revisions
+    keep NULLs.
+
+    One aggregate per listing gives both the last values and the priced count,
+    so the outlier rule is a filter on that one-row-per-listing table and no
+    anti join over the revisions is needed."""
+    order = F.struct(*[F.col(c) for c in order_cols])
+    last = (revisions.groupBy(KEY)
+            .agg(F.count(F.col(PRICE)).alias("_priced"),
+                 *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in cols])
+            .filter(F.col("_priced") <= max_count).drop("_priced"))
     return listings.join(last, KEY, "left")
 
 
 def with_all_revisions(listings: DataFrame, revisions: DataFrame,
                        max_count: int = OUTLIER_REVISIONS, hot_rows: int = HOT_ROWS,
                        salts: int = SALTS) -> DataFrame:
-    """Every listing joined with all its revisions (one row per
+    """Every listing joined with all its revisions (one row per
     revision; listings without any keep one row), with the listing's revision
-    count, counted before outliers are removed and 0 when there is none.
-
-    The left join is written as a salted inner join (revisions are the many
-    side) plus the listings that have no kept revision, so a listing with a
-    very long history never meets its revisions in one task."""
-    revs = drop_revision_outliers(with_revision_count(revisions, hot_rows=hot_rows, salts=salts),
-                                  max_count, hot_rows, salts)
-    hot = hot_keys(revs.select(KEY, F.col("revision_count")), [KEY], "revision_count", hot_rows).distinct()
-    matched = salted_join(revs, listings, [KEY], "inner", hot, salts)
-    alone = listings.join(revs.select(KEY).distinct(), KEY, "left_anti")
+    count (all rows, counted before outliers are removed; 0 when none).
+
+    Plan: one aggregate per listing (rows, priced rows); outlier listings are
+    dropped from that one-row-per-listing table, which is joined with the
+    listings (both one row per key); the revision rows then meet it in a single
+    salted join (a listing with more than ``hot_rows`` revisions is split over
+    ``salts`` tasks); listings without a kept revision are added back."""
+    counts = _key_counts(revisions)
+    hot = hot_keys(counts, [KEY], "_rows", hot_rows)
+    kept = (counts.filter(F.col("_priced") <= max_count)
+            .select(KEY, F.col("_rows").alias("revision_count")))
+    one_per_key = listings.join(kept, KEY, "inner")
+    matched = salted_join(revisions, one_per_key, [KEY], "inner", hot, salts)
+    alone = listings.join(kept.select(KEY), KEY, "left_anti")
+    rev_cols = [c for c in revisions.columns if c != KEY]
     out = matched.unionByName(alone, allowMissingColumns=True)
-    return out.select(*listings.columns, *[c for c in revs.columns if c not in listings.columns]) \
-        .na.fill({"revision_count": 0})
+    return (out.select(*listings.columns, *rev_cols, "revision_count")
+            .na.fill({"revision_count": 0}))
 
 
-def add_revision_features(df: DataFrame, date_col: str = "listing_dt") -> DataFrame:
+def add_revision_features(df: DataFrame, date_col: str = "listing_dt",
+                          newest_from: DataFrame | None = None) -> DataFrame:
     """Revision sign (0 when unknown), whole days to the newest
-    listing of the table, weekday (Monday 0) and ISO week of listing."""
-    newest = df.select(F.max(date_col)).scalar()
+    listing of the table, weekday (Monday 0) and ISO week of listing.
+
+    The newest date is a scalar subquery over ``df``, or over ``newest_from``
+    when given: after a left join from the listings every listing is present,
+    so the listings alone give the same date without re-running the join."""
+    newest = (newest_from if newest_from is not None else df).select(F.max(date_col)).scalar()
     is_date = dict(df.dtypes)[date_col] == "date"
     return df.withColumns({
         "revision": price_sign(PRICE, "asking_price"),

@@ -139,6 +139,12 @@ def last_revision_table(spark, sf_dir):
     return R.with_last_revision(cleaned_listings(spark, sf_dir), revisions(spark, sf_dir), REVISION_ORDER)
 
 
+def last_revision_features(spark, sf_dir):
+    listings = cleaned_listings(spark, sf_dir)
+    joined = R.with_last_revision(listings, revisions(spark, sf_dir), REVISION_ORDER)
+    return R.add_revision_features(joined, newest_from=listings)
+
+
 @query("c1_listing_last_revision")
 def q_c1(spark, sf_dir):
     return rounded(last_revision_table(spark, sf_dir), 4)
@@ -150,7 +156,7 @@ SELECT * REPLACE (round(revised_purchase_price, 4) AS revised_purchase_price) FR
 
 @query("i15_revision_features")
 def q_i15(spark, sf_dir):
-    return rounded(R.add_revision_features(last_revision_table(spark, sf_dir)), 4)
+    return rounded(last_revision_features(spark, sf_dir), 4)
 
 
 register("i15_revision_features", with_ctes(LISTING, CLEANED, REVISION, LAST_REV, body="""
@@ -159,8 +165,9 @@ SELECT * REPLACE (round(revised_purchase_price, 4) AS revised_purchase_price) FR
 
 def exploration_table(spark, sf_dir):
     """RP exploration: all revisions joined (C2), features, rises dropped, label."""
-    merged = R.with_all_revisions(cleaned_listings(spark, sf_dir), revisions(spark, sf_dir))
-    out = C.label_revision(C.drop_price_rises(R.add_revision_features(merged)))
+    listings = cleaned_listings(spark, sf_dir)
+    merged = R.with_all_revisions(listings, revisions(spark, sf_dir))
+    out = C.label_revision(C.drop_price_rises(R.add_revision_features(merged, newest_from=listings)))
     return out.withColumn("log10_asking_price", F.log10("asking_price"))
 
 
@@ -220,8 +227,7 @@ WHERE substr(md5(CAST(listing_id AS VARCHAR) || '-{SEED}'), 1, 8) < '{_FRAC}'"""
 def model_dataset(spark, sf_dir):
     """RP:219-243: last revision, features, rises dropped, label, nulls dropped,
     with the seeded shuffle key."""
-    feat = R.add_revision_features(last_revision_table(spark, sf_dir))
-    feat = feat.withColumn("log10_asking_price", F.log10("asking_price"))
+    feat = last_revision_features(spark, sf_dir).withColumn("log10_asking_price", F.log10("asking_price"))
     ds = C.label_revision(C.drop_price_rises(feat)).select("listing_id", *FT.FEATURES, "revision")
     return ds.na.drop(subset=FT.FEATURES).withColumn("shuffle_key", RW.hash_key("listing_id", SEED))
 

@@ -55,3 +55,16 @@ def test_group_rank_unchanged_after_repartition(spark):
     b = RW.with_group_rank(df.repartition(11), ["g"], [F.col("v")], tiebreak=True) \
         .select("g", "rank", "v").collect()
     assert sorted(a) == sorted(b)
+
+
+def test_auto_quantiles_mix_plans_for_hot_and_small_groups(spark):
+    rng = np.random.default_rng(2)
+    g = np.where(rng.random(3000) < 0.34, 0, rng.integers(1, 20, 3000))
+    pdf = pd.DataFrame({"g": g, "x": rng.normal(size=3000).round(2)})
+    want = pdf.groupby("g").x.quantile([0.25, 0.5, 0.75]).unstack()
+    got = group_quantiles(spark.createDataFrame(pdf), ["g"], "x", [0.25, 0.5, 0.75], method="auto",
+                          hot_rows=500, count_col="n").toPandas().set_index("g").sort_index()
+    np.testing.assert_allclose(got[["q25", "q50", "q75"]].values, want.values, rtol=1e-12)
+    assert list(got.n) == list(pdf.groupby("g").size())
+    whole = group_quantiles(spark.createDataFrame(pdf), [], "x", [0.5], method="auto", hot_rows=500).first()[0]
+    assert abs(whole - pdf.x.median()) < 1e-12
