@@ -531,7 +531,7 @@ SELECT {K}, round(lower_act, 4) AS lower_act, round(upper_act, 4) AS upper_act,
 @query("i26_growth_check")
 def q_growth_check(spark, sf_dir):
     daily = daily_table(spark, sf_dir).checkpoint(eager=True)
-    coefs = G.boxcox_growth(daily, KEYS)
+    coefs = G.boxcox_growth(daily, KEYS, materialise=False)
     return rounded(G.growth_check(coefs, daily, KEYS), 6, lower_pred=2, upper_pred=2,
                    lower_act=4, upper_act=4)
 

@@ -395,10 +395,11 @@ register("i10_one_hot", with_ctes(LISTING, CLEANED, REVISION, DATASET, body="\nU
 # ------------------------------------------------------------------ I16-I19, I23 (no SQL twin)
 
 def fitted(spark, sf_dir, cv: bool = True):
-    # The training table feeds several fits: materialise it once.
-    train = train_table(spark, sf_dir).checkpoint(eager=True)
+    # The split already reads a checkpointed, ordered table, and every fit
+    # materialises its own solver input, so no further copy is made here.
+    train = train_table(spark, sf_dir)
     fm = FT.fit_features(train, "revision")
-    tf = fm.transform(train).checkpoint(eager=True)
+    tf = fm.transform(train)
     if cv:
         res = M.fit_logistic_cv(tf, FT.EXTENDED, "revision", "row_idx")
         return tf, res.model, res
@@ -581,7 +582,7 @@ def q_interactions(spark, sf_dir):
     compare confusion cells of both models on the training rows."""
     tf, model, _ = fitted(spark, sf_dir, cv=True)
     plain = M.score(model, tf, FT.EXTENDED)
-    tfi = FT.interactions(tf, "location", "time_listed").checkpoint(eager=True)
+    tfi = FT.interactions(tf, "location", "time_listed")
     cols = FT.EXTENDED + ["location_x_time_listed"]
     res = M.fit_logistic_cv(tfi, cols, "revision", "row_idx")
     return EV.compare_models(plain, M.score(res.model, tfi, cols))
