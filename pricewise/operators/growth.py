@@ -191,14 +191,16 @@ def boxcox_transform(daily: DataFrame, params: DataFrame, keys: list[str],
 
 def boxcox_growth(daily: DataFrame, keys: tuple[str, ...] = ("location", "property_type"),
                   col: str = "asking_price", date_col: str = "listing_dt",
-                  days: int = GROWTH_DAYS, refinements: int = 4) -> DataFrame:
+                  days: int = GROWTH_DAYS, materialise: bool = True) -> DataFrame:
     """I1 + I2 + E3 + I4 + I6: per group the line through standardised Box-Cox
     daily prices against days since the group's first day, the transform's
     parameters, and the growth factor over ``days``."""
     keys = list(keys)
     # The daily table is read by the fit, the transform and the line fit:
-    # materialise it once (it is bounded by groups x days).
-    daily = daily.checkpoint(eager=True)
+    # materialise it once (it is bounded by groups x days), unless the caller
+    # passes a table that is already materialised.
+    if materialise:
+        daily = daily.checkpoint(eager=True)
     params = boxcox_fit(daily, keys, col)
     rows, groups = boxcox_transform(daily, params, keys, col)
     rows = days_since_start(rows.filter(F.col("target").isNotNull()), keys, date_col, "_days")
