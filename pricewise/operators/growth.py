@@ -145,10 +145,13 @@ def boxcox_fit(daily: DataFrame, keys: list[str], col: str = "asking_price",
     materialised. Groups with fewer than two values or a single value get NULL.
     Output: keys, ``normalize_lambda``, ``log_gmean``."""
     u, stats = _scaled(daily, keys, col)
-    # The daily table is small, so adaptive execution packs it into very few
-    # partitions; every row then fans out into hundreds of candidates. Spread
-    # it over the cluster first (an explicit count is not coalesced).
-    u = u.repartition(_parallelism(daily))
+    # Partition the scaled values by group (an explicit count, so adaptive
+    # execution does not pack the small table into one partition). A group has
+    # at most one row per day, so it is bounded by the calendar; and because
+    # the data are already clustered by the group keys, the per-(group, lambda)
+    # and per-group aggregates of every round run without shuffling the
+    # exploded candidates.
+    u = u.repartition(_parallelism(daily), *keys)
     m = int(round((hi - lo) / step))
     # Candidates come from exploding a plain integer sequence; lambda is
     # computed in the next projection so the whole stage stays code-generated.
