@@ -59,18 +59,16 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 # ---------------------------------------------------------------- row index
 
-def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _range_sorted(df: DataFrame, order: list, num_partitions: int | None) -> DataFrame:
     """Range-partitioned and sorted, with partition id and in-partition position,
     checkpointed so that every later read sees the same rows in each partition."""
     ensure_checkpoint_dir(df.sparkSession)
-    n = _num_partitions(df, num_partitions)
-    ordered = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Without an explicit count, adaptive execution may merge adjacent range
+    # partitions into fewer, larger ones; the order is kept, and the partition
+    # ids below are fixed by the checkpoint.
+    ranged = (df.repartitionByRange(num_partitions, *order) if num_partitions
+              else df.repartitionByRange(*order))
+    ordered = (ranged.sortWithinPartitions(*order)
                .withColumn("_pid", F.spark_partition_id())
                .withColumn("_mid", F.monotonically_increasing_id()))
     return ordered.checkpoint(eager=True)
