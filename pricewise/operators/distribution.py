@@ -114,7 +114,8 @@ def qq_points(df: DataFrame, keys: list[str], col: str, method: str = "ranked")
     data = df.select(*keys, col).filter(F.col(col).isNotNull())
     if method == "window":
         ranked = data.select(*keys, col,
-                             (F.row_number().over(Window.partitionBy(*keys).orderBy(col)) - 1).alias("rank"),
+                             (F.row_number().over(Window.partitionBy(*keys).orderBy(col)) - 1)
+                             .cast("long").alias("rank"),
                              F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n"))
     elif method == "ranked":
         ranked = with_group_rank(data, keys, [F.col(col)], "rank", "n", tiebreak=True)
