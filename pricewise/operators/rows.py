@@ -59,10 +59,17 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 # ---------------------------------------------------------------- row index
 
-def _range_sorted(df: DataFrame, order: list, num_partitions: int | None) -> DataFrame:
+def _range_sorted(df: DataFrame, order: list, num_partitions: int | None,
+                  materialise_input: bool = False) -> DataFrame:
     """Range-partitioned and sorted, with partition id and in-partition position,
-    checkpointed so that every later read sees the same rows in each partition."""
+    checkpointed so that every later read sees the same rows in each partition.
+
+    Range partitioning reads its input twice (a sampling pass for the bounds,
+    then the shuffle); ``materialise_input`` writes an expensive input (joins,
+    aggregates) once first so that both passes read the stored copy."""
     ensure_checkpoint_dir(df.sparkSession)
+    if materialise_input:
+        df = df.checkpoint(eager=True)
     # Without an explicit count, adaptive execution may merge adjacent range
     # partitions into fewer, larger ones; the order is kept, and the partition
     # ids below are fixed by the checkpoint.
@@ -88,11 +95,11 @@ def _partition_offsets(ordered: DataFrame, value_cols: list[str]) -> DataFrame:
 
 
 def with_row_index(df: DataFrame, order: list, index_col: str = "row_idx",
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, materialise_input: bool = False) -> DataFrame:
     """0-based position of every row in ``order`` (which must be unique).
 
     Never a ``row_number()`` over the whole table: see module docstring."""
-    ordered = _range_sorted(df, order, num_partitions)
+    ordered = _range_sorted(df, order, num_partitions, materialise_input)
     offsets = _partition_offsets(ordered, [])
     return (ordered.join(F.broadcast(offsets), "_pid")
             .withColumn(index_col, F.col("_off") + F.col("_mid") - F.col("_first"))
@@ -152,7 +159,8 @@ def train_test_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int
     the rest 'train' (the reference splits without a second shuffle)."""
     import math
     keyed = df.withColumn("_hk", hash_key(key, seed))
-    idx = with_row_index(keyed, [F.col("_hk"), F.col(key)], "row_idx", num_partitions)
+    idx = with_row_index(keyed, [F.col("_hk"), F.col(key)], "row_idx", num_partitions,
+                         materialise_input=True)
     n_rows = idx.select(F.count(F.lit(1))).scalar()
     n_test = F.ceil(n_rows * F.lit(float(test_size)))
     return (idx.withColumn(split_col, F.when(F.col("row_idx") < n_rows - n_test, "train")
