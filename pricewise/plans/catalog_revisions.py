@@ -428,9 +428,9 @@ def q_score(spark, sf_dir):
 
 # ------------------------------------------------------------------ I18, I20-I22, I25, D17, D20, D21
 
-def stored_scores(spark, sf_dir):
-    """Training rows scored by a fixed formula (for checking the evaluators)."""
-    tr = train_table(spark, sf_dir)
+def stored_scores(spark, sf_dir, split: str = "train"):
+    """Rows of one split scored by a fixed formula (for checking the evaluators)."""
+    tr = split_table(spark, sf_dir).filter(F.col("split") == split).drop("split")
     z = (F.lit(-2.0) + F.lit(0.004) * F.col("time_listed") + F.lit(1.5) * (F.lit(6.0) - F.col("log10_asking_price"))
          + F.lit(0.1) * F.col("bedroom_count"))
     p = 1 / (1 + F.exp(-z))
@@ -457,6 +457,23 @@ FROM cells c LEFT JOIN scored s ON s.revision = c.label AND s.y_pred = c.predict
 GROUP BY c.label, c.prediction, c.cell"""))
 
 
+@query("i20_confusion_test_split")
+def q_confusion_test(spark, sf_dir):
+    """The reference evaluates on training rows only; the held-out split is
+    reported here as well."""
+    return EV.confusion(stored_scores(spark, sf_dir, "test"))
+
+
+register("i20_confusion_test_split", with_ctes(LISTING, CLEANED, REVISION, DATASET, CELLS_SQL, """
+test_rows AS (SELECT * FROM split WHERE row_idx >= n_rows - ceil(n_rows * 0.2e0)),
+scored_test AS (SELECT revision, CAST(1 / (1 + exp(-(-2.0e0 + 0.004e0 * time_listed
+                  + 1.5e0 * (6.0e0 - log10_asking_price) + 0.1e0 * bedroom_count))) >= 0.5 AS INT) AS y_pred
+                FROM test_rows)""", body="""
+SELECT c.label, c.prediction, c.cell, count(s.revision) AS count
+FROM cells c LEFT JOIN scored_test s ON s.revision = c.label AND s.y_pred = c.prediction
+GROUP BY c.label, c.prediction, c.cell"""))
+
+
 @query("i18_baseline_confusion")
 def q_baseline(spark, sf_dir):
     tr = train_table(spark, sf_dir)
