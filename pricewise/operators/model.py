@@ -114,16 +114,26 @@ class CVResult:
     model: LogisticRegressionModel
     C: float
     scores: list = field(default_factory=list)  # (C, fold, f1)
+    feature_model: object = None  # set when the features were fitted inside the search
 
 
 def fit_logistic_cv(train: DataFrame, features: list[str], label: str, order: str,
                     Cs: list[float] = CS, folds: int = FOLDS, parallelism: int = 8,
-                    max_iter: int = MAX_ITER) -> CVResult:
+                    max_iter: int = MAX_ITER, fold_features=None) -> CVResult:
     """Pick C by mean F1 of class 1 over stratified folds (first best C on
     ties, i.e. the smallest), then refit on all of ``train``. Balanced weights
     come from the whole training table; each fold's penalty uses the sum of
     the weights it trains on. Fits run concurrently as separate Spark jobs on
-    the cached table."""
+    the cached table.
+
+    ``fold_features`` (``train_rows -> model with .transform``) makes the search
+    fold-safe: the feature encoders are refitted on each fold's training rows
+    and applied to its held-out rows, then once more on all of ``train`` for
+    the final model. Without it, ``train`` already carries features fitted on
+    all training labels, as in the reference."""
+    if fold_features is not None:
+        return _fit_logistic_cv_fold_safe(train, features, label, order, Cs, folds, parallelism,
+                                          max_iter, fold_features)
     data = stratified_folds(balanced_weights(train, label), label, order, folds)
     # Every fit iterates over this table: cut its lineage once (checkpoint in
     # the shared folder, then cache) instead of recomputing it per pass.
@@ -154,6 +164,42 @@ def fit_logistic_cv(train: DataFrame, features: list[str], label: str, order: st
     return CVResult(model, best_C, scores)
 
 
+def _lr(label: str, reg: float, max_iter: int) -> LogisticRegression:
+    return LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", regParam=reg,
+                              elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=TOL)
+
+
+def _fit_logistic_cv_fold_safe(train, features, label, order, Cs, folds, parallelism, max_iter,
+                               fold_features) -> CVResult:
+    data = stratified_folds(balanced_weights(train, label), label, order, folds).checkpoint(eager=True)
+    keep = ["features", label, "weight"]
+    parts = []
+    for f in range(folds):
+        fm = fold_features(data.filter(F.col("fold") != f))
+        tr = solver_table(assemble(fm.transform(data.filter(F.col("fold") != f)), features).select(*keep))
+        te = solver_table(assemble(fm.transform(data.filter(F.col("fold") == f)), features).select(*keep))
+        parts.append((tr, te, tr.agg(F.sum("weight")).first()[0]))
+
+    def run(args):
+        C, f = args
+        tr, te, wsum = parts[f]
+        m = _lr(label, 1.0 / (C * wsum), max_iter).fit(tr)
+        return C, f, f1_of_class1(m.transform(te).withColumn("y_pred", F.col("prediction").cast("int")), label)
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        scores = list(pool.map(run, [(C, f) for C in Cs for f in range(folds)]))
+    for tr, te, _ in parts:
+        tr.unpersist()
+        te.unpersist()
+    mean = {C: sum(s for c, _, s in scores if c == C) / folds for C in Cs}
+    best_C = max(Cs, key=lambda C: (mean[C], -Cs.index(C)))
+    fm_all = fold_features(data)
+    full = solver_table(assemble(fm_all.transform(data), features).select(*keep))
+    model = _lr(label, 1.0 / (best_C * full.agg(F.sum("weight")).first()[0]), max_iter).fit(full)
+    full.unpersist()
+    return CVResult(model, best_C, scores, fm_all)
+
+
 @dataclass
 class BaselineModel:
     prior: float  # share of class 1 in training

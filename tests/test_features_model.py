@@ -93,3 +93,23 @@ def test_confusion_has_all_cells(spark):
     df = spark.createDataFrame([(1, 1), (1, 1)], "revision int, y_pred int")
     got = {(r.label, r.prediction): r["count"] for r in EV.confusion(df).collect()}
     assert got == {(0, 0): 0, (0, 1): 0, (1, 0): 0, (1, 1): 2}
+
+
+def test_fold_safe_search_refits_features_per_fold(spark):
+    rng = np.random.default_rng(11)
+    n = 400
+    cat = rng.choice(["a", "b", "c"], n)
+    x = rng.normal(size=n)
+    y = ((cat == "a") * 1.0 + x + rng.normal(size=n) > 0.7).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"idx": np.arange(n), "cat": cat, "x": x, "y": y}))
+    seen = []
+
+    def fold_features(rows):
+        seen.append(rows.count())
+        enc = FT.MeanEncoder(["cat"]).fit(rows, "y")
+        return enc
+
+    res = M.fit_logistic_cv(df, ["cat", "x"], "y", "idx", Cs=[0.01, 1.0], folds=3, parallelism=2,
+                            fold_features=fold_features)
+    assert len(res.scores) == 6 and res.C in (0.01, 1.0) and res.feature_model is not None
+    assert sorted(seen)[:3] == sorted(seen[:3]) and all(s < n for s in seen[:3]) and seen[-1] == n
