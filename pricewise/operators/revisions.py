@@ -118,17 +118,21 @@ def with_all_revisions(listings: DataFrame, revisions: DataFrame,
     count (all rows, counted before outliers are removed; 0 when none).
 
     Plan: one aggregate per listing (rows, priced rows); outlier listings are
-    dropped from that one-row-per-listing table, which is joined with the
-    listings (both one row per key); the revision rows then meet it in a single
-    salted join (a listing with more than ``hot_rows`` revisions is split over
-    ``salts`` tasks); listings without a kept revision are added back."""
+    dropped from that one-row-per-listing table, which is left-joined to the
+    listings (both one row per key); the listings with kept revisions meet
+    the revision rows in a single salted join (a listing with more than
+    ``hot_rows`` revisions is split over ``salts`` tasks); the others are added
+    back as they are."""
     counts = _key_counts(revisions)
     hot = hot_keys(counts, [KEY], "_rows", hot_rows)
     kept = (counts.filter(F.col("_priced") <= max_count)
             .select(KEY, F.col("_rows").alias("revision_count")))
-    one_per_key = listings.join(kept, KEY, "inner")
-    matched = salted_join(revisions, one_per_key, [KEY], "inner", hot, salts)
-    alone = listings.join(kept.select(KEY), KEY, "left_anti")
+    # One row per listing, with its count when it has kept revisions. Both
+    # branches below read this same table (identical exchanges are reused).
+    per_listing = listings.join(kept, KEY, "left")
+    matched = salted_join(revisions, per_listing.filter(F.col("revision_count").isNotNull()),
+                          [KEY], "inner", hot, salts)
+    alone = per_listing.filter(F.col("revision_count").isNull()).drop("revision_count")
     rev_cols = [c for c in revisions.columns if c != KEY]
     out = matched.unionByName(alone, allowMissingColumns=True)
     return (out.select(*listings.columns, *rev_cols, "revision_count")
