@@ -130,3 +130,17 @@ def test_qq_plans_agree(spark):
     a = D.qq_points(df, ["g"], "v", method="ranked").orderBy("g", "rank").toPandas()
     b = D.qq_points(df, ["g"], "v", method="window").orderBy("g", "rank").toPandas()
     pd.testing.assert_frame_equal(a[b.columns], b, check_dtype=False)
+
+
+def test_daily_price_pluggable_aggregate_and_transform(spark):
+    from pricewise.operators import prices as P
+    rows = [("A", "house", dt.date(2021, 1, 1), p) for p in (100.0, 200.0, 600.0)] + \
+           [("A", "house", dt.date(2021, 1, 2), 50.0)]
+    df = spark.createDataFrame(rows, "location string, property_type string, listing_dt date, asking_price double")
+    got = {r.listing_dt: r.asking_price for r in P.daily_price(df, agg=lambda c: F.max(c)).collect()}
+    assert got == {dt.date(2021, 1, 1): 600.0, dt.date(2021, 1, 2): 50.0}
+    med = {r.listing_dt: r.asking_price for r in P.daily_price(df, agg="median").collect()}
+    assert med[dt.date(2021, 1, 1)] == 200.0
+    scaled = P.daily_price(df, agg="mean", transform=lambda d: d.withColumn("asking_price", F.col("asking_price") / 10))
+    assert {r.listing_dt: r.asking_price for r in scaled.collect()} == {dt.date(2021, 1, 1): 30.0,
+                                                                        dt.date(2021, 1, 2): 5.0}
