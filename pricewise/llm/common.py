@@ -172,3 +172,12 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
         b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
         yield batch.slice(a, b - a)
         a = b
+
+
+def rewritten(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet under the shared checkpoint folder and read again."""
+    import uuid
+    folder = ensure_checkpoint_dir(df.sparkSession)
+    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

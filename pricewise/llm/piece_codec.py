@@ -255,6 +255,12 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return batch.column(batch.schema.get_field_index(column)).fill_null("").to_pylist()
 
 
+def _encode_batch(c: PieceCodec, batch: pa.RecordBatch, column: str) -> pa.Array:
+    packed = [c.encode_packed(t) for t in _texts(batch, column)]
+    off = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, ids`` (array of int) of every row."""
     def run(batches):
@@ -262,10 +268,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         gc.disable()                 # remembered words are many small objects, none in cycles
         for batch in batches:
             for part in slices(batch, "_text"):
-                packed = [c.encode_packed(t) for t in _texts(part, "_text")]
-                off = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _encode_batch(c, part, "_text")],
+                                                 names=["_id", "ids"])
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
     return src.mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
@@ -310,6 +314,21 @@ def compare_with_library(docs: DataFrame, model_path: str, id_col: str = "doc_id
     return src.mapInArrow(run, f"_id {kind}, what string").withColumnRenamed("_id", id_col)
 
 
+def with_ids(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` and ``ids``, encoded on the way (no join back)."""
+    keep = [c for c in docs.columns if c != "ids"]
+
+    def run(batches):
+        c = codec(model_path)
+        gc.disable()
+        for batch in batches:
+            for part in slices(batch, text_col):
+                yield pa.RecordBatch.from_arrays([*part.columns, _encode_batch(c, part, text_col)],
+                                                 names=[*keep, "ids"])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
+    return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema + ", ids array<int>")
+
+
 def default_model() -> str:
     import public_tokenizers
     return public_tokenizers.path(MODEL)
