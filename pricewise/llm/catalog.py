@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, piece_codec
+from . import chat, fingerprints, piece_codec, source_mix, token_counts
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
     "op5_piece_codec": piece_codec.op5_piece_codec,
+    "op7_token_counts": token_counts.op7_token_counts,
+    "op8_fingerprints": fingerprints.op8_fingerprints,
+    "op9_source_mix": source_mix.op9_source_mix,
 }
 
 SQL = {
     "op2_chat_format": chat.SQL,
+    "op9_source_mix": source_mix.SQL,
 }

@@ -45,7 +45,7 @@ MODEL = "piece_bpe_32k.model"
 _NONE = float("inf")
 
 
-class _Remembered(dict):
+class Remembered(dict):
     """Values of ``make(key)`` for the keys seen lately: two generations of at
     most ``CACHE_WORDS / 2`` keys; the older is dropped when the newer is full."""
 
@@ -96,7 +96,7 @@ class PieceCodec:
         long = [p for p in self.id_of if len(p) > 1]
         self.by_word = not any(a != MARK and b == MARK for p in long for a, b in zip(p, p[1:]))
         self.inside = {p[i:i + 2] for p in long for i in range(len(p) - 1)}   # pairs that can merge at all
-        self.word, self.part = _Remembered(self._unit), _Remembered(lambda t: array("i", self._merge(t)).tobytes())
+        self.word, self.part = Remembered(self._unit), Remembered(lambda t: array("i", self._merge(t)).tobytes())
 
     def _merge(self, unit: str) -> list[int]:
         """Ids of one unit (space marks in place) by the agenda."""
