@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, piece_codec, source_mix, token_counts
+from . import chat, fingerprints, piece_codec, source_mix, token_counts, toxicity
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_piece_codec": piece_codec.op5_piece_codec,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_fingerprints": fingerprints.op8_fingerprints,
