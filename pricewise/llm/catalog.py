@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, near_dedup, piece_codec, source_mix, token_counts, toxicity
+from . import chat, fingerprints, near_dedup, piece_codec, quality, source_mix, token_counts, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_chat_format": chat.op2_chat_format,
+    "op3_quality": quality.op3_quality,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_piece_codec": piece_codec.op5_piece_codec,
     "op7_token_counts": token_counts.op7_token_counts,
