@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, near_dedup, piece_codec, quality, source_mix, token_counts, toxicity
+from . import chat, fingerprints, near_dedup, piece_codec, quality, source_mix, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_source_mix": source_mix.op9_source_mix,
+    "op10_topk_search": topk.op10_topk_search,
 }
 
 SQL = {
