@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, near_dedup, piece_codec, quality, source_mix, token_counts, topk, toxicity
+from . import chat, fingerprints, mixing_lm, near_dedup, piece_codec, quality, source_mix, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_piece_codec": piece_codec.op5_piece_codec,
+    "op6_mixing_lm": mixing_lm.op6_mixing_lm,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_source_mix": source_mix.op9_source_mix,
