@@ -1,7 +1,9 @@
 """Exact, linearly interpolated quantiles per group (as pandas ``quantile``,
 Spark ``percentile`` and SQL ``quantile_cont``): value at position (n-1)p.
 
-Three plans give the same numbers (``auto``, the default, picks per group):
+Rows whose key has a null are dropped; a group without any value keeps its row
+with NULL quantiles. The plans below give the same rows and the same numbers;
+``auto``, the default, picks per group (tests compare them on every case):
 
 * ``"percentile"``: Spark's ``percentile`` aggregate. It combines map-side, but
   the final merge of a group keeps one entry per distinct value of that group in
@@ -25,6 +27,11 @@ def _name(p: float) -> str:
     return f"q{int(round(p * 100)):02d}" if abs(p * 100 - round(p * 100)) < 1e-9 else f"q{p}"
 
 
+def without_null_keys(df: DataFrame, keys) -> DataFrame:
+    """Rows whose keys are all present: a null key names no group."""
+    return df.na.drop(subset=list(keys)) if keys else df
+
+
 def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
                     names: list[str] | None = None, method: str = "auto",
                     count_col: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -37,9 +44,10 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     When no group is that large (the common case) only the cheap plan runs."""
     names = names or [_name(p) for p in probs]
     v = F.col(value)
+    df = without_null_keys(df.select(*keys, value), keys)
     if method == "auto":
-        data = df.select(*keys, value).filter(v.isNotNull())
-        sizes = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gn"))
+        data = df
+        sizes = data.groupBy(*keys).agg(F.count(v).alias("_gn"))
         hot = sizes.filter(F.col("_gn") > hot_rows).select(*keys)
         if hot.isEmpty():
             return group_quantiles(data, keys, value, probs, names, "percentile", count_col)
@@ -59,6 +67,7 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     if method != "ranked":
         raise ValueError(f"unknown quantile method {method!r}")
 
+    groups = df.groupBy(*keys).agg(F.count(v).alias("_all"))
     # 1. (group, value) -> count: map-side combined, so a hot value is one row.
     counted = (df.filter(v.isNotNull()).groupBy(*keys, value)
                .agg(F.count(F.lit(1)).alias("_w")))
@@ -93,6 +102,13 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         frac = pos - F.floor(pos)
         lo, hi = F.col(f"_f{i}"), F.col(f"_c{i}")
         out.append(F.when(frac == 0, lo).otherwise(lo + (hi - lo) * frac).alias(n))
+    if not keys:                 # a global aggregate always has its row
+        if count_col:
+            out.append(F.coalesce("_n", F.lit(0)).cast("long").alias(count_col))
+        return picked.select(*out)
     if count_col:
         out.append(F.col("_n").alias(count_col))
-    return picked.select(*out)
+    # Groups without values keep a row of NULLs.
+    bare = groups.filter("_all = 0").select(*keys, *[F.lit(None).cast("double").alias(n) for n in names],
+                                            *([F.lit(0).cast("long").alias(count_col)] if count_col else []))
+    return picked.select(*out).unionByName(bare)

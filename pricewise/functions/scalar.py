@@ -15,12 +15,6 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def safe_div(num, den) -> Column:
-    """num / den, NULL when den is 0 or NULL (ANSI mode would raise)."""
-    den = col_(den)
-    return F.when(den != 0, col_(num) / den)
-
-
 def price_sign(revised="revised_purchase_price", asking="asking_price") -> Column:
     """H3: sign of the revision against the asking price, 0 when unknown."""
     return F.coalesce(F.signum(col_(revised) - col_(asking)), F.lit(0.0))
@@ -36,13 +30,6 @@ def iso_week(c) -> Column:
     return F.weekofyear(col_(c))
 
 
-def whole_days_between(later, earlier) -> Column:
-    """H4: whole days elapsed (floored), also across times of day."""
-    return F.floor(
-        (F.unix_micros(F.to_timestamp(col_(later))) - F.unix_micros(F.to_timestamp(col_(earlier))))
-        / F.lit(86_400_000_000)).cast("long")
-
-
 def cyclic_sin(c, period: float) -> Column:
     """H7: sin(x / period * 2 pi)."""
     return F.sin(col_(c) / F.lit(float(period)) * F.lit(2 * math.pi))
@@ -53,12 +40,6 @@ def cyclic_cos(c, period: float) -> Column:
     return F.cos(col_(c) / F.lit(float(period)) * F.lit(2 * math.pi))
 
 
-def boxcox(x, lam) -> Column:
-    """(x^l - 1) / l, and ln x in the limit l -> 0."""
-    x, lam = col_(x), col_(lam)
-    return F.when(F.abs(lam) < LAMBDA_EPS, F.log(x)).otherwise((F.pow(x, lam) - 1) / lam)
-
-
 def boxcox_inverse(yt, lam, mean, std) -> Column:
     """Price from a standardised Box-Cox value:
     ((yt*std + mean)*l + 1)^(1/l), exp(yt*std + mean) in the limit l -> 0."""
@@ -68,11 +49,11 @@ def boxcox_inverse(yt, lam, mean, std) -> Column:
 
 
 def growth_factor(lam, std, coef, intercept, mean, days) -> Column:
-    """Growth over ``days`` from a line fitted to standardised Box-Cox values:
-    (1 + l s c d / (l s b + 1 + m l))^(1/l); exp(s c d) in the limit l -> 0."""
-    lam, std, coef, b, mean = col_(lam), col_(std), col_(coef), col_(intercept), col_(mean)
-    d = F.lit(float(days)) if not isinstance(days, Column) else days
-    num = lam * std * coef * d
-    den = lam * std * b + 1 + mean * lam
-    return F.when(F.abs(lam) < LAMBDA_EPS, F.exp(std * coef * d)).otherwise(
-        F.pow(1 + num / den, 1 / lam))
+    """Growth over ``days`` of a line fitted to standardised Box-Cox values:
+    the price the line gives at ``days`` over the price it gives at day 0. NULL
+    where the line leaves the range of the transform (no price there)."""
+    coef, intercept = col_(coef), col_(intercept)
+    d = days if isinstance(days, Column) else F.lit(float(days))
+    ratio = (boxcox_inverse(intercept + coef * d, lam, mean, std)
+             / boxcox_inverse(intercept, lam, mean, std))
+    return F.when(~F.isnan(ratio), ratio)

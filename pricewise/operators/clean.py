@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.predicates import keep_unless, matches_all
+from ..sources.readers import nan_to_null
 
 # Fixed values from the reference's cleaning step.
 CATEGORY_FIXES = {"Newcastle upon Tyne": "Newcastle Upon Tyne"}
@@ -47,18 +48,17 @@ def drop_bathroom_outliers(df: DataFrame, max_baths: float = 15, beds: int = 5)
 
 
 def clean_listings(df: DataFrame) -> DataFrame:
-    """The reference's three cleaning functions, piped."""
-    return df.transform(fix_categories).transform(drop_bedroom_outliers).transform(drop_bathroom_outliers)
+    """The three cleaning functions, piped; what is left has no NaN."""
+    return (df.transform(fix_categories).transform(drop_bedroom_outliers).transform(drop_bathroom_outliers)
+            .transform(nan_to_null))
 
 
 # Rules looked at before cleaning: name -> conjunction of comparisons.
 # "many_beds_*" are applied to the rows with more than 10 bedrooms, as shown.
 OUTLIER_RULES = {
     "beds_over_10": [("bedroom_count", ">", 10)],
-    "beds_over_10_flat": [("bedroom_count", ">", 10), ("bedroom_count", ">=", 10),
-                          ("property_type", "==", "flat")],
-    "beds_over_10_cheap": [("bedroom_count", ">", 10), ("bedroom_count", ">=", 10),
-                           ("asking_price", "<=", 500000)],
+    "beds_over_10_flat": [("bedroom_count", ">", 10), ("property_type", "==", "flat")],
+    "beds_over_10_cheap": [("bedroom_count", ">", 10), ("asking_price", "<=", 500000)],
     "no_beds": [("bedroom_count", "==", 0)],
     "no_beds_dear": [("bedroom_count", "==", 0), ("asking_price", ">=", 300000)],
     "baths_15_plus": [("bathroom_count", ">=", 15)],

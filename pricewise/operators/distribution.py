@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normal import with_norm_ppf
+from ..functions.quantiles import without_null_keys
 from ..plans.joins import attach_scalars, join_small
 from .rows import with_group_rank
 
@@ -30,7 +31,7 @@ def histogram(df: DataFrame, col: str, bins: int = 10, by: list[str] | None = No
     counted. ``density`` adds count / (n * width)."""
     by = list(by or [])
     x = F.col(col)
-    data = df.select(*by, col).filter(x.isNotNull())
+    data = without_null_keys(df.select(*by, col).filter(x.isNotNull()), by)
     if edges is None:
         stats = _group_stats(data, by, [F.min(x).alias("_lo0"), F.max(x).alias("_hi0")])
         stats = stats.select(
@@ -79,14 +80,17 @@ def kde(df: DataFrame, col: str, by: list[str] | None = None, points: int = 100,
         cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density of ``col`` per group on ``points`` grid
     points spanning [min - cut*h, max + cut*h]; bandwidth h = sample std *
-    n^(-1/5) (Scott's rule). Each value adds its kernel to the fixed-size grid
-    inside its task and only (group, point) partial sums are shuffled."""
+    n^(-1/5) (Scott's rule). Every value is expanded to the grid points and summed
+    with map-side partial sums per (group, point); the number of values is the
+    caller's (daily values here). A group with one value, or equal ones, has no
+    bandwidth and keeps one row with NULLs."""
     by = list(by or [])
     x = F.col(col)
-    data = df.select(*by, col).filter(x.isNotNull())
+    data = without_null_keys(df.select(*by, col).filter(x.isNotNull()), by)
     stats = _group_stats(data, by, [F.count(x).alias("_n"), F.stddev_samp(x).alias("_sd"),
                                     F.min(x).alias("_min"), F.max(x).alias("_max")])
     stats = stats.withColumn("_bw", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
+    flat = stats.filter(~F.coalesce(F.col("_bw") > 0, F.lit(False)))
     stats = stats.filter(F.col("_bw") > 0).select(
         *by, "_n", "_bw", (F.col("_min") - cut * F.col("_bw")).alias("_glo"),
         (F.col("_max") + cut * F.col("_bw")).alias("_ghi"))
@@ -99,8 +103,11 @@ def kde(df: DataFrame, col: str, by: list[str] | None = None, points: int = 100,
     summed = expanded.groupBy(*by, "point").agg(
         F.first(gx).alias("x"), F.sum(F.exp(-0.5 * z * z)).alias("_k"),
         F.first("_n").alias("_n"), F.first("_bw").alias("_bw"))
-    return summed.select(*by, "point", "x", (F.col("_k") / (F.col("_n") * F.col("_bw")
-                                                             * math.sqrt(2 * math.pi))).alias("density"))
+    curve = summed.select(*by, "point", "x", (F.col("_k") / (F.col("_n") * F.col("_bw")
+                                                              * math.sqrt(2 * math.pi))).alias("density"))
+    return curve.unionByName(flat.select(*by, F.lit(None).cast("int").alias("point"),
+                                         F.lit(None).cast("double").alias("x"),
+                                         F.lit(None).cast("double").alias("density")))
 
 
 def qq_points(df: DataFrame, keys: list[str], col: str, method: str = "ranked") -> DataFrame:
@@ -111,7 +118,7 @@ def qq_points(df: DataFrame, keys: list[str], col: str, method: str = "ranked")
     ``method='ranked'`` ranks with the distributed row index (any group size);
     ``'window'`` uses a per-group window and is meant for tables whose groups
     are bounded by construction, such as one row per group and day."""
-    data = df.select(*keys, col).filter(F.col(col).isNotNull())
+    data = without_null_keys(df.select(*keys, col).filter(F.col(col).isNotNull()), keys)
     if method == "window":
         ranked = data.select(*keys, col,
                              (F.row_number().over(Window.partitionBy(*keys).orderBy(col)) - 1)

@@ -47,8 +47,9 @@ def confusion_proba_histograms(scored: DataFrame, label: str = "revision", pred:
 
 
 def roc_points(scored: DataFrame, label: str = "revision", proba: str = "proba") -> DataFrame:
-    """One ROC point per distinct score, highest first: the true and false
-    positive rates when predicting 1 at that score and above, and the area
+    """The origin (no threshold: nothing is predicted 1), then one ROC point
+    per distinct score, highest first: the true and false positive rates when
+    predicting 1 at that score and above, and the area
     under the curve (trapezoids, ties handled as in the Mann-Whitney form)."""
     per_score = scored.groupBy(F.col(proba).alias("threshold")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("pos"),
@@ -62,7 +63,10 @@ def roc_points(scored: DataFrame, label: str = "revision", proba: str = "proba")
                      (F.col("neg") * (F.col("pos_cum") - F.col("pos") + F.col("pos") / 2.0)
                       / (F.col("_P") * F.col("_N"))).alias("_auc_part"))
     auc = pts.agg(F.sum("_auc_part").alias("auc"))
-    return attach_scalars(pts.drop("_auc_part"), auc)
+    zero = scored.sparkSession.range(1).select(
+        F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("long").alias("pos"),
+        F.lit(0).cast("long").alias("neg"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
+    return attach_scalars(zero.unionByName(pts.drop("_auc_part")), auc)
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:

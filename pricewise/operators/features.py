@@ -110,21 +110,37 @@ def interactions(df: DataFrame, a: str, b: str, out: str | None = None) -> DataF
 
 # ---------------------------------------------------------------- I10
 
-def one_hot(df: DataFrame, cols: list[str], max_levels: int = 1000) -> DataFrame:
-    """One 0/1 column per level (``<col>_<level>``, levels sorted); a column
-    with exactly two levels keeps only the second level's column. Other columns
-    pass through. The level lists are small metadata read by the driver."""
+@dataclass
+class OneHotModel:
+    levels: dict[str, list]  # column -> levels that get a column
+
+    def names(self) -> list[str]:
+        return [f"{c}_{v}" for c, vs in self.levels.items() for v in vs]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """One 0/1 column per fitted level; a level not seen in fitting and a
+        null give 0 in all of them. Other columns pass through."""
+        out = df
+        for c, vs in self.levels.items():
+            out = out.withColumns({f"{c}_{v}": F.coalesce((F.col(c) == F.lit(v)).cast("double"), F.lit(0.0))
+                                   for v in vs}).drop(c)
+        return out
+
+
+def one_hot_fit(df: DataFrame, cols: list[str]) -> OneHotModel:
+    """Levels of each column, sorted (``<col>_<level>``); a column with exactly
+    two levels keeps only the second. The levels become columns of the result,
+    so the driver has to know them: their number is the width of the output."""
     levels = {}
     for c in cols:
-        vals = df.select(c).filter(F.col(c).isNotNull()).distinct()
-        if vals.count() > max_levels:
-            raise ValueError(f"{c}: more than {max_levels} levels")
-        levels[c] = sorted(r[0] for r in vals.collect())
-    out = df
-    for c in cols:
-        keep = levels[c][1:] if len(levels[c]) == 2 else levels[c]
-        out = out.withColumns({f"{c}_{v}": (F.col(c) == F.lit(v)).cast("double") for v in keep}).drop(c)
-    return out
+        vals = sorted(r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().collect())
+        levels[c] = vals[1:] if len(vals) == 2 else vals
+    return OneHotModel(levels)
+
+
+def one_hot(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Fit and transform the same table."""
+    return one_hot_fit(df, cols).transform(df)
 
 
 # ---------------------------------------------------------------- D19

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import without_null_keys
 from ..functions.scalar import LAMBDA_EPS, boxcox_inverse, growth_factor
 from ..plans.joins import join_small
 
@@ -21,6 +22,7 @@ from ..plans.joins import join_small
 GROWTH_DAYS = 365 * 2 + 8 * 30
 CHECK_DAYS = 975
 LOG_LINEAR_DAYS = 2 * 365
+DAY_ZERO = "2000-01-01"          # day 0 of line fits over dates; any other gives the same lines
 
 
 def _is_date(df: DataFrame, c: str) -> bool:
@@ -46,11 +48,12 @@ def days_since_start(df: DataFrame, keys: list[str], date_col: str = "listing_dt
 
 def trend_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """I4: least-squares line of y on x per group: slope, intercept, R^2, n."""
-    return df.groupBy(*keys).agg(
-        F.regr_slope(F.col(y), F.col(x)).alias("coef"),
-        F.regr_intercept(F.col(y), F.col(x)).alias("intercept"),
-        F.regr_r2(F.col(y), F.col(x)).alias("r2"),
-        F.regr_count(F.col(y), F.col(x)).alias("n"))
+    return without_null_keys(df, keys).groupBy(*keys).agg(*_line(x, y))
+
+
+def _line(x: str, y: str) -> list[Column]:
+    return [F.regr_slope(F.col(y), F.col(x)).alias("coef"), F.regr_intercept(F.col(y), F.col(x)).alias("intercept"),
+            F.regr_r2(F.col(y), F.col(x)).alias("r2"), F.regr_count(F.col(y), F.col(x)).alias("n")]
 
 
 def trend_predict(df: DataFrame, fits: DataFrame, keys: list[str], x: str,
@@ -65,22 +68,32 @@ def growth_log_linear(df: DataFrame, keys: tuple[str, ...] = ("location", "prope
                       value: str = "asking_price", date_col: str = "listing_dt",
                       days: int = LOG_LINEAR_DAYS, out: str = "growth_2_yr") -> DataFrame:
     """Line of log10(price) on days since the group's first listing, over
-    the raw rows; growth over ``days`` = 10^(slope * days)."""
+    the raw rows; growth over ``days`` = 10^(slope * days).
+
+    One aggregate for dates: the slope does not depend on the day that counts as
+    0, and the intercept moves along the line to the group's first day."""
     keys = list(keys)
-    rows = df.select(*keys, date_col, F.log10(value).alias("_y")).filter(F.col("_y").isNotNull())
-    fits = trend_fit(days_since_start(rows, keys, date_col, "_x"), keys, "_x", "_y")
+    rows = without_null_keys(df.select(*keys, date_col, F.log10(value).alias("_y")), keys).filter(F.col("_y").isNotNull())
+    if _is_date(df, date_col):
+        rows = rows.withColumn("_x", F.datediff(F.col(date_col), F.lit(DAY_ZERO).cast("date")))
+        fits = rows.groupBy(*keys).agg(*_line("_x", "_y"), F.min("_x").alias("_x0"))
+        fits = fits.withColumn("intercept", F.col("intercept") + F.col("coef") * F.col("_x0")).drop("_x0")
+    else:
+        fits = trend_fit(days_since_start(rows, keys, date_col, "_x"), keys, "_x", "_y")
     return fits.withColumn(out, F.pow(F.lit(10.0), F.col("coef") * days))
 
 
 def growth_ranking(df: DataFrame, group_col: str = "property_type", growth_col: str = "growth_2_yr",
                    rank_col: str = "rank") -> DataFrame:
     """I8: growth table ranked within each type, fastest first, with whether
-    the place grew (growth above 1). The input has one row per (place, type)."""
-    w = Window.partitionBy(group_col).orderBy(F.desc(growth_col), *[F.asc(c) for c in df.columns
+    the place grew (growth above 1). Places without a growth (NULL or NaN) come
+    last and have no verdict. The input has one row per (place, type)."""
+    df = df.withColumn(growth_col, F.when(~F.isnan(growth_col), F.col(growth_col)))
+    w = Window.partitionBy(group_col).orderBy(F.desc_nulls_last(growth_col), *[F.asc(c) for c in df.columns
                                                                      if c not in (group_col, growth_col)])
     return (df.withColumn(rank_col, F.row_number().over(w))
             .withColumn("grew", F.col(growth_col) > 1)
-            .orderBy(F.desc(group_col), F.desc(growth_col)))
+            .orderBy(F.desc(group_col), F.col(rank_col)))
 
 
 def fit_messages(fits: DataFrame, group_col: str = "property_type") -> DataFrame:
@@ -96,13 +109,18 @@ def fit_messages(fits: DataFrame, group_col: str = "property_type") -> DataFrame
 # ---------------------------------------------------------------- Box-Cox
 
 def _scaled(daily: DataFrame, keys: list[str], col: str) -> tuple[DataFrame, DataFrame]:
-    """Positive values with u = ln(x) - mean(ln x) per group, and group stats."""
+    """Values with u = ln(x) - mean(ln x) of the groups that can be fitted (two
+    different values, all positive), and stats of every group. The transform is
+    not defined for values <= 0: such a group is not fitted on the rest of them,
+    it has ``_bad`` values and no lambda."""
     x = F.col(col)
-    data = daily.select(*keys, col).filter(x > 0)
-    stats = data.groupBy(*keys).agg(F.avg(F.log(x)).alias("_lgm"), F.count(x).alias("_n"),
+    data = without_null_keys(daily.select(*keys, col), keys).filter(x.isNotNull())
+    stats = data.groupBy(*keys).agg(F.count(F.when(x <= 0, 1)).alias("_bad"), F.count(x).alias("_n"),
+                                    F.avg(F.when(x > 0, F.log(x))).alias("_lgm"),
                                     F.min(x).alias("_min"), F.max(x).alias("_max"))
+    stats = stats.withColumn("_lgm", F.when(F.col("_bad") == 0, F.col("_lgm")))
     u = (join_small(data, stats, keys)
-         .filter((F.col("_n") >= 2) & (F.col("_max") > F.col("_min")))
+         .filter((F.col("_n") >= 2) & (F.col("_max") > F.col("_min")) & (F.col("_bad") == 0))
          .select(*keys, (F.log(x) - F.col("_lgm")).alias("_u")))
     return u, stats
 
@@ -119,15 +137,17 @@ def _z(u: Column, lam: Column) -> Column:
 
 def _best_lambda(cands: DataFrame, keys: list[str]) -> DataFrame:
     """Per group, the candidate with the smallest variance of the transformed
-    values (ties: the smaller lambda)."""
-    var = cands.groupBy(*keys, "_lam").agg(F.var_pop(_z(F.col("_u"), F.col("_lam"))).alias("_v"))
-    return var.groupBy(*keys).agg(F.min_by("_lam", F.struct("_v", "_lam")).alias("_lam"))
+    values (ties: the smaller lambda), and the group's search width."""
+    var = cands.groupBy(*keys, "_lam").agg(F.var_pop(_z(F.col("_u"), F.col("_lam"))).alias("_v"),
+                                           F.first("_w").alias("_w"))
+    return var.groupBy(*keys).agg(F.min_by("_lam", F.struct("_v", "_lam")).alias("_lam"), F.first("_w").alias("_w"))
 
 
 # Fixed search plan: a grid over [lo, hi], then refinement rounds of
 # 2*REFINE_HALF+1 candidates at each step around each group's best.
 REFINE_STEPS = (1e-2, 1e-3, 1e-4, 1e-5)
 REFINE_HALF = 10
+MAX_WIDTH = 4.0 ** 10            # of the widened grid; exp() leaves the range of doubles before
 
 
 def boxcox_fit(daily: DataFrame, keys: list[str], col: str = "asking_price",
@@ -140,10 +160,12 @@ def boxcox_fit(daily: DataFrame, keys: list[str], col: str = "asking_price",
     so each group's best lambda minimises that variance, which is computed
     without cancellation. One aggregate scores a grid [lo, hi] for all groups
     at once; each refinement scores 2*refine_half+1 points around each group's
-    best at a finer step (final resolution: the last step). The rounds form one
-    plan over the (small) scaled table; only the result, one row per group, is
-    materialised. Groups with fewer than two values or a single value get NULL.
-    Output: keys, ``normalize_lambda``, ``log_gmean``."""
+    best at a finer step (final resolution: the last step). A group whose best
+    lies on an edge of the grid is searched again on one four times as wide, until
+    the best is inside. The rounds form one plan over the (small) scaled table;
+    only the result, one row per group, is materialised. Groups with fewer than
+    two values, a single value or a value <= 0 get NULL. Output: keys,
+    ``normalize_lambda``, ``log_gmean``."""
     u, stats = _scaled(daily, keys, col)
     # Partition the scaled values by group (an explicit count, so adaptive
     # execution does not pack the small table into one partition). A group has
@@ -155,14 +177,23 @@ def boxcox_fit(daily: DataFrame, keys: list[str], col: str = "asking_price",
     m = int(round((hi - lo) / step))
     # Candidates come from exploding a plain integer sequence; lambda is
     # computed in the next projection so the whole stage stays code-generated.
-    grid = (u.select(*keys, "_u", F.explode(F.sequence(F.lit(0), F.lit(m))).alias("_i"))
-            .select(*keys, "_u", (F.lit(lo) + F.col("_i") * F.lit(step)).alias("_lam")))
-    best = _best_lambda(grid, keys)
+    def on_grid(rows: DataFrame) -> DataFrame:
+        cells = rows.select(*keys, "_u", "_w", F.explode(F.sequence(F.lit(0), F.lit(m))).alias("_i"))
+        return _best_lambda(cells.select(*keys, "_u", "_w", ((F.lit(lo) + F.col("_i") * F.lit(step)) * F.col("_w"))
+                                         .alias("_lam")), keys)
+    half = F.lit(step / 2) * F.col("_w")
+    edge = (F.col("_lam") <= F.lit(lo) * F.col("_w") + half) | (F.col("_lam") >= F.lit(hi) * F.col("_w") - half)
+    best = on_grid(u.withColumn("_w", F.lit(1.0))).checkpoint(eager=True)
+    at_edge = best.filter(edge)
+    while not at_edge.isEmpty():
+        wider = at_edge.select(*keys, (F.col("_w") * 4).alias("_w"))
+        best = (best.filter(~edge).unionByName(on_grid(u.join(wider, keys)))).checkpoint(eager=True)
+        at_edge = best.filter(edge & (F.col("_w") < MAX_WIDTH))
     for fine in refine_steps:
         cands = (u.join(best.withColumnRenamed("_lam", "_b"), keys)
-                 .select(*keys, "_u", "_b",
+                 .select(*keys, "_u", "_b", "_w",
                          F.explode(F.sequence(F.lit(-refine_half), F.lit(refine_half))).alias("_j"))
-                 .select(*keys, "_u", (F.col("_b") + F.col("_j") * F.lit(fine)).alias("_lam")))
+                 .select(*keys, "_u", "_w", (F.col("_b") + F.col("_j") * F.lit(fine) * F.col("_w")).alias("_lam")))
         best = _best_lambda(cands, keys)
     return (stats.join(best, keys, "left")
             .select(*keys, F.col("_lam").alias("normalize_lambda"), F.col("_lgm").alias("log_gmean"))
@@ -173,10 +204,10 @@ def boxcox_transform(daily: DataFrame, params: DataFrame, keys: list[str],
                      col: str = "asking_price", out: str = "target") -> tuple[DataFrame, DataFrame]:
     """Standardised Box-Cox values per row (population std, as the
     reference), and per group the mean and std of the unstandardised values
-    (x^l - 1)/l. Returns (rows with ``out``, group table)."""
+    (x^l - 1)/l. Returns (rows with ``out``, group table). Groups without a lambda
+    keep their rows, with a NULL ``out``."""
     lam = F.col("normalize_lambda")
     rows = (join_small(daily, params, keys)
-            .filter(F.col(col) > 0)
             .withColumn("_z", _z(F.log(F.col(col)) - F.col("log_gmean"), lam)))
     zstats = rows.groupBy(*keys).agg(F.avg("_z").alias("_zm"), F.stddev_pop("_z").alias("_zs"))
     glam = F.exp(lam * F.col("log_gmean"))
@@ -197,7 +228,8 @@ def boxcox_growth(daily: DataFrame, keys: tuple[str, ...] = ("location", "proper
                   days: int = GROWTH_DAYS, materialise: bool = True) -> DataFrame:
     """I1 + I2 + E3 + I4 + I6: per group the line through standardised Box-Cox
     daily prices against days since the group's first day, the transform's
-    parameters, and the growth factor over ``days``."""
+    parameters, and the growth factor over ``days``. Groups that cannot be fitted
+    keep a row with NULLs (and ``n`` = 0)."""
     keys = list(keys)
     # The daily table is read by the fit, the transform and the line fit:
     # materialise it once (it is bounded by groups x days), unless the caller
@@ -208,7 +240,9 @@ def boxcox_growth(daily: DataFrame, keys: tuple[str, ...] = ("location", "proper
     rows, groups = boxcox_transform(daily, params, keys, col)
     rows = days_since_start(rows.filter(F.col("target").isNotNull()), keys, date_col, "_days")
     fits = trend_fit(rows, keys, "_days", "target")
-    out = fits.join(groups, keys)
+    out = groups.join(fits, keys, "left").select(
+        *keys, "coef", "intercept", "r2", F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+        "normalize_lambda", "normalized_mean", "normalized_std")
     return out.withColumn(f"growth_{CHECK_DAYS}_days", growth_factor(
         "normalize_lambda", "normalized_std", "coef", "intercept", "normalized_mean", days))
 
@@ -219,7 +253,7 @@ def observed_growth(daily: DataFrame, keys: list[str], col: str = "asking_price"
     group, and their ratio. The window partitions hold one row per day of a
     group, so they are bounded by the calendar."""
     w = Window.partitionBy(*keys).orderBy(date_col)
-    ranked = daily.select(*keys, date_col, col, F.row_number().over(w).alias("_r"),
+    ranked = without_null_keys(daily, keys).select(*keys, date_col, col, F.row_number().over(w).alias("_r"),
                           F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"))
     first = F.col("_r") <= k
     last = F.col("_r") > F.col("_n") - k

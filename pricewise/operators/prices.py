@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import group_quantiles
+from ..functions.quantiles import group_quantiles, without_null_keys
 from ..plans.joins import HOT_ROWS, join_small
 
 AggSpec = "str | Callable[[Column], Column]"
@@ -48,17 +48,25 @@ def _daily_agg(base: DataFrame, keys: list[str], agg, value: str, method: str) -
         expr = agg(F.col(value))
     else:
         raise ValueError(f"unknown aggregate {agg!r}")
-    return base.groupBy(*keys).agg(expr.alias(value))
+    return without_null_keys(base, keys).groupBy(*keys).agg(expr.alias(value))
 
 
 def daily_medians(df: DataFrame, cols: list[str], keys: tuple[str, ...] = ("location", "property_type"),
                   date_col: str = "listing_dt", method: str = "auto") -> DataFrame:
     """Daily median of each numeric column in ``cols`` per (keys, day)."""
-    base = df.select(*keys, _day(df, date_col).alias(date_col), *cols)
     gkeys = [*keys, date_col]
+    base = without_null_keys(df.select(*keys, _day(df, date_col).alias(date_col), *cols), gkeys)
     if method == "auto":
+        # Only the groups above the threshold (fewer than rows / HOT_ROWS of them)
+        # take the other plan; both give the same rows.
         sizes = base.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_gn"))
-        method = "ranked" if not sizes.filter(F.col("_gn") > HOT_ROWS).isEmpty() else "percentile"
+        hot = sizes.filter(F.col("_gn") > HOT_ROWS).select(*gkeys)
+        if hot.isEmpty():
+            return daily_medians(df, cols, keys, date_col, "percentile")
+        small = base.join(F.broadcast(hot), gkeys, "left_anti")
+        big = base.join(F.broadcast(hot), gkeys, "left_semi")
+        return daily_medians(small, cols, keys, date_col, "percentile").unionByName(
+            daily_medians(big, cols, keys, date_col, "ranked"))
     if method == "percentile":
         return base.groupBy(*gkeys).agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c)
                                           for c in cols])
@@ -72,22 +80,25 @@ def daily_medians(df: DataFrame, cols: list[str], keys: tuple[str, ...] = ("loca
 
 def group_mean(df: DataFrame, keys: list[str], col: str, out: str | None = None) -> DataFrame:
     """Mean of ``col`` per group (partial aggregation, one shuffle)."""
-    return df.groupBy(*keys).agg(F.avg(col).alias(out or col))
+    return without_null_keys(df, keys).groupBy(*keys).agg(F.avg(col).alias(out or col))
 
 
 def with_group_median(df: DataFrame, keys: tuple[str, ...] = ("property_type", "location"),
                       col: str = "asking_price", out: str = "median_price",
                       method: str = "auto") -> DataFrame:
     """E1 (+B7, C6): every row with log10 price and its group's median price,
-    sorted by (first key, median) descending.
+    sorted by (first key, median) descending. A row with a null key is in no
+    group and has no median. The sort goes on with the price and the listing, so
+    that range partitioning can cut a large town's rows into several tasks.
 
     Not a window: a town's listings may be a large share of the table, so the
     median is an exact distributed aggregate joined back by key."""
     meds = group_quantiles(df, list(keys), col, [0.5], [out], method=method)
-    rows = df.select(*keys, col, F.log10(col).alias(f"log10_{col}"))
+    last = [c for c in ("listing_id",) if c in df.columns]
+    rows = df.select(*keys, col, F.log10(col).alias(f"log10_{col}"), *last)
     return (join_small(rows, meds, list(keys), "left")
-            .select(*keys, col, f"log10_{col}", out)
-            .orderBy(F.desc(keys[0]), F.desc(out)))
+            .orderBy(F.desc(keys[0]), F.desc(out), *[F.asc(k) for k in keys[1:]], F.desc(col), *last)
+            .select(*keys, col, f"log10_{col}", out))
 
 
 def box_stats(df: DataFrame, keys: tuple[str, ...] = ("location", "property_type"),
@@ -101,6 +112,7 @@ def box_stats(df: DataFrame, keys: tuple[str, ...] = ("location", "property_type
                            (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("_uf"))
     x = F.col(col)
     inside = (x >= F.col("_lf")) & (x <= F.col("_uf"))
+    # Groups without a value have nothing to draw and are left out.
     return (join_small(df.select(*keys, col).filter(x.isNotNull()), fences, list(keys))
             .groupBy(*keys)
             .agg(F.count(x).alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),

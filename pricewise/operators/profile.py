@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import group_quantiles
+from ..functions.quantiles import group_quantiles, without_null_keys
 from ..plans.joins import attach_scalars
 
 
@@ -55,6 +55,7 @@ def describe_column(df: DataFrame, col: str, by: list[str] | None = None,
 
     Exact quantiles, not ``df.summary()`` (which is approximate)."""
     by = by or []
+    df = without_null_keys(df, by)
     moments = df.groupBy(*by).agg(
         F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
         F.min(col).alias("min"), F.max(col).alias("max"))

@@ -158,6 +158,10 @@ def add_revision_features(df: DataFrame, date_col: str = "listing_dt",
 
 
 def revision_scatter(df: DataFrame, frac: float = 0.4, seed: int = 42) -> DataFrame:
-    """A repeatable 40 % sample of (log price, bedrooms, revision count)."""
-    return (sample_fraction(df, KEY, frac, seed)
+    """A repeatable 40 % sample of rows: (log price, bedrooms, revision
+    count). Rows are told apart by listing, date and the tie-breakers they have;
+    rows equal in all of these are taken or left together."""
+    names = [c for c in (KEY, DATE, "l_linenumber", "l_partkey", "l_suppkey") if c in df.columns]
+    row = F.concat_ws("|", *[F.col(c).cast("string") for c in names])
+    return (sample_fraction(df, row, frac, seed)
             .select(KEY, "log10_asking_price", "bedroom_count", "revision_count"))

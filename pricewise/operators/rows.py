@@ -40,7 +40,7 @@ def _fraction_threshold(frac: float) -> str:
     return format(min(int(round(frac * 16 ** 8)), 16 ** 8), "08x") if frac < 1 else "g"
 
 
-def sample_fraction(df: DataFrame, key: str, frac: float, seed: int = 42) -> DataFrame:
+def sample_fraction(df: DataFrame, key, frac: float, seed: int = 42) -> DataFrame:
     """about ``frac`` of the rows, chosen by a hash of the key.
 
     The first 8 hex digits of the md5 key are compared with ``frac * 16^8``; a
@@ -130,11 +130,11 @@ def with_group_rank(df: DataFrame, keys: list[str], order: list, rank_col: str =
     size. A hot group is spread over many range partitions instead of landing
     in one task. ``order`` must be unique within a group unless ``tiebreak``
     is set: then tied rows (equal in every order column, so interchangeable
-    for the output) are told apart by a row id, which also lets one repeated
-    value spread over several partitions."""
+    for the output) are told apart by a hash of the whole row, which is the same
+    after a recomputation; rows that are equal in every column follow each other."""
     order = list(order)
     if tiebreak:
-        df = df.withColumn("_tb", F.monotonically_increasing_id())
+        df = df.withColumn("_tb", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
         order.append(F.col("_tb"))
     idx = with_row_index(df, [F.col(k) for k in keys] + order, "_gidx", num_partitions)
     if tiebreak:

@@ -12,6 +12,8 @@ from ..operators import growth as G
 from ..operators import prices as P
 from ..operators import profile as PR
 from ..sources.fixtures import listing_view
+from ..sources.readers import parse_text
+from ..sources.schema import LISTING_SCHEMA
 from .oracle import CLEANED, DAILY, LISTING, register, with_ctes
 from .queries import cleaned_listings, query, rounded
 
@@ -38,6 +40,21 @@ register("a5_profile_columns", with_ctes(LISTING, body="\nUNION ALL\n".join(
     f"count(*) - count({c}) AS nulls, count(*) AS row_count FROM listing"
     for i, (c, t) in enumerate(_PROFILE_TYPES))))
 
+@query("a1_a3_parse_text")
+def q_parse_text(spark, sf_dir):
+    """The listing view as CSV lines (columns in another order, an unknown one
+    among them) and read back by the reader's own cell rules."""
+    view = listing_view(spark, sf_dir)
+    names = [*reversed(view.columns), "remark"]
+    text = view.withColumn("remark", F.lit("a, b")).select(*[F.col(c).cast("string") for c in names])
+    lines = text.select(F.to_csv(F.struct(*names)).alias("line"))
+    cells = lines.select(F.from_csv("line", F.lit(", ".join(f"{c} string" for c in names))).alias("c")).select("c.*")
+    out = parse_text(cells, LISTING_SCHEMA)
+    return out.withColumn("listing_dt", F.to_date("listing_dt"))
+
+
+register("a1_a3_parse_text", with_ctes(LISTING, body="SELECT * FROM listing"))
+
 _VC_COLS = ["property_type", "tenure", "location", "bedroom_count", "bathroom_count"]
 
 
@@ -182,8 +199,9 @@ SELECT property_type, hg.bin, round(bin_lo, 6) AS bin_lo, round(bin_hi, 6) AS bi
          AS density
 FROM hg LEFT JOIN hc USING (property_type, bin)"""))
 
-# Bin edges of the zero-bedroom price histogram, linspace(1e6, 1e7, 20).
-STUDIO_EDGES = [1e6 + i * (9e6 / 19) for i in range(19)] + [1e7]
+# Bin edges of the zero-bedroom price histogram: 20 edges over the fixture's prices
+# (its studios cost less than a million; the operator takes any edges).
+STUDIO_EDGES = [1e5 + i * (9e5 / 19) for i in range(19)] + [1e6]
 
 
 @query("d13_studio_price_histogram")
@@ -226,7 +244,7 @@ def q_daily_mean(spark, sf_dir):
 
 register("d4_daily_mean_price", with_ctes(LISTING, CLEANED, body=f"""
 SELECT {K}, listing_dt, round(avg(asking_price), 4) AS asking_price
-FROM cleaned GROUP BY {K}, listing_dt"""))
+FROM cleaned WHERE location IS NOT NULL GROUP BY {K}, listing_dt"""))
 
 
 @query("d4_daily_log10_mean_price")
@@ -236,7 +254,7 @@ def q_daily_log_mean(spark, sf_dir):
 
 register("d4_daily_log10_mean_price", with_ctes(LISTING, CLEANED, body=f"""
 SELECT {K}, listing_dt, round(log10(avg(asking_price)), 9) AS asking_price
-FROM cleaned GROUP BY {K}, listing_dt"""))
+FROM cleaned WHERE location IS NOT NULL GROUP BY {K}, listing_dt"""))
 
 
 @query("d5_daily_medians")
@@ -249,7 +267,7 @@ register("d5_daily_medians", with_ctes(LISTING, CLEANED, body=f"""
 SELECT {K}, listing_dt, round(quantile_cont(asking_price, 0.5), 4) AS asking_price,
        round(quantile_cont(CAST(bedroom_count AS DOUBLE), 0.5), 4) AS bedroom_count,
        round(quantile_cont(bathroom_count, 0.5), 4) AS bathroom_count
-FROM cleaned GROUP BY {K}, listing_dt"""))
+FROM cleaned WHERE location IS NOT NULL GROUP BY {K}, listing_dt"""))
 
 
 @query("d6_group_mean_price")
@@ -258,7 +276,8 @@ def q_group_mean(spark, sf_dir):
 
 
 register("d6_group_mean_price", with_ctes(LISTING, CLEANED, body=f"""
-SELECT {K}, round(avg(asking_price), 4) AS asking_price FROM cleaned GROUP BY {K}"""))
+SELECT {K}, round(avg(asking_price), 4) AS asking_price FROM cleaned
+WHERE location IS NOT NULL GROUP BY {K}"""))
 
 
 @query("e1_group_median_price")
@@ -268,7 +287,8 @@ def q_group_median(spark, sf_dir):
 
 register("e1_group_median_price", with_ctes(LISTING, CLEANED, body="""
 SELECT property_type, location, asking_price, round(log10(asking_price), 9) AS log10_asking_price,
-       round(quantile_cont(asking_price, 0.5) OVER (PARTITION BY property_type, location), 4) AS median_price
+       CASE WHEN location IS NOT NULL THEN
+         round(quantile_cont(asking_price, 0.5) OVER (PARTITION BY property_type, location), 4) END AS median_price
 FROM cleaned"""))
 
 
@@ -279,7 +299,7 @@ def q_box(spark, sf_dir):
 
 
 register("d15_box_stats", with_ctes(LISTING, CLEANED, f"""
-v AS (SELECT {K}, log10(asking_price) AS x FROM cleaned),
+v AS (SELECT {K}, log10(asking_price) AS x FROM cleaned WHERE location IS NOT NULL),
 q AS (SELECT {K}, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
              quantile_cont(x, 0.75) AS q3 FROM v GROUP BY {K}),
 f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lf, q3 + 1.5 * (q3 - q1) AS uf FROM q)""", body=f"""
@@ -305,7 +325,8 @@ SELECT {K}, CAST(p AS INT) AS point, round(glo + p * step, 2) AS x,
        round(sum(exp(-0.5 * ((glo + p * step - asking_price) / bw) * ((glo + p * step - asking_price) / bw)))
              / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 18) AS density
 FROM daily JOIN g USING ({K}), range(0, 100) t(p)
-GROUP BY {K}, p, glo, step"""))
+GROUP BY {K}, p, glo, step
+UNION ALL SELECT {K}, NULL, NULL, NULL FROM st WHERE NOT coalesce(bw > 0, false)"""))
 
 
 # ------------------------------------------------------------------ E3, I4, I5, I7, I8
@@ -362,13 +383,13 @@ def q_growth_log_linear(spark, sf_dir):
 
 
 register("i7_growth_log_linear", with_ctes(LISTING, CLEANED, f"""
-rows_ AS (SELECT {K}, listing_dt, log10(asking_price) AS y FROM cleaned WHERE asking_price > 0),
+rows_ AS (SELECT {K}, listing_dt, log10(asking_price) AS y FROM cleaned WHERE asking_price > 0 AND location IS NOT NULL),
 xy AS (SELECT {K}, y, date_diff('day', min(listing_dt) OVER (PARTITION BY {K}), listing_dt) AS x FROM rows_),
 fits AS (SELECT {K}, regr_slope(y, x) AS coef, regr_intercept(y, x) AS intercept,
                 regr_r2(y, x) AS r2, CAST(regr_count(y, x) AS BIGINT) AS n FROM xy GROUP BY {K})""", body=f"""
 SELECT {K}, round(coef, 14) AS coef, round(intercept, 9) AS intercept, round(r2, 9) AS r2, n,
        round(pow(10.0, coef * 730), 9) AS growth_2_yr,
-       CAST(row_number() OVER (PARTITION BY property_type ORDER BY pow(10.0, coef * 730) DESC, location,
+       CAST(row_number() OVER (PARTITION BY property_type ORDER BY pow(10.0, coef * 730) DESC NULLS LAST, location,
                           coef, intercept, r2, n) AS INTEGER) AS rank,
        pow(10.0, coef * 730) > 1 AS grew
 FROM fits"""))
@@ -381,7 +402,7 @@ def q_messages(spark, sf_dir):
 
 
 register("h10_fit_messages", with_ctes(LISTING, CLEANED, f"""
-rows_ AS (SELECT {K}, listing_dt, log10(asking_price) AS y FROM cleaned WHERE asking_price > 0),
+rows_ AS (SELECT {K}, listing_dt, log10(asking_price) AS y FROM cleaned WHERE asking_price > 0 AND location IS NOT NULL),
 xy AS (SELECT {K}, y, date_diff('day', min(listing_dt) OVER (PARTITION BY {K}), listing_dt) AS x FROM rows_),
 fits AS (SELECT {K}, regr_slope(y, x) AS coef, regr_intercept(y, x) AS intercept FROM xy GROUP BY {K})""", body=f"""
 SELECT {K}, upper(property_type[1]) || lower(property_type[2:]) AS label,
@@ -433,12 +454,12 @@ bc_fit_rows AS (SELECT *, date_diff('day', min(listing_dt) OVER (PARTITION BY {K
                 FROM bc_rows WHERE target IS NOT NULL),
 bc_fits AS (SELECT {K}, regr_slope(target, days) AS coef, regr_intercept(target, days) AS intercept,
                    regr_r2(target, days) AS r2, CAST(regr_count(target, days) AS BIGINT) AS n FROM bc_fit_rows GROUP BY {K}),
-bc_coefs AS (SELECT f.*, g.normalize_lambda, g.normalized_mean, g.normalized_std,
+bc_coefs AS (SELECT {K}, f.coef, f.intercept, f.r2, coalesce(f.n, 0) AS n, g.normalize_lambda, g.normalized_mean, g.normalized_std,
    CASE WHEN abs(g.normalize_lambda) < 1e-12 THEN exp(g.normalized_std * f.coef * {G.GROWTH_DAYS}.0)
         ELSE pow(1 + g.normalize_lambda * g.normalized_std * f.coef * {G.GROWTH_DAYS}.0
                  / (g.normalize_lambda * g.normalized_std * f.intercept + 1
                     + g.normalized_mean * g.normalize_lambda), 1 / g.normalize_lambda) END AS growth_975_days
-   FROM bc_fits f JOIN bc_groups g USING ({K}))""")
+   FROM bc_groups g LEFT JOIN bc_fits f USING ({K}))""")
     return ",".join(parts)
 
 
@@ -486,7 +507,7 @@ def _r(cols: dict) -> str:
 
 register("i6_boxcox_growth_ranking", with_ctes(LISTING, CLEANED, DAILY, boxcox_sql(), body=f"""
 SELECT {K}, n, {_r(_COEF_ROUND)},
-       CAST(row_number() OVER (PARTITION BY property_type ORDER BY growth_975_days DESC, location, coef, intercept,
+       CAST(row_number() OVER (PARTITION BY property_type ORDER BY growth_975_days DESC NULLS LAST, location, coef, intercept,
                           r2, n, normalize_lambda, normalized_mean, normalized_std) AS INTEGER) AS rank,
        growth_975_days > 1 AS grew
 FROM bc_coefs"""))

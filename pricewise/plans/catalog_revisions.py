@@ -14,6 +14,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import without_null_keys
 from ..operators import clean as C
 from ..operators import evaluate as EV
 from ..operators import features as FT
@@ -27,6 +28,7 @@ from .queries import cleaned_listings, query, revisions, rounded
 FIX_MAX = 3
 FIX_MIN = 2
 SEED = 42
+SAMPLE_ROWS = 500        # below the number of cleaned listings at every scale
 LCOLS = ["listing_id", "listing_dt", "property_type", "tenure", "location", "bedroom_count",
          "bathroom_count", "asking_price"]
 LC = ", ".join(LCOLS)
@@ -164,7 +166,7 @@ SELECT * REPLACE (round(revised_purchase_price, 4) AS revised_purchase_price) FR
 
 
 def exploration_table(spark, sf_dir):
-    """RP exploration: all revisions joined (C2), features, rises dropped, label."""
+    """Exploration table: all revisions joined (C2), features, rises dropped, label."""
     listings = cleaned_listings(spark, sf_dir)
     merged = R.with_all_revisions(listings, revisions(spark, sf_dir))
     out = C.label_revision(C.drop_price_rises(R.add_revision_features(merged, newest_from=listings)))
@@ -201,14 +203,15 @@ SELECT * REPLACE (round(revised_purchase_price, 4) AS revised_purchase_price,
 @query("d6_revision_rate_by_type_location")
 def q_rate(spark, sf_dir):
     ex = exploration_table(spark, sf_dir)
-    return rounded(ex.groupBy("property_type", "location").agg(
+    return rounded(without_null_keys(ex, ["property_type", "location"]).groupBy("property_type", "location").agg(
         F.avg("revision").alias("revision"), F.avg("revision_count").alias("revision_count"),
         F.avg("asking_price").alias("asking_price")), 9, asking_price=4)
 
 
 register("d6_revision_rate_by_type_location", with_ctes(LISTING, CLEANED, REVISION, EXPLORE, body="""
 SELECT property_type, location, round(avg(revision), 9) AS revision, round(avg(revision_count), 9) AS revision_count,
-       round(avg(asking_price), 4) AS asking_price FROM ex GROUP BY property_type, location"""))
+       round(avg(asking_price), 4) AS asking_price FROM ex
+WHERE location IS NOT NULL GROUP BY property_type, location"""))
 
 
 @query("i27_revision_scatter")
@@ -219,13 +222,14 @@ def q_scatter(spark, sf_dir):
 _FRAC = RW._fraction_threshold(0.4)
 register("i27_revision_scatter", with_ctes(LISTING, CLEANED, REVISION, EXPLORE, body=f"""
 SELECT listing_id, round(log10_asking_price, 9) AS log10_asking_price, bedroom_count, revision_count FROM ex
-WHERE substr(md5(CAST(listing_id AS VARCHAR) || '-{SEED}'), 1, 8) < '{_FRAC}'"""))
+WHERE substr(md5(concat_ws('|', listing_id, price_revision_dt, l_linenumber, l_partkey, l_suppkey) || '-{SEED}'), 1, 8)
+      < '{_FRAC}'"""))
 
 
 # ------------------------------------------------------------------ F4-F7, B10, D18, D19
 
 def model_dataset(spark, sf_dir):
-    """RP:219-243: last revision, features, rises dropped, label, nulls dropped,
+    """Modelling table: last revision, features, rises dropped, label, nulls dropped,
     with the seeded shuffle key."""
     feat = last_revision_features(spark, sf_dir).withColumn("log10_asking_price", F.log10("asking_price"))
     ds = C.label_revision(C.drop_price_rises(feat)).select("listing_id", *FT.FEATURES, "revision")
@@ -269,13 +273,13 @@ FROM split"""))
 
 @query("f6_sample_n")
 def q_sample_n(spark, sf_dir):
-    s = RW.sample_n(cleaned_listings(spark, sf_dir), 10000, "listing_id", SEED)
+    s = RW.sample_n(cleaned_listings(spark, sf_dir), SAMPLE_ROWS, "listing_id", SEED)
     return s.select("listing_dt", "asking_price", "location").orderBy("location", "listing_dt")
 
 
 register("f6_sample_n", with_ctes(LISTING, CLEANED, body=f"""
 SELECT listing_dt, asking_price, location FROM cleaned
-ORDER BY md5(CAST(listing_id AS VARCHAR) || '-{SEED}'), listing_id LIMIT 10000"""))
+ORDER BY md5(CAST(listing_id AS VARCHAR) || '-{SEED}'), listing_id LIMIT {SAMPLE_ROWS}"""))
 
 
 @query("d18_class_balance")
@@ -519,7 +523,9 @@ cum AS (SELECT *, sum(pos) OVER (ORDER BY threshold DESC) AS pos_cum, sum(neg) O
                sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM ps)""", body="""
 SELECT round(threshold, 12) AS threshold, CAST(pos AS BIGINT) AS pos, CAST(neg AS BIGINT) AS neg, round(pos_cum / P, 12) AS tpr, round(neg_cum / N, 12) AS fpr,
        round(sum(neg * (pos_cum - pos + pos / 2.0) / (P * N)) OVER (), 12) AS auc
-FROM cum"""))
+FROM cum
+UNION ALL
+SELECT NULL, 0, 0, 0.0, 0.0, round(sum(neg * (pos_cum - pos + pos / 2.0) / (P * N)), 12) FROM cum"""))
 
 CORR_COLS = ["bedroom_count", "time_listed", "log10_asking_price", "revision", "proba"]
 
@@ -544,7 +550,7 @@ SEGMENT_KEYS = ["property_type", "tenure", "location"]
 
 
 def _segment(spark, sf_dir):
-    """The town with most listings stands in for the reference's 'Reading'."""
+    """A fixed segment: one town, type and tenure."""
     return {"location": "NATION_10", "property_type": "house", "tenure": "freehold"}
 
 
@@ -595,7 +601,7 @@ SELECT label, prediction, cell, count_a, count_b, count_b - count_a AS change FR
 
 @query("i25_interaction_model_comparison")
 def q_interactions(spark, sf_dir):
-    """RP:352-373: refit with the (location x time_listed) interaction and
+    """Refit with the (location x time_listed) interaction and
     compare confusion cells of both models on the training rows."""
     tf, model, _ = fitted(spark, sf_dir, cv=True)
     plain = M.score(model, tf, FT.EXTENDED)

@@ -3,7 +3,7 @@
 * ``attach_scalars``: add the columns of a one-row aggregate to every row as a
   scalar subquery (planned once, shipped as a value; no cross join).
 * ``join_small``: join a side that is usually small (an encoder map, a table of
-  group statistics): broadcast only behind a size check, else a shuffle join.
+  group statistics); adaptive execution broadcasts it if its measured size allows.
 """
 
 from __future__ import annotations
@@ -22,18 +22,13 @@ def attach_scalars(df: DataFrame, one_row: DataFrame, cols: list[str] | None = N
     return df.select("*", *[packed.getField(c).alias(c) for c in cols])
 
 
-def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner",
-               max_rows: int | None = None) -> DataFrame:
+def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     """Join a side that is usually small.
 
-    With ``max_rows`` the side's row count is checked first (an extra, cheap
-    job over an aggregate table) and it is broadcast only within the bound.
-    Without it the choice is left to adaptive execution, which broadcasts the
-    side only when its measured shuffle output is under
+    The choice is left to adaptive execution, which broadcasts the side only
+    when its measured shuffle output is under
     ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and otherwise keeps a
-    sort-merge join whose skewed partitions it splits."""
-    if max_rows is not None and right.count() <= max_rows:
-        right = F.broadcast(right)
+    sort-merge join."""
     return left.join(right, on, how)
 
 
@@ -55,7 +50,8 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str, hot
     so that no key's rows meet in one task.
 
     ``hot`` lists the heavy keys (``hot_keys``). Their rows in ``big`` get a
-    random salt in [0, salts); their row in ``small`` is repeated once per salt;
+    salt in [0, salts) from a hash of the row (the same after a recomputation);
+    their row in ``small`` is repeated once per salt;
     every other key keeps salt 0. ``how`` is 'inner', 'left' (keep every row of
     ``big``) or 'left_anti' (rows of ``big`` whose key is not in ``small``);
     each row of ``big`` meets exactly the copy with its salt, so results equal
@@ -64,7 +60,7 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str, hot
         raise ValueError("how must be 'inner', 'left' or 'left_anti'")
     flag = F.broadcast(hot)
     b = (big.join(flag, keys, "left")
-         .withColumn("_salt", F.when(F.col("_hot"), (F.rand() * salts).cast("int")).otherwise(F.lit(0)))
+         .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
          .drop("_hot"))
     s = (small.join(flag, keys, "left")
          .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))

@@ -13,6 +13,7 @@ LISTING = """listing AS (
     CASE o_orderstatus WHEN 'F' THEN 'freehold' WHEN 'O' THEN 'leasehold' ELSE 'unknown' END AS tenure,
     CASE WHEN n_name = 'NATION_0' THEN 'Newcastle Upon Tyne'
          WHEN n_name = 'NATION_1' AND o_orderkey % 100 = 0 THEN 'Newcastle upon Tyne'
+         WHEN o_orderkey % 211 = 0 THEN NULL
          ELSE n_name END AS location,
     CAST(o_orderkey % 13 AS INT) AS bedroom_count,
     CAST(CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 23 END AS DOUBLE) AS bathroom_count,
@@ -24,8 +25,7 @@ REVISION = """revision AS (
     CASE WHEN l_linenumber = 7 THEN NULL
          ELSE o_totalprice * 2 * (0.95e0 + l_discount) END AS revised_purchase_price,
     l_linenumber, l_partkey, l_suppkey
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_returnflag = 'R')"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 CLEANED = """cleaned AS (
   SELECT listing_id, listing_dt, property_type, tenure,
@@ -39,7 +39,7 @@ CLEANED = """cleaned AS (
 
 DAILY = """daily AS (
   SELECT location, property_type, listing_dt, quantile_cont(asking_price, 0.5) AS asking_price
-  FROM cleaned GROUP BY location, property_type, listing_dt)"""
+  FROM cleaned WHERE location IS NOT NULL GROUP BY location, property_type, listing_dt)"""
 
 
 def with_ctes(*ctes: str, body: str) -> str:

@@ -20,6 +20,7 @@ TENURE_BY_STATUS = {"F": "freehold", "O": "leasehold"}
 TOWN_RENAMES = {"NATION_0": "Newcastle Upon Tyne"}
 MISSPELT_TOWN = "Newcastle upon Tyne"
 MISSPELT_SOURCE = "NATION_1"
+NO_TOWN_EVERY = 211              # listings without a town, except in NATION_0
 
 
 def listing_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,7 @@ def listing_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         tenure = F.when(F.col("o_orderstatus") == status, name).otherwise(tenure)
     location = (F.when(F.col("n_name") == "NATION_0", TOWN_RENAMES["NATION_0"])
                 .when((F.col("n_name") == MISSPELT_SOURCE) & (key % 100 == 0), MISSPELT_TOWN)
+                .when(key % NO_TOWN_EVERY == 0, None)
                 .otherwise(F.col("n_name")))
     return joined.select(
         key.alias("listing_id"),
@@ -51,12 +53,11 @@ def listing_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def revision_view(spark: SparkSession, sf_dir: str, tie_breakers: bool = True) -> DataFrame:
-    """Revisions, one per returned line item; the last three columns order
-    revisions of one listing that share a date."""
+    """Revisions, one per line item; the last three columns order revisions of
+    one listing that share a date."""
     lineitem = (read_table(spark, sf_dir, "lineitem")
                 .select("l_orderkey", "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey",
-                        "l_discount", "l_returnflag")
-                .filter(F.col("l_returnflag") == "R"))
+                        "l_discount"))
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     joined = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
     cols = [
@@ -73,7 +74,3 @@ def revision_view(spark: SparkSession, sf_dir: str, tie_breakers: bool = True) -
 
 # Order that makes "the last revision of a listing" well defined.
 REVISION_ORDER = ["price_revision_dt", "l_linenumber", "l_partkey", "l_suppkey"]
-
-
-def fixture_views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return listing_view(spark, sf_dir), revision_view(spark, sf_dir)

@@ -1,69 +1,108 @@
 """A1-A4: scans of the listing and revision tables, and the result sink.
 
-CSV is read with an explicit schema; date columns are read as text and parsed
-with ``try_to_timestamp`` so one bad cell becomes NULL instead of failing the
-job. NaN in double columns is turned into NULL at the source, so downstream
-only NULL exists (Spark counts NaN as a value and sorts it above all numbers).
+CSV columns are found by the name in the header, whatever their order; columns
+that the schema doesn't know are ignored and a missing one is an error. Cells are
+read as text and converted with ``try_cast`` / ``try_to_timestamp``, so a bad cell
+becomes NULL; ``rejected_cells`` counts them. NaN in double columns becomes NULL,
+so downstream only NULL exists (Spark counts NaN as a value and sorts it above all
+numbers). Parquet columns that already have the declared type are passed on
+untouched, so filters on them reach the scan; the cleaning rules know NaN, and
+``clean_listings`` (or ``nan_to_null``) turns it into NULL after filtering.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .schema import (LISTING_DATE_COLUMNS, LISTING_SCHEMA, REVISION_DATE_COLUMNS,
-                     REVISION_SCHEMA, as_text_schema)
+from .schema import LISTING_SCHEMA, REVISION_SCHEMA
 
 
-def _nan_to_null(df: DataFrame) -> DataFrame:
-    cols = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.when(F.isnan(f.name), F.lit(None)).otherwise(F.col(f.name))
-                        .cast(f.dataType).alias(f.name))
-        else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """Every NaN of a floating-point column as NULL."""
+    return df.withColumns({f.name: F.when(~F.isnan(f.name), F.col(f.name)) for f in df.schema.fields
+                           if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
 
 
-def _scan(spark: SparkSession, path: str, fmt: str, schema: T.StructType,
-          date_cols, timestamp_format: str | None) -> DataFrame:
+def _cell(name: str, kind: T.DataType, timestamp_format: str | None) -> Column:
+    """A text cell as ``kind``; NULL if it is not one."""
+    text = F.trim(F.col(f"`{name}`"))
+    if isinstance(kind, (T.TimestampType, T.DateType)):
+        value = F.try_to_timestamp(text, *([F.lit(timestamp_format)] if timestamp_format else []))
+        return value.cast(kind)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        value = text.try_cast("double")
+        return F.when(~F.isnan(value), value).cast(kind)
+    if isinstance(kind, T.IntegralType):
+        # "3.0" is the number 3; "3.5" is not a whole number.
+        whole = text.try_cast("decimal(38,6)")
+        return F.coalesce(text.try_cast(kind), F.when(whole == F.floor(whole), whole.try_cast(kind)))
+    return F.col(f"`{name}`").cast(kind)
+
+
+def _check_columns(raw: DataFrame, schema: T.StructType, what: str) -> None:
+    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{what}: missing column(s) {', '.join(missing)}; found {', '.join(raw.columns)}")
+
+
+def parse_text(raw: DataFrame, schema: T.StructType, timestamp_format: str | None = None) -> DataFrame:
+    """A table of text columns with the columns and types of ``schema``, by name."""
+    _check_columns(raw, schema, "text table")
+    return raw.select(*[_cell(f.name, f.dataType, timestamp_format).alias(f.name) for f in schema.fields])
+
+
+def rejected_cells(raw: DataFrame, schema: T.StructType, timestamp_format: str | None = None) -> DataFrame:
+    """``column_name, rejected``: how many non-empty cells (other than NaN) of each
+    column could not be converted. One aggregate over the text table."""
+    _check_columns(raw, schema, "text table")
+
+    def bad(f: T.StructField) -> Column:
+        text = F.lower(F.trim(F.col(f"`{f.name}`")))
+        given = text.isNotNull() & ~text.isin("", "nan", "null")
+        return F.count(F.when(given & _cell(f.name, f.dataType, timestamp_format).isNull(), 1)).alias(f.name)
+    counts = raw.agg(*[bad(f) for f in schema.fields])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.col(f.name).alias("rejected"))
+                                            for f in schema.fields])))
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with a header, all cells as text. All files must have the same header."""
+    return spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(path)
+
+
+def _scan(spark: SparkSession, path: str, fmt: str, schema: T.StructType, timestamp_format: str | None) -> DataFrame:
     if fmt == "csv":
-        raw = (spark.read.schema(as_text_schema(schema, date_cols))
-               .option("header", True).option("mode", "PERMISSIVE").csv(path))
-        parsed = []
-        for f in schema.fields:
-            if f.name in date_cols:
-                fmt_lit = [F.lit(timestamp_format)] if timestamp_format else []
-                parsed.append(F.try_to_timestamp(F.col(f.name), *fmt_lit).alias(f.name))
-            else:
-                parsed.append(F.col(f.name))
-        df = raw.select(*parsed)
-    elif fmt == "parquet":
-        df = spark.read.parquet(path)
-        # Parquet written by other tools may store the dates as text or as
-        # timestamps without zone; normalise to the declared types.
-        df = df.select(*[
-            (F.try_to_timestamp(F.col(f.name).cast("string")) if f.name in date_cols
-             else F.col(f.name).cast(f.dataType)).alias(f.name)
-            for f in schema.fields if f.name in df.columns
-        ])
-    else:
+        raw = read_text(spark, path)
+        _check_columns(raw, schema, path)
+        return parse_text(raw, schema, timestamp_format)
+    if fmt != "parquet":
         raise ValueError(f"unsupported format {fmt!r}; use 'csv' or 'parquet'")
-    return _nan_to_null(df)
+    df = spark.read.parquet(path)
+    _check_columns(df, schema, path)
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def column(f: T.StructField) -> Column:
+        have = types[f.name]
+        if have == f.dataType:
+            return F.col(f.name)
+        if isinstance(have, T.StringType):
+            return _cell(f.name, f.dataType, timestamp_format).alias(f.name)
+        return F.col(f.name).cast(f.dataType).alias(f.name)
+    return df.select(*[column(f) for f in schema.fields])
 
 
 def read_listings(spark: SparkSession, path: str, fmt: str = "csv",
                   timestamp_format: str | None = None) -> DataFrame:
-    """A1/A3: listing table with the declared schema and parsed ``listing_dt``."""
-    return _scan(spark, path, fmt, LISTING_SCHEMA, LISTING_DATE_COLUMNS, timestamp_format)
+    """A1/A3: listing table with the declared columns and types."""
+    return _scan(spark, path, fmt, LISTING_SCHEMA, timestamp_format)
 
 
 def read_revisions(spark: SparkSession, path: str, fmt: str = "csv",
                    timestamp_format: str | None = None) -> DataFrame:
-    """A2/A3: revision table with the declared schema and parsed ``price_revision_dt``."""
-    return _scan(spark, path, fmt, REVISION_SCHEMA, REVISION_DATE_COLUMNS, timestamp_format)
+    """A2/A3: revision table with the declared columns and types."""
+    return _scan(spark, path, fmt, REVISION_SCHEMA, timestamp_format)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,14 +19,3 @@ REVISION_SCHEMA = T.StructType([
     T.StructField("price_revision_dt", T.TimestampType(), True),
     T.StructField("revised_purchase_price", T.DoubleType(), True),
 ])
-
-LISTING_DATE_COLUMNS = ("listing_dt",)
-REVISION_DATE_COLUMNS = ("price_revision_dt",)
-
-
-def as_text_schema(schema: T.StructType, text_cols) -> T.StructType:
-    """Same schema with the given columns read as strings (parsed afterwards)."""
-    return T.StructType([
-        T.StructField(f.name, T.StringType(), True) if f.name in text_cols else f
-        for f in schema.fields
-    ])
