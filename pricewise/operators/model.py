@@ -1,83 +1,136 @@
 """Weighted L2 logistic regression, its regularisation search,
 a stratified random baseline, and scoring.
 
-Model fitting is pyspark.ml's distributed L-BFGS; only coefficients (a few
-numbers) and class counts reach the driver.
+Fits are Newton steps. One pass over the data gives the gradient and the Hessian
+of all models at once (the whole search: every C in every fold), as sums that are
+added up by Spark; a step is then a small linear solve. A search takes as many
+passes as its slowest model takes steps (about ten), not a solver run per model.
+What reaches the driver has the size of models x features squared.
 """
 
 from __future__ import annotations
 
-import math
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import balanced_weights
 from .rows import hash_key, with_group_rank
 
-# Fixed values of the reference's search: 20 values of C from 1e-8 to 1e4, 5 folds.
+# Fixed values of the search: 20 values of C from 1e-8 to 1e4, 5 folds.
 CS = [10 ** (-8 + 12 * i / 19) for i in range(20)]
 FOLDS = 5
 MAX_ITER = 200
-TOL = 1e-6
-# Rows per partition of a table an iterative solver passes over many times.
-ROWS_PER_PARTITION = 1_000_000
-
-
-def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(df)
-
-
-def solver_table(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """Materialise a table that a solver reads once per iteration: partitions
-    sized by its row count (each pass costs one task per partition), written
-    to the checkpoint folder (lineage cut) and cached."""
-    n = df.count()
-    parts = max(1, math.ceil(n / rows_per_partition))
-    return df.repartition(parts).checkpoint(eager=True).persist()
-
-
-def fit_logistic(df: DataFrame, features: list[str], label: str, C: float,
-                 weight_col: str | None = "weight", max_iter: int = MAX_ITER,
-                 weight_sum: float | None = None) -> LogisticRegressionModel:
-    """I16: minimise 1/2 |w|^2 + C * sum_i w_i * logloss_i (free intercept).
-
-    Spark minimises sum_i w_i logloss_i / sum_i w_i + regParam/2 |w|^2, which
-    is the same problem scaled by 1/(C sum w): regParam = 1/(C * sum w)."""
-    cols = ["features", label] + ([weight_col] if weight_col else [])
-    data = solver_table(assemble(df, features).select(*cols))
-    if weight_sum is None:
-        weight_sum = (data.agg(F.sum(weight_col)).first()[0] if weight_col else data.count())
-    lr = LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / (C * weight_sum),
-                            elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=TOL,
-                            fitIntercept=True, family="binomial")
-    if weight_col:
-        lr.setWeightCol(weight_col)
-    model = lr.fit(data)
+TOL = 1e-9                       # largest change of a coefficient in the last step
+
+
+@dataclass
+class LinearModel:
+    coefficients: np.ndarray
+    intercept: float
+
+
+def solver_table(df: DataFrame, features: list[str], label: str, weight_col: str | None = "weight",
+                 fold_col: str | None = None) -> DataFrame:
+    """The numbers a fit reads once per step (``x`` array, ``y``, ``w``, ``f``),
+    written to the checkpoint folder (lineage cut) and cached. Rows with a missing
+    feature, label or weight take no part."""
+    cols = [*features, label, *([weight_col] if weight_col else [])]
+    data = df.na.drop(subset=cols).select(
+        F.array(*[F.col(c).cast("double") for c in features]).alias("x"), F.col(label).cast("double").alias("y"),
+        (F.col(weight_col).cast("double") if weight_col else F.lit(1.0)).alias("w"),
+        (F.col(fold_col) if fold_col else F.lit(-1)).cast("int").alias("f"))
+    return data.checkpoint(eager=True).persist()
+
+
+def _sums(data: DataFrame, function, size: int) -> np.ndarray:
+    """Sum over all rows of ``function(x, y, w, f) -> vector``, batch by batch."""
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+                y, w, f = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+                total += function(flat.reshape(batch.num_rows, -1), y, w, f)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
+    rows = (data.mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "v"))
+            .groupBy("i").agg(F.sum("v").alias("v")).collect())
+    out = np.zeros(size)
+    for r in rows:
+        out[r["i"]] = r["v"]
+    return out
+
+
+def newton(data: DataFrame, n_features: int, specs: list[tuple[float, int | None]],
+           max_iter: int = MAX_ITER) -> list[LinearModel]:
+    """One model per ``(C, left-out fold)``: minimise 1/2 |b|^2 + C * sum_i w_i *
+    logloss_i over the rows of all other folds (free intercept)."""
+    d, m = n_features + 1, len(specs)
+    upper = np.triu_indices(d)
+    beta = np.zeros((m, d))
+    C = np.array([c for c, _ in specs])
+    left_out = np.array([-2 if f is None else f for _, f in specs])
+    ridge = np.diag([1.0] * n_features + [0.0])
+    live = np.ones(m, bool)
+
+    def batch_sums(b, out):
+        def run(x, y, w, f):
+            xb = np.column_stack([x, np.ones(len(x))])
+            p = 1 / (1 + np.exp(-np.clip(xb @ b.T, -35, 35)))
+            use = w[:, None] * (f[:, None] != out[None, :])
+            grad = (use * (p - y[:, None])).T @ xb
+            hess = (use * p * (1 - p)).T @ (xb[:, upper[0]] * xb[:, upper[1]])
+            return np.column_stack([grad, hess]).ravel()
+        return run
+    for _ in range(max_iter):
+        at = np.flatnonzero(live)
+        got = _sums(data, batch_sums(beta[at], left_out[at]), len(at) * (d + len(upper[0]))).reshape(len(at), -1)
+        for k, row in zip(at, got):
+            hess = np.zeros((d, d))
+            hess[upper] = row[d:]
+            hess = C[k] * (hess + np.triu(hess, 1).T) + ridge + 1e-12 * np.eye(d)
+            step = np.linalg.solve(hess, C[k] * row[:d] + ridge @ beta[k])
+            beta[k] -= step * min(1.0, 20.0 / max(np.abs(step).max(), 1e-300))
+            live[k] = np.abs(step).max() > TOL * max(1.0, np.abs(beta[k]).max())
+        if not live.any():
+            break
+    return [LinearModel(b[:-1].copy(), float(b[-1])) for b in beta]
+
+
+def fit_logistic(df: DataFrame, features: list[str], label: str, C: float, weight_col: str | None = "weight",
+                 max_iter: int = MAX_ITER) -> LinearModel:
+    """I16: one weighted L2 logistic fit."""
+    data = solver_table(df, features, label, weight_col)
+    model = newton(data, len(features), [(C, None)], max_iter)[0]
     data.unpersist()
     return model
 
 
-def score(model: LogisticRegressionModel, df: DataFrame, features: list[str],
+def score(model: LinearModel, df: DataFrame, features: list[str],
           pred_col: str = "y_pred", proba_col: str = "proba") -> DataFrame:
-    """Predicted label and probability of class 1 (scored once)."""
-    out = model.transform(assemble(df, features))
-    return (out.withColumn(proba_col, vector_to_array(F.col("probability"))[1])
-            .withColumn(pred_col, F.col("prediction").cast("int"))
-            .drop("features", "rawPrediction", "probability", "prediction"))
+    """Predicted label and probability of class 1, as plain expressions; a
+    row with a missing feature has neither."""
+    z = F.lit(float(model.intercept))
+    for c, name in zip(model.coefficients, features):
+        z = z + F.lit(float(c)) * F.col(name).cast("double")
+    return (df.withColumn(proba_col, 1 / (1 + F.exp(-z)))
+            .withColumn(pred_col, (F.col(proba_col) > 0.5).cast("int")))
 
 
-def f1_of_class1(scored: DataFrame, label: str, pred: str = "y_pred") -> float:
-    r = scored.agg(F.sum(((F.col(label) == 1) & (F.col(pred) == 1)).cast("long")).alias("tp"),
-                   F.sum(((F.col(label) == 0) & (F.col(pred) == 1)).cast("long")).alias("fp"),
-                   F.sum(((F.col(label) == 1) & (F.col(pred) == 0)).cast("long")).alias("fn")).first()
-    tp, fp, fn = (r["tp"] or 0), (r["fp"] or 0), (r["fn"] or 0)
-    return 0.0 if 2 * tp + fp + fn == 0 else 2 * tp / (2 * tp + fp + fn)
+def _held_out_f1(data: DataFrame, models: list[LinearModel], specs: list[tuple[float, int]]) -> list[float]:
+    """F1 of class 1 of every model on its left-out fold, in one pass."""
+    b = np.array([[*m.coefficients, m.intercept] for m in models])
+    fold = np.array([f for _, f in specs])
+
+    def run(x, y, w, f):
+        pred = (np.column_stack([x, np.ones(len(x))]) @ b.T) > 0
+        mine, one = f[:, None] == fold[None, :], (y == 1)[:, None]
+        return np.concatenate([(mine & pred & one).sum(0), (mine & pred & ~one).sum(0), (mine & ~pred & one).sum(0)]).astype(float)
+    tp, fp, fn = _sums(data, run, 3 * len(models)).reshape(3, -1)
+    return [0.0 if 2 * a + u + v == 0 else float(2 * a / (2 * a + u + v)) for a, u, v in zip(tp, fp, fn)]
 
 
 def stratified_folds(df: DataFrame, label: str, order: str, folds: int = FOLDS,
@@ -86,8 +139,8 @@ def stratified_folds(df: DataFrame, label: str, order: str, folds: int = FOLDS,
     in ``order`` are cut into contiguous runs whose sizes spread the classes
     evenly over the folds (class counts are two numbers read by the driver)."""
     counts = dict(df.groupBy(label).count().collect())
-    # Classes are numbered in order of first appearance (a top-1 query).
-    first = df.orderBy(order).select(label).first()[0]
+    # Classes are numbered in order of first appearance.
+    first = df.agg(F.min_by(label, order)).first()[0]
     classes = [first] + sorted(k for k in counts if k != first)
     # Sorted labels; fold i takes every folds-th position starting at i.
     alloc, start = {}, 0
@@ -111,93 +164,46 @@ def stratified_folds(df: DataFrame, label: str, order: str, folds: int = FOLDS,
 
 @dataclass
 class CVResult:
-    model: LogisticRegressionModel
+    model: LinearModel
     C: float
     scores: list = field(default_factory=list)  # (C, fold, f1)
     feature_model: object = None  # set when the features were fitted inside the search
 
 
 def fit_logistic_cv(train: DataFrame, features: list[str], label: str, order: str,
-                    Cs: list[float] = CS, folds: int = FOLDS, parallelism: int = 8,
-                    max_iter: int = MAX_ITER, fold_features=None) -> CVResult:
+                    Cs: list[float] = CS, folds: int = FOLDS, max_iter: int = MAX_ITER,
+                    fold_features=None) -> CVResult:
     """Pick C by mean F1 of class 1 over stratified folds (first best C on
     ties, i.e. the smallest), then refit on all of ``train``. Balanced weights
-    come from the whole training table; each fold's penalty uses the sum of
-    the weights it trains on. Fits run concurrently as separate Spark jobs on
-    the cached table.
+    come from the whole training table. All (C, fold) models share the passes.
 
     ``fold_features`` (``train_rows -> model with .transform``) makes the search
     fold-safe: the feature encoders are refitted on each fold's training rows
     and applied to its held-out rows, then once more on all of ``train`` for
     the final model. Without it, ``train`` already carries features fitted on
-    all training labels, as in the reference."""
-    if fold_features is not None:
-        return _fit_logistic_cv_fold_safe(train, features, label, order, Cs, folds, parallelism,
-                                          max_iter, fold_features)
-    data = stratified_folds(balanced_weights(train, label), label, order, folds)
-    # Every fit iterates over this table: cut its lineage once (checkpoint in
-    # the shared folder, then cache) instead of recomputing it per pass.
-    data = solver_table(assemble(data, features).select("features", label, "weight", "fold"))
-    sums = dict(data.groupBy("fold").agg(F.sum("weight")).collect())
-    total = sum(sums.values())
-
-    def run(args):
-        C, f = args
-        tr = data.filter(F.col("fold") != f)
-        lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight",
-                                regParam=1.0 / (C * (total - sums.get(f, 0.0))), elasticNetParam=0.0,
-                                standardization=False, maxIter=max_iter, tol=TOL)
-        m = lr.fit(tr)
-        te = m.transform(data.filter(F.col("fold") == f)).withColumn("y_pred", F.col("prediction").cast("int"))
-        return C, f, f1_of_class1(te, label)
-
+    all training labels."""
+    folded = stratified_folds(balanced_weights(train, label), label, order, folds)
     grid = [(C, f) for C in Cs for f in range(folds)]
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        scores = list(pool.map(run, grid))
-    mean = {C: sum(s for c, _, s in scores if c == C) / folds for C in Cs}
-    best_C = max(Cs, key=lambda C: (mean[C], -Cs.index(C)))
-    lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight",
-                            regParam=1.0 / (best_C * total), elasticNetParam=0.0,
-                            standardization=False, maxIter=max_iter, tol=TOL)
-    model = lr.fit(data)
+    feature_model = None
+    if fold_features is None:
+        data = solver_table(folded, features, label, "weight", "fold")
+        f1 = dict(zip(grid, _held_out_f1(data, newton(data, len(features), grid, max_iter), grid)))
+    else:
+        folded = folded.checkpoint(eager=True)
+        f1 = {}
+        for f in range(folds):
+            encoder = fold_features(folded.filter(F.col("fold") != f))
+            part = solver_table(encoder.transform(folded), features, label, "weight", "fold")
+            mine = [g for g in grid if g[1] == f]
+            f1.update(zip(mine, _held_out_f1(part, newton(part, len(features), mine, max_iter), mine)))
+            part.unpersist()
+        feature_model = fold_features(folded)
+        data = solver_table(feature_model.transform(folded), features, label, "weight")
+    mean = {C: sum(f1[C, f] for f in range(folds)) / folds for C in Cs}
+    best = max(Cs, key=lambda C: (mean[C], -Cs.index(C)))
+    model = newton(data, len(features), [(best, None)], max_iter)[0]
     data.unpersist()
-    return CVResult(model, best_C, scores)
-
-
-def _lr(label: str, reg: float, max_iter: int) -> LogisticRegression:
-    return LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", regParam=reg,
-                              elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=TOL)
-
-
-def _fit_logistic_cv_fold_safe(train, features, label, order, Cs, folds, parallelism, max_iter,
-                               fold_features) -> CVResult:
-    data = stratified_folds(balanced_weights(train, label), label, order, folds).checkpoint(eager=True)
-    keep = ["features", label, "weight"]
-    parts = []
-    for f in range(folds):
-        fm = fold_features(data.filter(F.col("fold") != f))
-        tr = solver_table(assemble(fm.transform(data.filter(F.col("fold") != f)), features).select(*keep))
-        te = solver_table(assemble(fm.transform(data.filter(F.col("fold") == f)), features).select(*keep))
-        parts.append((tr, te, tr.agg(F.sum("weight")).first()[0]))
-
-    def run(args):
-        C, f = args
-        tr, te, wsum = parts[f]
-        m = _lr(label, 1.0 / (C * wsum), max_iter).fit(tr)
-        return C, f, f1_of_class1(m.transform(te).withColumn("y_pred", F.col("prediction").cast("int")), label)
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        scores = list(pool.map(run, [(C, f) for C in Cs for f in range(folds)]))
-    for tr, te, _ in parts:
-        tr.unpersist()
-        te.unpersist()
-    mean = {C: sum(s for c, _, s in scores if c == C) / folds for C in Cs}
-    best_C = max(Cs, key=lambda C: (mean[C], -Cs.index(C)))
-    fm_all = fold_features(data)
-    full = solver_table(assemble(fm_all.transform(data), features).select(*keep))
-    model = _lr(label, 1.0 / (best_C * full.agg(F.sum("weight")).first()[0]), max_iter).fit(full)
-    full.unpersist()
-    return CVResult(model, best_C, scores, fm_all)
+    return CVResult(model, best, [(C, f, f1[C, f]) for C, f in grid], feature_model)
 
 
 @dataclass
@@ -219,11 +225,11 @@ def fit_baseline(train: DataFrame, label: str, key: str = "listing_id", seed: in
     return BaselineModel(train.agg(F.avg(F.col(label).cast("double"))).first()[0], key, seed)
 
 
-def coefficient_table(model: LogisticRegressionModel, names: list[str]):
+def coefficient_table(model: LinearModel, names: list[str]):
     """Coefficients by feature name, largest first, rounded to 4 digits,
     with the intercept (a few rows, built on the driver from the model)."""
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
-    rows = [(n, round(float(c), 4)) for n, c in zip(names, model.coefficients.toArray())]
+    rows = [(n, round(float(c), 4)) for n, c in zip(names, model.coefficients)]
     rows.append(("intercept", round(float(model.intercept), 4)))
     return spark.createDataFrame(rows, "name string, coef double").orderBy(F.desc("coef"), "name")

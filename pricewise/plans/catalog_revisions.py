@@ -399,8 +399,7 @@ register("i10_one_hot", with_ctes(LISTING, CLEANED, REVISION, DATASET, body="\nU
 # ------------------------------------------------------------------ I16-I19, I23 (no SQL twin)
 
 def fitted(spark, sf_dir, cv: bool = True):
-    # The split already reads a checkpointed, ordered table, and every fit
-    # materialises its own solver input, so no further copy is made here.
+    # The split reads a checkpointed table, and a fit materialises its own input.
     train = train_table(spark, sf_dir)
     fm = FT.fit_features(train, "revision")
     tf = fm.transform(train)

@@ -58,7 +58,28 @@ def test_weighted_l2_logistic_matches_newton(spark):
     w = df.toPandas()
     model = M.fit_logistic(df, ["a", "b", "c"], "y", C=0.1)
     beta = newton_logistic(w[["a", "b", "c"]].values, w.y.values, w.weight.values, 0.1)
-    np.testing.assert_allclose(list(model.coefficients) + [model.intercept], beta, atol=1e-4)
+    np.testing.assert_allclose(list(model.coefficients) + [model.intercept], beta, atol=1e-8)
+
+
+def test_search_matches_separate_newton_fits(spark):
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(300, 2))
+    y = (X @ [1.5, -1.0] + rng.normal(size=300) > 0.5).astype(int)
+    pdf = pd.DataFrame(X, columns=["a", "b"]).assign(y=y, idx=np.arange(300))
+    df = spark.createDataFrame(pdf)
+    res = M.fit_logistic_cv(df, ["a", "b"], "y", "idx", Cs=[1e-3, 0.1, 10.0], folds=4)
+    rows = M.stratified_folds(FT.balanced_weights(df, "y"), "y", "idx", 4).toPandas()
+    want = {}
+    for C in (1e-3, 0.1, 10.0):
+        for f in range(4):
+            tr, te = rows[rows.fold != f], rows[rows.fold == f]
+            b = newton_logistic(tr[["a", "b"]].values, tr.y.values, tr.weight.values, C)
+            p = np.hstack([te[["a", "b"]].values, np.ones((len(te), 1))]) @ b > 0
+            tp, fp, fn = (p & (te.y == 1)).sum(), (p & (te.y == 0)).sum(), (~p & (te.y == 1)).sum()
+            want[C, f] = 2 * tp / (2 * tp + fp + fn)
+    assert {(C, f): s for C, f, s in res.scores} == want
+    b = newton_logistic(rows[["a", "b"]].values, rows.y.values, rows.weight.values, res.C)
+    np.testing.assert_allclose([*res.model.coefficients, res.model.intercept], b, atol=1e-8)
 
 
 def test_stratified_folds_follow_the_split_rule(spark):
@@ -109,7 +130,7 @@ def test_fold_safe_search_refits_features_per_fold(spark):
         enc = FT.MeanEncoder(["cat"]).fit(rows, "y")
         return enc
 
-    res = M.fit_logistic_cv(df, ["cat", "x"], "y", "idx", Cs=[0.01, 1.0], folds=3, parallelism=2,
+    res = M.fit_logistic_cv(df, ["cat", "x"], "y", "idx", Cs=[0.01, 1.0], folds=3,
                             fold_features=fold_features)
     assert len(res.scores) == 6 and res.C in (0.01, 1.0) and res.feature_model is not None
     assert sorted(seen)[:3] == sorted(seen[:3]) and all(s < n for s in seen[:3]) and seen[-1] == n
