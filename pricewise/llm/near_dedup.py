@@ -53,7 +53,7 @@ from .components import components
 T = 128                          # minwise tokens of a class
 THRESHOLD = 75                   # per cent
 TARGET_RECALL, DESIGN_DEPTH = 0.9999, 3
-LEAF = 32                        # classes of a node compared exhaustively
+LEAF = 384                       # classes of a node compared exhaustively
 MAX_DEPTH = 24                   # beyond this, remaining nodes are compared in blocks
 MIN_SAME = 86                    # of 128 two-bit positions; 104 expected at the threshold (s.d. 4.4)
 BROADCAST_IDS = 1_000_000        # candidate ids sent to every task (8 MB); more are shuffled
