@@ -11,6 +11,8 @@ the length of a text unless one single word is that long.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -174,10 +176,17 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
         a = b
 
 
-def rewritten(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet under the shared checkpoint folder and read again."""
-    import uuid
-    folder = ensure_checkpoint_dir(df.sparkSession)
-    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet under the shared checkpoint folder and read again.
+
+    For steps that build on each other in a loop: a checkpointed table keeps the
+    size estimate of the plan behind it, and the estimate of a join is the product
+    of its sides, so after some rounds of joins planning itself would take minutes.
+    A table read from files has its real size. The files go when the application
+    ends (or with the checkpoint folder)."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, read_table, shingles, slices, stored, utf8, words
+from .common import mix64, read_table, shingles, slices, utf8, words, written
 from .components import components
 
 T = 128                          # minwise tokens of a class
@@ -184,7 +184,7 @@ def _plausible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """The stored pairs whose full sets reach the threshold."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = stored(nodes.join(reps, "node").select(F.col("_rep").alias("_id"), "node"))
+    ids = written(nodes.join(reps, "node").select(F.col("_rep").alias("_id"), "node"))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     src = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).join(ids, "_id")
@@ -202,7 +202,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
                 take = pa.array(mine, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(2).take(take), whole.take(take)], names=["node", "set"])
     sets = src.select("_id", "_text", "node").mapInArrow(run, "node long, set array<bigint>")
-    sets = stored(sets.dropDuplicates(["node"]))
+    sets = written(sets.dropDuplicates(["node"]))
     side = lambda k: sets.select(F.col("node").alias(k), F.col("set").alias(f"_{k}"))      # noqa: E731
     both = F.size(F.array_intersect("_a", "_b"))
     return (pairs.join(side("a"), "a").join(side("b"), "b")
@@ -212,10 +212,10 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """(path, node, label, size) of the nodes with classes of several components."""
     rows = rows.join(labels, "node", "left").select("path", "node", F.coalesce("label", "node").alias("label"))
-    stats = stored(rows.groupBy("path").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"),
+    stats = written(rows.groupBy("path").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"),
                                             F.count(F.lit(1)).alias("size"))
                    .filter("_lo != _hi").select("path", "size"))
-    return stored(rows.join(stats, "path"))
+    return written(rows.join(stats, "path"))
 
 
 def _across(rows: DataFrame, bits: DataFrame) -> DataFrame:
@@ -231,25 +231,25 @@ def _across(rows: DataFrame, bits: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, class_id`` for every row of ``docs``
     (columns ``doc_id, text``)."""
-    base = stored(_sketch(docs))
+    base = written(_sketch(docs))
     known = base.filter("node IS NOT NULL")
-    classes = stored(known.groupBy("node").agg(F.min("_id").alias("_least"), F.first("n").alias("n"),
+    classes = written(known.groupBy("node").agg(F.min("_id").alias("_least"), F.first("n").alias("n"),
                                                F.first("tokens").alias("tokens")))
     # A class of rows without ids has no representative to read again; give its
     # links up to equality of sets alone.
     reps = classes.filter("_least IS NOT NULL").select("node", F.col("_least").alias("_rep"))
     linkable = classes.filter("_least IS NOT NULL")
-    bits = stored(_bits(linkable))
+    bits = written(_bits(linkable))
     tokens = linkable.select("node", "tokens")
 
     roots = F.array(*[F.xxhash64(F.lit(t), F.lit("tree")) for t in range(trees_needed(recall))])
     first = _children(tokens.select(F.explode(roots).alias("path"), "node", "tokens"))
-    sizes = stored(first.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"))
+    sizes = written(first.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"))
                    .filter("size > 1"))
-    rows = stored(first.join(sizes, "path").select("path", "node", "least"))
-    star = stored(_plausible(rows.filter("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    rows = written(first.join(sizes, "path").select("path", "node", "least"))
+    star = written(_plausible(rows.filter("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
                              .distinct(), bits))
-    links = stored(_confirmed(star, reps, docs))
+    links = written(_confirmed(star, reps, docs))
     labels = components(links)
 
     found, depth = [], 1
@@ -258,7 +258,7 @@ def near_dedup(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
         rows = _mixed(rows, labels)
         last = depth >= MAX_DEPTH
         small = rows if last else rows.filter(F.col("size") <= LEAF)
-        found.append(stored(_across(small, bits)))
+        found.append(written(_across(small, bits)))
         if last or rows.filter(F.col("size") > LEAF).isEmpty():
             break
         rows = _children(rows.filter(F.col("size") > LEAF).select("path", "node").join(tokens, "node"))
@@ -266,14 +266,14 @@ def near_dedup(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
     more = found[0]
     for f in found[1:]:
         more = more.unionByName(f)
-    more = stored(more.distinct())
+    more = written(more.distinct())
     if not more.isEmpty():
-        labels = components(links.unionByName(stored(_confirmed(more, reps, docs))))
+        labels = components(links.unionByName(written(_confirmed(more, reps, docs))))
 
     named = classes.select("node", "_least").join(labels, "node", "left") \
                    .withColumn("label", F.coalesce("label", "node"))
-    least = stored(named.groupBy("label").agg(F.min("_least").alias("component_id")))
-    by_class = stored(stored(named.select("node", "label")).join(least, "label").select("node", "component_id"))
+    least = written(named.groupBy("label").agg(F.min("_least").alias("component_id")))
+    by_class = written(written(named.select("node", "label")).join(least, "label").select("node", "component_id"))
     own = base.select("_id", "n", "node")
     joined = (own.filter("node IS NOT NULL").join(by_class, "node")
               .unionByName(own.filter("node IS NULL").withColumn("component_id", F.col("_id"))))
