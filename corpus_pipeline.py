@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pricewise.llm import near_dedup, piece_codec, quality, source_mix, toxicity
-from pricewise.llm.common import read_table, rewritten
+from pricewise.llm.common import read_table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole ``documents`` table."""
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if k == 0 else rewritten(docs), sf_dir)
+        docs = stage(spark, docs if k == 0 else written(docs), sf_dir)
     return docs
 
 
