@@ -137,7 +137,9 @@ def _z(u: Column, lam: Column) -> Column:
 
 def _best_lambda(cands: DataFrame, keys: list[str]) -> DataFrame:
     """Per group, the candidate with the smallest variance of the transformed
-    values (ties: the smaller lambda), and the group's search width."""
+    values (ties: the smaller lambda), and the group's search width (1 if not given)."""
+    if "_w" not in cands.columns:
+        cands = cands.withColumn("_w", F.lit(1.0))
     var = cands.groupBy(*keys, "_lam").agg(F.var_pop(_z(F.col("_u"), F.col("_lam"))).alias("_v"),
                                            F.first("_w").alias("_w"))
     return var.groupBy(*keys).agg(F.min_by("_lam", F.struct("_v", "_lam")).alias("_lam"), F.first("_w").alias("_w"))
