@@ -2,6 +2,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pricewise.llm import quality as Q
 from pricewise.llm import toxicity as X
@@ -92,6 +93,27 @@ def test_without_both_classes(spark, tmp_path, labels):
     assert len(out) == len(rows) and all(r.kept for r in out)
 
 
+@pytest.mark.parametrize("labels", [[], [(1, 1, 0, "x")], [(0, 1, 1, "x")]])
+def test_toxicity_rejects_nothing_unlearnt(spark, tmp_path, labels):
+    rows, _ = corpus(10)
+    spark.createDataFrame(rows, DOCUMENT).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, LABEL).write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert X.keep_clean(spark, docs, str(tmp_path)).count() == len(rows)
+    assert {r.predicted for r in X.op4_toxicity(spark, str(tmp_path)).collect()} == {0}
+
+
+def test_one_long_text_does_not_end_the_sample(spark, data, monkeypatch):
+    path, rows, truth = data
+    monkeypatch.setattr(X, "SAMPLE_BYTES", 1 << 20)
+    docs, labels = spark.read.parquet(path + "/documents.parquet"), spark.read.parquet(path + "/labels.parquet")
+    first = [r.id for r in spark.range(10_000, 60_000).filter("crc32(cast(cast(id AS string) AS binary)) % 4 != 2")
+             .orderBy(F.xxhash64("id", F.lit(4))).limit(4).collect()]            # before all others in the sample
+    long = spark.createDataFrame([(i, "word " * 300_000, "en", "s", 1) for i in first], DOCUMENT)
+    more = spark.createDataFrame([(i, 1, i % 2, "x") for i in first], LABEL)
+    assert "w" in X.train(docs.unionByName(long), labels.unionByName(more))
+
+
 def test_empty_documents_table(spark, tmp_path):
     spark.createDataFrame([], DOCUMENT).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, 1, 1, "x")], LABEL).write.parquet(str(tmp_path / "labels.parquet"))
