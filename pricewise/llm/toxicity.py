@@ -42,7 +42,7 @@ N_TOXIC, N_ORDINARY, SAMPLE_BYTES = 2_000, 4_000, 24 << 20
 LONG_BYTES = 192 << 10           # a text that others of its label go before
 WINDOW = 256                     # bytes
 GRAM = 5                         # bytes of a pattern
-BASE_BYTES, TOXIC_BYTES = 2_048, 1_536
+BASE_BYTES, TOXIC_BYTES = 2_048, 32 << 10
 Z_MAX, TIMES_MIN = 8.0, 5.0      # a pattern's z-score (less if there are few texts) and frequency ratio
 THRESHOLD = 0.3                  # predicted toxic from this score on
 STEPS = (1, 2, 3, 4, 6)          # bytes saved in a window
@@ -109,9 +109,9 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes
     text, covered = b"", set()
     for run, n in sorted(runs.items(), key=lambda x: (-x[1], x[0])):
         own = set(_grams(run, GRAM).tolist())
-        if n < 2 or len(text) >= TOXIC_BYTES:
+        if n < 2:
             break
-        if 2 * len(own - covered) >= len(own):          # mostly new
+        if len(text) + len(run) <= TOXIC_BYTES and 2 * len(own - covered) >= len(own):       # mostly new
             text = run + text
             covered |= own
     return base, text + base
@@ -122,7 +122,7 @@ class Distance:
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         import zstandard as z
-        params = z.ZstdCompressionParameters(window_log=14, chain_log=13, hash_log=13, search_log=3, min_match=3,
+        params = z.ZstdCompressionParameters(window_log=17, chain_log=16, hash_log=16, search_log=3, min_match=3,
                                              target_length=64, strategy=z.STRATEGY_BTULTRA, write_content_size=0,
                                              write_checksum=0, write_dict_id=0)
         self._ordinary, self._toxic = (

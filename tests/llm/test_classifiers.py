@@ -77,6 +77,17 @@ def test_dictionaries_find_planted_words():
     assert d.features(b"") == [0.0] * (3 + len(X.STEPS))
 
 
+def test_dictionary_of_a_large_vocabulary():
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(9))          # noqa: E731
+    vocabulary = [word("bcdfgjklmpqvwxyz") for _ in range(300)]
+    plain = [[word("aeiounrsth") for _ in range(60)] for _ in range(500)]
+    bad = [" ".join(f"{a} {b}" for a, b in zip(p, rng.sample(vocabulary, 60))).encode() for p in plain[:300]]
+    plain = [" ".join(p).encode() for p in plain]
+    _, toxic = X.train_dictionaries(bad, plain[300:])
+    assert sum(w.encode() in toxic for w in vocabulary) >= 0.95 * len(vocabulary)
+
+
 def test_copies_count_once():
     doc = b"some text that is copied very often in the corpus"
     assert X._without_copies([doc, doc, doc + b"!", b"another document altogether, quite unlike"]) == \
