@@ -101,7 +101,8 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sampled_views(docs: DataFrame, picked: DataFrame) -> list[tuple]:
-    """Sorted (key, label or -1, content, metadata) of the sampled documents."""
+    """Sorted (key, label or -1, content, metadata) of the sampled documents, one row
+    (of the smallest hash) an id."""
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
@@ -110,7 +111,11 @@ def _sampled_views(docs: DataFrame, picked: DataFrame) -> list[tuple]:
                     [part.column(part.schema.get_field_index("_k")), part.column(part.schema.get_field_index("_y")),
                      pa.array([r.tobytes() for r in a], pa.binary()), pa.array([r.tobytes() for r in b], pa.binary())],
                     names=["_k", "_y", "a", "b"])
-    rows = (docs.select(*_IDS).join(F.broadcast(picked), "doc_id").mapInArrow(run, "_k long, _y int, a binary, b binary")
+    rows = docs.select(*_IDS).join(F.broadcast(picked), "doc_id") \
+        .withColumn("_h", F.xxhash64(*[F.col(c) for c in _IDS if c != "doc_id"]))
+    least = rows.groupBy("_k").agg(F.min("_h").alias("_h"))
+    rows = (rows.join(F.broadcast(least), ["_k", "_h"]).dropDuplicates(["_k"])
+            .mapInArrow(run, "_k long, _y int, a binary, b binary")
             .collect())                      # as many rows as the sample bounds allow
     return sorted((r["_k"], r["_y"], bytes(r["a"]), bytes(r["b"])) for r in rows)
 
@@ -158,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     prior = (share["g"] + 1) / (share["n"] + 2)
     good, bad = (lab.filter(F.col("_y") == y).withColumn("_k", key).orderBy("_k").limit(N_LABELLED) for y in (1, 0))
     pool = (docs.select("doc_id").filter("doc_id IS NOT NULL").join(labels.select("doc_id"), "doc_id", "left_anti")
-            .withColumn("_y", F.lit(-1)).withColumn("_k", key).orderBy("_k").limit(N_POOL))
+            .distinct().withColumn("_y", F.lit(-1)).withColumn("_k", key).orderBy("_k").limit(N_POOL))
     rows = _sampled_views(docs, good.unionByName(bad).unionByName(pool))
     known = [r for r in rows if r[1] >= 0]
     if len({r[1] for r in known}) < 2:

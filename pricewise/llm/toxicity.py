@@ -17,7 +17,8 @@ Labels are learnt only from documents outside the held-out fold, from a sample
 of at most ``N_TOXIC`` toxic and ``N_ORDINARY`` ordinary documents and
 ``SAMPLE_BYTES`` of text, half of them for each label (smallest hashes of doc_id
 first; texts over ``LONG_BYTES`` after all others, and a text that no longer fits
-is passed over, for training only); calibration is cross-fitted, each half of it
+is passed over; of rows that repeat an id, the text of the smallest hash; for
+training only); calibration is cross-fitted, each half of it
 measured with dictionaries of the other half. A score depends on the text alone.
 
 Defined cases: a null text is empty; an empty text has no windows and scores as
@@ -184,11 +185,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict:
         picked = part if picked is None else picked.unionByName(part)
     rows = (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
             .select("_k", "_y", F.coalesce("text", F.lit("")).alias("t")))
-    size = rows.select("_k", "_y", F.octet_length("t").alias("n")).collect()
-    keep = sampled([(r["_y"], r["_k"], r["n"]) for r in size])
-    chosen = docs.sparkSession.createDataFrame([(k,) for k in keep], "_k long")
+    # One text an id (of the smallest hash): an id may repeat over any number of rows.
+    rows = rows.withColumn("_h", F.xxhash64("t"))
+    size = rows.groupBy("_k", "_y").agg(F.min(F.struct("_h", F.octet_length("t").alias("n"))).alias("s")).collect()
+    text_of = {r["_k"]: r["s"]["_h"] for r in size}
+    keep = sampled([(r["_y"], r["_k"], r["s"]["n"]) for r in size])
+    chosen = docs.sparkSession.createDataFrame([(k, text_of[k]) for k in keep], "_k long, _h long")
     sample = sorted((r["_k"], r["_y"], r["t"].encode().translate(_LOWER))
-                    for r in rows.join(F.broadcast(chosen), "_k").collect())
+                    for r in rows.join(F.broadcast(chosen), ["_k", "_h"]).dropDuplicates(["_k"]).collect())
     prior = (share["t"] + 1) / (share["n"] + 2)
     fold = [[(y, t) for k, y, t in sample if k % 2 == f] for f in (0, 1)]
     if any({y for y, _ in f} != {0, 1} for f in fold):

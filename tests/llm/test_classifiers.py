@@ -125,6 +125,22 @@ def test_one_long_text_does_not_end_the_sample(spark, data, monkeypatch):
     assert "w" in X.train(docs.unionByName(long), labels.unionByName(more))
 
 
+def test_a_repeated_id_gives_one_training_row(spark, data, monkeypatch):
+    path, rows, truth = data
+    labels = spark.read.parquet(path + "/labels.parquet")
+    hot = next(d for d in sorted(truth) if d and spark.range(d, d + 1).select(~X.held_out("id")).first()[0])
+    docs = spark.read.parquet(path + "/documents.parquet")
+    again = spark.createDataFrame([(hot, f"text {i % 300}", "en", "s", 1) for i in range(900)] +
+                                  [(50_000, "unlabelled", "en", "s", 1)] * 900, DOCUMENT)
+    docs = docs.unionByName(again)
+    seen = []
+    monkeypatch.setattr(X, "train_dictionaries", lambda t, o, f=X.train_dictionaries: (seen.append(len(t) + len(o)), f(t, o))[1])
+    assert "w" in X.train(docs, labels)
+    assert max(seen) <= len(truth)
+    picked = spark.createDataFrame([(hot, 1, 1), (50_000, -1, 2)], "doc_id long, _y int, _k long")
+    assert [r[0] for r in Q._sampled_views(docs, picked)] == [1, 2]
+
+
 def test_empty_documents_table(spark, tmp_path):
     spark.createDataFrame([], DOCUMENT).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, 1, 1, "x")], LABEL).write.parquet(str(tmp_path / "labels.parquet"))
