@@ -11,7 +11,8 @@ and a class moves on to the child named by each chosen position and its token
 there. So two classes at the threshold meet again in one child on average
 whatever the depth, while classes with little in common part at once. Trees are
 independent; their number follows from the survival recurrence and
-``TARGET_RECALL`` at ``DESIGN_DEPTH``.
+``TARGET_RECALL`` at ``DESIGN_DEPTH``, and if some node is settled only deeper, at the
+depth reached: trees are added until they suffice for the deepest node.
 
 Links. In every node each class is first compared with the node's smallest class
 (so a large group of copies needs as many comparisons as it has members), links
@@ -219,37 +220,36 @@ def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _across(rows: DataFrame, bits: DataFrame) -> DataFrame:
-    """Plausible pairs of different components within each path of ``rows``."""
-    full = rows.select("path", "node", "label").join(bits, "node")
-    a = full.select("path", *[F.col(c).alias("_a" + c) for c in ("node", "label", "n", "s0", "s1", "s2", "s3")])
-    b = full.select("path", *[F.col(c).alias("_b" + c) for c in ("node", "label", "n", "s0", "s1", "s2", "s3")])
-    return (a.join(b, (a["path"] == b["path"]) & (F.col("_anode") < F.col("_bnode"))
-                   & (F.col("_alabel") != F.col("_blabel")) & _similar("_a", "_b"))
-            .select(F.col("_anode").alias("a"), F.col("_bnode").alias("b")).distinct())
-
-
-def near_dedup(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, class_id`` for every row of ``docs``
-    (columns ``doc_id, text``)."""
-    base = written(_sketch(docs))
-    known = base.filter("node IS NOT NULL")
-    classes = written(known.groupBy("node").agg(F.min("_id").alias("_least"), F.first("n").alias("n"),
-                                               F.first("tokens").alias("tokens")))
-    # A class of rows without ids has no representative to read again; give its
-    # links up to equality of sets alone.
-    reps = classes.filter("_least IS NOT NULL").select("node", F.col("_least").alias("_rep"))
-    linkable = classes.filter("_least IS NOT NULL")
-    bits = written(_bits(linkable))
-    tokens = linkable.select("node", "tokens")
-
-    roots = F.array(*[F.xxhash64(F.lit(t), F.lit("tree")) for t in range(trees_needed(recall))])
+    """Plausible pairs of different components within each path of ``rows``. The nodes
+    of a path are dealt into blocks of about ``LEAF`` and every pair of blocks is a
+    key of its own, so no path lands in one task."""
+    blocks = F.ceil(F.col("size") / LEAF).cast("int")
+    full = (rows.select("path", "node", "label", blocks.alias("_n"))
+            .withColumn("_block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("_n")).cast("int")).join(bits, "node"))
+    values = ("node", "label", "n", "s0", "s1", "s2", "s3")
+    a = full.withColumn("_j", F.explode(F.sequence("_block", F.col("_n") - 1))) \
+        .select("path", F.col("_block").alias("_i"), "_j", *[F.col(c).alias("_a" + c) for c in values])
+    b = full.withColumn("_i", F.explode(F.sequence(F.lit(0), "_block"))) \
+        .select("path", "_i", F.col("_block").alias("_j"), *[F.col(c).alias("_b" + c) for c in values])
+    once = (F.col("_i") < F.col("_j")) | (F.col("_anode") < F.col("_bnode"))
+    return (a.join(b, ["path", "_i", "_j"]).filter(once & (F.col("_alabel") != F.col("_blabel")) & _similar("_a", "_b"))
+            .select(F.least("_anode", "_bnode").alias("a"), F.greatest("_anode", "_bnode").alias("b")).distinct())
+
+
+def _searched(roots, tokens: DataFrame, bits: DataFrame, reps: DataFrame, docs: DataFrame,
+              links: DataFrame | None, labels: DataFrame | None) -> tuple[DataFrame, DataFrame, int]:
+    """Links and components after the trees of ``roots``, and the depth at which the
+    last nodes were settled or compared."""
     first = _children(tokens.select(F.explode(roots).alias("path"), "node", "tokens"))
     sizes = written(first.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"))
                    .filter("size > 1"))
     rows = written(first.join(sizes, "path").select("path", "node", "least"))
     star = written(_plausible(rows.filter("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
                              .distinct(), bits))
-    links = written(_confirmed(star, reps, docs))
+    if links is not None:
+        star = written(star.join(links, ["a", "b"], "left_anti"))
+    new = written(_confirmed(star, reps, docs))
+    links = new if links is None else links.unionByName(new)
     labels = components(links)
 
     found, depth = [], 1
@@ -268,7 +268,31 @@ def near_dedup(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
         more = more.unionByName(f)
     more = written(more.distinct())
     if not more.isEmpty():
-        labels = components(links.unionByName(written(_confirmed(more, reps, docs))))
+        links = links.unionByName(written(_confirmed(more, reps, docs)))
+        labels = components(links)
+    return links, labels, depth
+
+
+def near_dedup(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept, class_id`` for every row of ``docs``
+    (columns ``doc_id, text``)."""
+    base = written(_sketch(docs))
+    known = base.filter("node IS NOT NULL")
+    classes = written(known.groupBy("node").agg(F.min("_id").alias("_least"), F.first("n").alias("n"),
+                                               F.first("tokens").alias("tokens")))
+    # A class of rows without ids has no representative to read again; give its
+    # links up to equality of sets alone.
+    reps = classes.filter("_least IS NOT NULL").select("node", F.col("_least").alias("_rep"))
+    linkable = classes.filter("_least IS NOT NULL")
+    bits = written(_bits(linkable))
+    tokens = linkable.select("node", "tokens")
+
+    links, labels, trees, deepest = None, None, 0, DESIGN_DEPTH
+    while trees < trees_needed(recall, deepest):     # deeper nodes than known so far ask for more trees
+        more = trees_needed(recall, deepest)
+        roots = F.array(*[F.xxhash64(F.lit(t), F.lit("tree")) for t in range(trees, more)])
+        links, labels, depth = _searched(roots, tokens, bits, reps, docs, links, labels)
+        trees, deepest = more, max(deepest, depth)
 
     named = classes.select("node", "_least").join(labels, "node", "left") \
                    .withColumn("label", F.coalesce("label", "node"))

@@ -78,6 +78,24 @@ def test_tree_number_follows_the_recall():
     assert N.trees_needed(0.9) < N.trees_needed(0.999) and N.trees_needed(0.9999, depth=1) < N.trees_needed(0.9999, depth=3)
 
 
+def test_trees_follow_the_depth_and_pairs_their_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAF", 4)
+    monkeypatch.setattr(N, "MAX_DEPTH", 6)                # nodes are left there and compared in blocks
+    asked, sizes = [], []
+    needed, across = N.trees_needed, N._across
+    monkeypatch.setattr(N, "trees_needed", lambda r, d=N.DESIGN_DEPTH: (asked.append(d), needed(r, d))[1])
+    monkeypatch.setattr(N, "_across", lambda rows, bits: (sizes.append(rows.agg({"size": "max"}).first()[0] or 0),
+                                                          across(rows, bits))[1])
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(passage + [f"o{i}x{k}" for k in range(9)]) for i in range(40)]      # resemblance below 0.75
+    texts += [t + " z" for t in rng.sample(texts, 5)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_dedup(df, 0.9).collect()} == groups(rows)
+    assert max(asked) > N.DESIGN_DEPTH and max(sizes) > N.LEAF
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(100, 140)] + [(0, i) for i in range(1, 30)] + [(5, 5), (0, 1), (200, 201), (201, 202)]
