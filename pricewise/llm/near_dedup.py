@@ -186,9 +186,17 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """The stored pairs whose full sets reach the threshold."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     ids = written(nodes.join(reps, "node").select(F.col("_rep").alias("_id"), "node"))
+    src = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
+    # Classes without an id are read again from the rows without one, by their sets.
+    nameless = ids.filter("_id IS NULL").select("node")
+    named, nameless = ids.filter("_id IS NOT NULL"), ids.filter("_id IS NULL").select(F.col("node").alias("_node"))
     if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    src = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).join(ids, "_id")
+        named = F.broadcast(named)
+    rest = src.filter("_id IS NULL").withColumnRenamed("_text", "text")
+    src = src.join(named, "_id").select("_id", "_text", "node")
+    if not nameless.isEmpty():
+        src = src.unionByName(_with_class(rest).join(nameless, "_node")
+                              .select("_id", F.col("text").alias("_text"), F.col("_node").alias("node")))
 
     def run(batches):
         for batch in batches:
@@ -274,18 +282,15 @@ def _searched(roots, tokens: DataFrame, bits: DataFrame, reps: DataFrame, docs:
 
 
 def near_dedup(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, class_id`` for every row of ``docs``
-    (columns ``doc_id, text``)."""
+    """``doc_id, n_shingles, component_id, kept, class_id, label`` for every row of
+    ``docs`` (columns ``doc_id, text``); ``label`` names the component by a class."""
     base = written(_sketch(docs))
     known = base.filter("node IS NOT NULL")
     classes = written(known.groupBy("node").agg(F.min("_id").alias("_least"), F.first("n").alias("n"),
                                                F.first("tokens").alias("tokens")))
-    # A class of rows without ids has no representative to read again; give its
-    # links up to equality of sets alone.
-    reps = classes.filter("_least IS NOT NULL").select("node", F.col("_least").alias("_rep"))
-    linkable = classes.filter("_least IS NOT NULL")
-    bits = written(_bits(linkable))
-    tokens = linkable.select("node", "tokens")
+    reps = classes.select("node", F.col("_least").alias("_rep"))
+    bits = written(_bits(classes))
+    tokens = classes.select("node", "tokens")
 
     links, labels, trees, deepest = None, None, 0, DESIGN_DEPTH
     while trees < trees_needed(recall, deepest):     # deeper nodes than known so far ask for more trees
@@ -297,27 +302,51 @@ def near_dedup(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
     named = classes.select("node", "_least").join(labels, "node", "left") \
                    .withColumn("label", F.coalesce("label", "node"))
     least = written(named.groupBy("label").agg(F.min("_least").alias("component_id")))
-    by_class = written(written(named.select("node", "label")).join(least, "label").select("node", "component_id"))
+    by_class = written(written(named.select("node", "label")).join(least, "label").select("node", "component_id", "label"))
     own = base.select("_id", "n", "node")
     joined = (own.filter("node IS NOT NULL").join(by_class, "node")
-              .unionByName(own.filter("node IS NULL").withColumn("component_id", F.col("_id"))))
+              .unionByName(own.filter("node IS NULL").withColumn("component_id", F.col("_id"))
+                           .withColumn("label", F.lit(None).cast("long"))))
     return joined.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id",
-                         F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("node").alias("class_id"))
+                         F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("node").alias("class_id"), "label")
+
+
+def _with_class(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_node``, the class of each row's text (null: no words)."""
+    names = [*docs.columns, "_node"]
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 4 << 20):
+                sets, off = shingle_sets(part.column(part.schema.get_field_index("text")))
+                raw = sets.tobytes()
+                node = [int.from_bytes(hashlib.blake2b(raw[8 * a: 8 * b], digest_size=8).digest(), "little", signed=True)
+                        if b > a else None for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(node, pa.int64())], names=names)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{schema}, _node long")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, that of the smallest id.
-    Equal rows that repeat its id count once; rows without an id cannot be named
-    in a group and stay."""
+    """Pipeline stage: one row of each group stays, that of the smallest id (null
+    last), of the smallest class if the id repeats. Rows without words are linked
+    with nothing: equal ones that repeat an id count once, those without an id stay."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    kept = near_dedup(docs).filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_kept_id")) \
-        .agg(F.count(F.lit(1)).alias("_rows"))
-    joined = docs.join(kept, F.col("doc_id") == F.col("_kept_id"))
+    found = written(near_dedup(docs).filter("class_id IS NOT NULL")
+                    .groupBy("class_id", "doc_id", "label").agg(F.count(F.lit(1)).alias("_rows")))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "class_id", "_rows"))
+    kept = found.groupBy("label").agg(first.alias("f")).select(
+        F.col("f.doc_id").alias("_kept_id"), F.col("f.class_id").alias("_kept_node"), F.col("f._rows").alias("_rows"))
+    rows = _with_class(docs)
+    joined = rows.join(kept, (F.col("_node") == F.col("_kept_node")) & F.col("doc_id").eqNullSafe(F.col("_kept_id")))
     once = joined.filter("_rows = 1").select(*cols)
-    again = joined.filter("_rows > 1").dropDuplicates(["doc_id", "text"]).select(*cols)
-    return once.unionByName(again).unionByName(docs.filter("doc_id IS NULL"))
+    again = joined.filter("_rows > 1").dropDuplicates(["_node"]).select(*cols)
+    blank = rows.filter("_node IS NULL")
+    return (once.unionByName(again)
+            .unionByName(blank.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).select(*cols))
+            .unionByName(blank.filter("doc_id IS NULL").select(*cols)))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: near-duplicate component of every document."""
-    return near_dedup(read_table(spark, sf_dir, "documents"))
+    return near_dedup(read_table(spark, sf_dir, "documents")).drop("label")

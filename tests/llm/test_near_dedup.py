@@ -123,3 +123,19 @@ def test_stage_keeps_one_of_each_group(spark):
     want = groups(list(enumerate(texts)))
     assert sorted(r.doc_id for r in out) == sorted({c for _, c in want.values()})
     assert resemblance(shingles(texts[0]), shingles(texts[1])) < 0.75
+
+
+def test_stage_keeps_one_row_a_component(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long + " end"), (5, "something else entirely here now"), (5, long),           # 5 repeats, one row near 1
+            (7, "q r s t u v"), (7, "Q r s  t u v"), (None, "q r s t u v"),                     # equal sets
+            (None, "m " + long[::-1]), (None, "n " + long[::-1]),                               # near copies without ids
+            (None, "only here x y z"), (None, "only here x y z"), (9, ""), (9, ""), (None, None)]
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCUMENT)
+    out = N.keep_one(spark, df, "")
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert [d for d, _ in got if d] == [1, 5, 7, 9] and len(got) == 7
+    assert (1, long + " end") in got and (5, "something else entirely here now") in got
+    assert (None, "only here x y z") in got and (None, None) in got
+    assert sum(t in ("m " + long[::-1], "n " + long[::-1]) for _, t in got) == 1
