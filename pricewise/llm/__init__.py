@@ -13,4 +13,5 @@ token_counts   7  greedy word-piece lengths by a failure-link automaton
 fingerprints   8  bottom-k sketches
 source_mix     9  time-varying curriculum over sources
 topk          10  block-max WAND search
+packing       11  best-fit packing by large-item matching
 """

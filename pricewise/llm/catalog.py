@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, mixing_lm, near_dedup, piece_codec, quality, source_mix, token_counts, topk, toxicity
+from . import (chat, fingerprints, mixing_lm, near_dedup, packing, piece_codec, quality, source_mix, token_counts,
+               topk, toxicity)
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_source_mix": source_mix.op9_source_mix,
     "op10_topk_search": topk.op10_topk_search,
+    "op11_packing": packing.op11_packing,
 }
 
 SQL = {
