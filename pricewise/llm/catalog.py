@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (chat, fingerprints, mixing_lm, near_dedup, packing, piece_codec, quality, source_mix, token_counts,
+from . import (chat, fingerprints, manifest, mixing_lm, near_dedup, packing, piece_codec, quality, source_mix, token_counts,
                topk, toxicity)
 
 QUERIES = {
@@ -17,9 +17,11 @@ QUERIES = {
     "op9_source_mix": source_mix.op9_source_mix,
     "op10_topk_search": topk.op10_topk_search,
     "op11_packing": packing.op11_packing,
+    "op13_manifest": manifest.op13_manifest,
 }
 
 SQL = {
     "op2_chat_format": chat.SQL,
     "op9_source_mix": source_mix.SQL,
+    "op13_manifest": manifest.SQL,
 }
