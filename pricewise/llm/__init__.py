@@ -14,5 +14,6 @@ fingerprints   8  bottom-k sketches
 source_mix     9  time-varying curriculum over sources
 topk          10  block-max WAND search
 packing       11  best-fit packing by large-item matching
+alignment     12  alignment of two tokenizers by common byte ends
 manifest      13  Merkle manifest by butterfly exchange
 """

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (chat, fingerprints, manifest, mixing_lm, near_dedup, packing, piece_codec, quality, source_mix, token_counts,
-               topk, toxicity)
+from . import (alignment, chat, fingerprints, manifest, mixing_lm, near_dedup, packing, piece_codec, quality,
+               source_mix, token_counts, topk, toxicity)
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_source_mix": source_mix.op9_source_mix,
     "op10_topk_search": topk.op10_topk_search,
     "op11_packing": packing.op11_packing,
+    "op12_alignment": alignment.op12_alignment,
     "op13_manifest": manifest.op13_manifest,
 }
 

@@ -76,6 +76,10 @@ class WordIds:
         self.word = Units(self._words)
         self.core = Units(self._cores)
         self.tail = Units(lambda ts: self._library([t.decode() for t in ts]))
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        rest = sorted(set(range(256)) - set(plain))
+        # The printable stand-ins of bytes in byte-level vocabularies.
+        self.shown = {b: chr(256 + i) for i, b in enumerate(rest)}
 
     @staticmethod
     def _word_local(spec: dict) -> bool:
@@ -92,23 +96,27 @@ class WordIds:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids)
                 for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cores(self, words: list[bytes]) -> list[bytes]:
-        """Ids of lower-case ASCII letter runs: one cut each, so one model call."""
+    def _cores(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case letter runs: one cut each, so one call of the merge model."""
         out = []
         for w in words:
-            ids = [t.id for t in self.model.tokenize(w.decode())]
+            if not w.isascii():
+                w = w.encode().decode("latin-1").translate(self.shown)
+            ids = [t.id for t in self.model.tokenize(w)]
             out.append(struct.pack(f"<{len(ids)}I", *ids))
         return out
 
     def _words(self, words: list[bytes]) -> list[bytes]:
-        """An ASCII word with punctuation behind it is its letters and one more cut;
-        any other word goes to the library as it is."""
+        """A word of Latin-1 letters (which NFC leaves alone and which are lower-cased one
+        by one) with punctuation behind it is its letters and one more cut; any other
+        word goes to the library as it is."""
         plain, cores, tails, other = [], [], [], []
         for i, w in enumerate(words):
             c = w.rstrip(PUNCTUATION)
-            if c.isalpha():          # of bytes: ASCII letters only
+            t = c.decode()
+            if t.isalpha() and max(t) < "\u0100":
                 plain.append(i)
-                cores.append(c.lower())
+                cores.append(t.lower())
                 tails.append(w[len(c):])
             else:
                 other.append(i)

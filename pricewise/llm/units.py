@@ -21,17 +21,19 @@ class Units:
         self.old: dict = {}
 
     def rows(self, units: list) -> list:
-        """The value of every unit, in order."""
+        """The value (never None) of every unit, in order."""
         new, old = self.new, self.old
-        unknown = set(units).difference(new)
-        if unknown:
+        out = list(map(new.get, units))
+        missed = [i for i, v in enumerate(out) if v is None]
+        if missed:
+            unknown = {units[i] for i in missed}
             seen = old.keys() & unknown
             new.update((u, old[u]) for u in seen)
             fresh = list(unknown.difference(seen))
             new.update(zip(fresh, self.make_many(fresh)))
-        out = [new[u] for u in units]
-        if unknown:
-            for u in unknown:
+            for i in missed:
+                out[i] = new[units[i]]
+            for u in fresh:
                 if len(u) > LONGEST:
                     del new[u]
             if len(new) > self.keep:

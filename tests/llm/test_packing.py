@@ -71,7 +71,7 @@ def test_large_pieces_are_matched_optimally():
 
 
 TEXTS = ["Hello, world! it's 2024 &&& don't.", "", None, "  \n\t ", "<|endoftext|> x<|startoftext|>y", "Ñandú, ΣΊΣΥΦΟΣ İi ﬁ 漢字",
-         "a\xa0b　c \x1cd\x1d e\x85f", "word " * 5000, "x" * 9000, "école,, (é", "Hello, world! it's 2024 &&& don't.",
+         "a\xa0b　c \x1cd\x1d e\x85f", "word " * 5000, "ÀÉÎõü, straße ÿ×÷ ªº µm", "x" * 9000, "école,, (é", "Hello, world! it's 2024 &&& don't.",
          "q?! \"quoted\" (paren) 'S 's can'T", "é" * 3000 + " z", "́ a ​ b c", "#" * 300]
 
 
