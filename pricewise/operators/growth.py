@@ -2,9 +2,8 @@
 
 The reference loops over towns and types, fitting one Box-Cox transform and
 one line per group. Here every step is one grouped job over all groups at once:
-the Box-Cox search evaluates a grid of lambdas for every group in a single
-aggregate, then refines around each group's best; line fits are ``regr_*``
-aggregates. All of it runs on the daily table (one row per group and day), so
+the Box-Cox search takes Newton steps for every group in a single aggregate a
+round; line fits are ``regr_*`` aggregates. All of it runs on the daily table (one row per group and day), so
 its size is bounded by the calendar, not by the number of listings.
 """
 
@@ -13,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.boxcox import boxcox_terms
 from ..functions.quantiles import without_null_keys
 from ..functions.scalar import LAMBDA_EPS, boxcox_inverse, growth_factor
 from ..plans.joins import join_small
@@ -135,73 +135,109 @@ def _z(u: Column, lam: Column) -> Column:
     return F.when(F.abs(lam) < LAMBDA_EPS, u).otherwise((F.exp(lam * u) - 1) / lam)
 
 
-def _best_lambda(cands: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group, the candidate with the smallest variance of the transformed
-    values (ties: the smaller lambda), and the group's search width (1 if not given)."""
-    if "_w" not in cands.columns:
-        cands = cands.withColumn("_w", F.lit(1.0))
-    var = cands.groupBy(*keys, "_lam").agg(F.var_pop(_z(F.col("_u"), F.col("_lam"))).alias("_v"),
-                                           F.first("_w").alias("_w"))
-    return var.groupBy(*keys).agg(F.min_by("_lam", F.struct("_v", "_lam")).alias("_lam"), F.first("_w").alias("_w"))
-
-
-# Fixed search plan: a grid over [lo, hi], then refinement rounds of
-# 2*REFINE_HALF+1 candidates at each step around each group's best.
-REFINE_STEPS = (1e-2, 1e-3, 1e-4, 1e-5)
-REFINE_HALF = 10
-MAX_WIDTH = 4.0 ** 10            # of the widened grid; exp() leaves the range of doubles before
+# Fixed values of the search: lambdas are reported to this step.
+RESOLUTION = 1e-5
+ROUNDS = 60                      # bisection alone narrows any bracket far enough
+ROUNDS_PER_JOB = 3
+UNIT_STEPS = 4.0                 # longest move, in units of 1 / std(u), while lambda is small
+LAST_STEP = 10.0                 # a Newton step this many resolutions long leaves an error far below one
+
+
+def _moments(z: str, z1: str, z2: str) -> list[Column]:
+    return [F.var_pop(z).alias("_v"), F.covar_pop(z, z1).alias("_c1"), F.covar_pop(z, z2).alias("_c2"),
+            F.var_pop(z1).alias("_v1")]
+
+
+def _step(m: DataFrame, keys: list[str], resolution: float) -> DataFrame:
+    """The next state of every group from its state and the moments at its lambda.
+
+    The log variance of the transform is convex in lambda. The sign of its slope narrows
+    the bracket; a Newton step that leaves it is replaced by a bisection, one
+    longer than the trusted length is cut to it. A lambda at which the variance overflows
+    is too far out, whatever the slope."""
+    lam, lo, hi = F.col("_l"), F.col("_lo"), F.col("_hi")
+    fine = F.coalesce((F.col("_v") > 0) & (F.abs("_v") < float("inf")) & (F.abs("_c1") < float("inf")), F.lit(False))
+    slope = F.when(fine, 2 * F.col("_c1") / F.col("_v")).otherwise(F.signum(lam))
+    m = m.withColumns({"_g": slope, "_h": F.when(fine, 2 * (F.col("_v1") + F.col("_c2")) / F.col("_v") - slope * slope),
+                       "_reach": F.greatest(F.lit(UNIT_STEPS) * F.col("_s"), F.abs(lam))})
+    m = m.withColumns({"_hi": F.when(F.col("_g") > 0, lam).otherwise(hi), "_lo": F.when(F.col("_g") <= 0, lam).otherwise(lo),
+                       "_d": F.when((F.col("_h") > 0) & (F.abs("_h") < float("inf")), -F.col("_g") / F.col("_h"))})
+    m = m.withColumn("_d", F.least(F.greatest("_d", -F.col("_reach")), F.col("_reach")))
+    newton = F.coalesce((lam + F.col("_d") > F.coalesce(lo, F.lit(float("-inf"))))
+                        & (lam + F.col("_d") < F.coalesce(hi, F.lit(float("inf")))) | (F.col("_d") == 0), F.lit(False))
+    other = F.when(lo.isNotNull() & hi.isNotNull(), (lo + hi) / 2).otherwise(
+        F.when(F.col("_g") > 0, lam - F.col("_reach")).otherwise(lam + F.col("_reach")))
+    m = m.withColumns({"_newton": newton, "_to": F.when(newton, lam + F.col("_d")).otherwise(other)})
+    near = F.abs(F.col("_to") - lam)
+    end = F.when(F.col("_newton"), near <= LAST_STEP * resolution).otherwise(near <= resolution / 1000)
+    return m.select(*keys, F.when(F.col("_done"), lam).otherwise(F.col("_to")).alias("_l"), "_lo", "_hi", "_s",
+                    (F.col("_done") | end).alias("_done"))
+
+
+def newton_start(u: DataFrame, keys: list[str], resolution: float = RESOLUTION) -> DataFrame:
+    """State after the step from lambda 0, where z = u, dz/dl = u^2 / 2, d2z/dl2 = u^3 / 3."""
+    none = F.lit(None).cast("double")
+    x = F.col("_u")
+    m = u.select(*keys, "_u", (x * x / 2).alias("_z1"), (x * x * x / 3).alias("_z2"))
+    m = m.groupBy(*keys).agg((1 / F.stddev_pop("_u")).alias("_s"), *_moments("_u", "_z1", "_z2"))
+    return _step(m.withColumns({"_l": F.lit(0.0), "_lo": none, "_hi": none, "_done": F.lit(False)}), keys, resolution)
+
+
+def newton_round(u: DataFrame, state: DataFrame, keys: list[str], resolution: float = RESOLUTION) -> DataFrame:
+    """One safeguarded Newton step of every group's lambda.
+
+    ``u`` has the centred logs, ``state`` one row per group: ``_l``, the bracket ``_lo`` and
+    ``_hi`` (NULL while open), the unit ``_s`` and ``_done``. One aggregate gives slope and
+    curvature from the moments of z, dz/dl and d2z/dl2."""
+    z, z1, z2 = boxcox_terms(F.col("_u"), F.col("_l"))
+    names = ["_l", "_lo", "_hi", "_s", "_done"]
+    m = u.join(state, keys).select(*keys, *names, z.alias("_z"), z1.alias("_z1"), z2.alias("_z2"))
+    return _step(m.groupBy(*keys).agg(*[F.max(c).alias(c) for c in names], *_moments("_z", "_z1", "_z2")), keys, resolution)
 
 
 def boxcox_fit(daily: DataFrame, keys: list[str], col: str = "asking_price",
-               lo: float = -5.0, hi: float = 5.0, step: float = 0.1,
-               refine_steps: tuple[float, ...] = REFINE_STEPS, refine_half: int = REFINE_HALF) -> DataFrame:
+               resolution: float = RESOLUTION) -> DataFrame:
     """Maximum-likelihood Box-Cox lambda per group.
 
     The log-likelihood (l-1) sum(ln x) - n/2 ln var(y_l) equals, up to a
     constant, -n/2 ln var of the transform of x divided by its geometric mean,
     so each group's best lambda minimises that variance, which is computed
-    without cancellation. One aggregate scores a grid [lo, hi] for all groups
-    at once; each refinement scores 2*refine_half+1 points around each group's
-    best at a finer step (final resolution: the last step). A group whose best
-    lies on an edge of the grid is searched again on one four times as wide, until
-    the best is inside. The rounds form one plan over the (small) scaled table;
-    only the result, one row per group, is materialised. Groups with fewer than
+    without cancellation. All groups take Newton steps together: a round is one
+    aggregate over the scaled values with one row per group as its state, and most
+    groups need three or four. The result is the multiple of ``resolution`` with the
+    smallest variance (ties: the smaller) beside the optimum. Groups with fewer than
     two values, a single value or a value <= 0 get NULL. Output: keys,
     ``normalize_lambda``, ``log_gmean``."""
     u, stats = _scaled(daily, keys, col)
-    # Partition the scaled values by group (an explicit count, so adaptive
-    # execution does not pack the small table into one partition). A group has
-    # at most one row per day, so it is bounded by the calendar; and because
-    # the data are already clustered by the group keys, the per-(group, lambda)
-    # and per-group aggregates of every round run without shuffling the
-    # exploded candidates.
-    u = u.repartition(_parallelism(daily), *keys)
-    m = int(round((hi - lo) / step))
-    # Candidates come from exploding a plain integer sequence; lambda is
-    # computed in the next projection so the whole stage stays code-generated.
-    def on_grid(rows: DataFrame) -> DataFrame:
-        cells = rows.select(*keys, "_u", "_w", F.explode(F.sequence(F.lit(0), F.lit(m))).alias("_i"))
-        return _best_lambda(cells.select(*keys, "_u", "_w", ((F.lit(lo) + F.col("_i") * F.lit(step)) * F.col("_w"))
-                                         .alias("_lam")), keys)
-    half = F.lit(step / 2) * F.col("_w")
-    edge = (F.col("_lam") <= F.lit(lo) * F.col("_w") + half) | (F.col("_lam") >= F.lit(hi) * F.col("_w") - half)
-    best = on_grid(u.withColumn("_w", F.lit(1.0))).checkpoint(eager=True)
-    at_edge = best.filter(edge)
-    while not at_edge.isEmpty():
-        wider = at_edge.select(*keys, (F.col("_w") * 4).alias("_w"))
-        best = (best.filter(~edge).unionByName(on_grid(u.join(wider, keys)))).checkpoint(eager=True)
-        at_edge = best.filter(edge & (F.col("_w") < MAX_WIDTH))
-    for fine in refine_steps:
-        cands = (u.join(best.withColumnRenamed("_lam", "_b"), keys)
-                 .select(*keys, "_u", "_b", "_w",
-                         F.explode(F.sequence(F.lit(-refine_half), F.lit(refine_half))).alias("_j"))
-                 .select(*keys, "_u", "_w", (F.col("_b") + F.col("_j") * F.lit(fine) * F.col("_w")).alias("_lam")))
-        best = _best_lambda(cands, keys)
+    # Partition the scaled values by group once (an explicit count, so adaptive
+    # execution does not pack the small table into one partition): the aggregates
+    # of all rounds then run without shuffling them again. A group has at most one
+    # row per day, so it is bounded by the calendar.
+    u = u.checkpoint(eager=True).repartition(_parallelism(daily), *keys)
+    state = newton_start(u, keys, resolution)
+    for _ in range(0, ROUNDS, ROUNDS_PER_JOB):
+        for _ in range(ROUNDS_PER_JOB):
+            state = newton_round(u, state, keys, resolution)
+        state = state.checkpoint(eager=True)
+        if state.filter(~F.col("_done")).isEmpty():
+            break
+    best = _on_grid(u, state, keys, resolution)
     return (stats.join(best, keys, "left")
             .select(*keys, F.col("_lam").alias("normalize_lambda"), F.col("_lgm").alias("log_gmean"))
             .checkpoint(eager=True))
 
 
+def _on_grid(u: DataFrame, state: DataFrame, keys: list[str], resolution: float) -> DataFrame:
+    """The best of the three multiples of ``resolution`` beside each group's lambda."""
+    k = F.round(F.col("_l") / resolution)
+    near = [((k + d) * resolution) for d in (-1, 0, 1)]
+    cells = u.join(state.select(*keys, *[c.alias(f"_l{i}") for i, c in enumerate(near)]), keys)
+    cells = cells.select(*keys, "_l0", "_l1", "_l2", *[_z(F.col("_u"), F.col(f"_l{i}")).alias(f"_z{i}") for i in range(3)])
+    per = cells.groupBy(*keys).agg(F.array_min(F.array(*[
+        F.struct(F.var_pop(f"_z{i}").alias("v"), F.max(f"_l{i}").alias("l")) for i in range(3)])).alias("_best"))
+    return per.select(*keys, F.col("_best.l").alias("_lam"))
+
+
 def boxcox_transform(daily: DataFrame, params: DataFrame, keys: list[str],
                      col: str = "asking_price", out: str = "target") -> tuple[DataFrame, DataFrame]:
     """Standardised Box-Cox values per row (population std, as the

@@ -412,12 +412,17 @@ FROM fits"""))
 
 # ------------------------------------------------------------------ I1-I3, I6, I8, I9, D11, I26
 
+# Search of the SQL twin: a grid, then rounds of finer steps around each group's best.
+REFINE_STEPS = (1e-2, 1e-3, 1e-4, 1e-5)
+REFINE_HALF = 10
+
+
 def boxcox_sql(lo: float = -5.0, hi: float = 5.0, step: float = 0.1) -> str:
     """CTEs bc_params (keys, normalize_lambda, log_gmean), bc_rows (daily rows
     with target) and bc_groups (keys, lambda, mean, std) over ``daily``."""
     z = "CASE WHEN abs(lam) < 1e-12 THEN u ELSE (exp(lam * u) - 1) / lam END"
     m = int(round((hi - lo) / step))
-    h = G.REFINE_HALF
+    h = REFINE_HALF
     parts = [f"""
 bc_pos AS (SELECT {K}, asking_price AS x FROM daily WHERE asking_price > 0),
 bc_gst AS (SELECT {K}, avg(ln(x)) AS lgm, count(x) AS n, min(x) AS mn, max(x) AS mx FROM bc_pos GROUP BY {K}),
@@ -427,8 +432,8 @@ bc_b0 AS (SELECT {K}, arg_min(lam, {{'v': v, 'l': lam}}) AS lam FROM (
   FROM (SELECT {K}, u, CAST({lo!r} AS DOUBLE) + i * CAST({step!r} AS DOUBLE) AS lam
         FROM bc_u, range(0, {m + 1}) t(i)) GROUP BY {K}, lam)
   GROUP BY {K})"""]
-    refinements = len(G.REFINE_STEPS)
-    for r, fine in enumerate(G.REFINE_STEPS, start=1):
+    refinements = len(REFINE_STEPS)
+    for r, fine in enumerate(REFINE_STEPS, start=1):
         parts.append(f"""
 bc_b{r} AS (SELECT {K}, arg_min(lam, {{'v': v, 'l': lam}}) AS lam FROM (
   SELECT {K}, lam, var_pop({z}) AS v

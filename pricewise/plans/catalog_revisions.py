@@ -5,7 +5,7 @@ tables, so the queries that exist to exercise C3/C4/C5 use the fixture
 thresholds documented in FIXTURES.md (3 and 2); the modelling chain keeps 150.
 Evaluation operators are checked over a stored score (a fixed formula of the
 features) so that they are compared exactly and apart from the optimiser; the
-fitted-model queries have no SQL twin (iterative solver).
+fitted models have twins that take Newton steps in SQL (``model_sql``).
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from ..operators import features as FT
 from ..operators import model as M
 from ..operators import revisions as R
 from ..operators import rows as RW
+from ..operators import sparse_model as SM
 from ..sources.fixtures import REVISION_ORDER
+from . import model_sql as MS
 from .oracle import CLEANED, LISTING, REVISION, register, with_ctes
 from .queries import cleaned_listings, query, revisions, rounded
 
@@ -396,36 +398,94 @@ register("i10_one_hot", with_ctes(LISTING, CLEANED, REVISION, DATASET, body="\nU
     for c in FT.CATEGORICAL)))
 
 
-# ------------------------------------------------------------------ I16-I19, I23 (no SQL twin)
+# ------------------------------------------------------------------ I16-I19, I23
 
-def fitted(spark, sf_dir, cv: bool = True):
+def fitted(spark, sf_dir):
     # The split reads a checkpointed table, and a fit materialises its own input.
     train = train_table(spark, sf_dir)
-    fm = FT.fit_features(train, "revision")
-    tf = fm.transform(train)
-    if cv:
-        res = M.fit_logistic_cv(tf, FT.EXTENDED, "revision", "row_idx")
-        return tf, res.model, res
-    w = FT.balanced_weights(tf, "revision")
-    return w, M.fit_logistic(w, FT.EXTENDED, "revision", 0.1), None
+    tf = FT.fit_features(train, "revision").transform(train)
+    res = M.fit_logistic_cv(tf, FT.EXTENDED, "revision", "row_idx")
+    return tf, res.model, res
+
+
+DRAFT_NUMERIC = ["bedroom_count", "time_listed"]
+DRAFT_C = 0.1
 
 
 @query("i16_logistic_fit")
 def q_fit(spark, sf_dir):
-    _, model, _ = fitted(spark, sf_dir, cv=False)
-    return M.coefficient_table(model, FT.EXTENDED)
+    """The draft's model: one-hot categories, two numbers as they are, C = 0.1, balanced."""
+    columns, model = SM.fit_one_hot_logistic(train_table(spark, sf_dir), FT.CATEGORICAL, DRAFT_NUMERIC, "revision", DRAFT_C)
+    return rounded(SM.sparse_coefficients(columns, model), 5)
+
+
+STEPS = 12                       # Newton steps of a twin; they double the digits
+_CAT = ", ".join(f"({i}, '{c}', {c})" for i, c in enumerate(FT.CATEGORICAL))
+_PICK = "CASE l.p " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(FT.CATEGORICAL)) + " END"
+DRAFT_SQL = f""",
+lv AS (SELECT DISTINCT t.p, t.c, t.v FROM train, LATERAL (VALUES {_CAT}) t(p, c, v)),
+lv2 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY p) AS n, min(v) OVER (PARTITION BY p) AS least FROM lv)
+        WHERE n <> 2 OR v <> least),
+lvs AS MATERIALIZED (SELECT list({{'p': p, 'c': c, 'v': v}} ORDER BY p, v) AS ls FROM lv2),
+dx AS MATERIALIZED (SELECT list_concat(list_transform(ls, lambda l: CASE WHEN {_PICK} = l.v THEN 1e0 ELSE 0e0 END),
+     [{', '.join(f'{c}::DOUBLE' for c in DRAFT_NUMERIC)}, 1e0]) AS x, revision::DOUBLE AS y,
+     (count(*) OVER ()) / (2e0 * count(*) OVER (PARTITION BY revision)) AS w FROM train, lvs),
+""" + MS.newton_over_lists("nb", "dx", repr(DRAFT_C), STEPS)
+_DRAFT_NAMES = "['" + "', '".join([*DRAFT_NUMERIC, "intercept"]) + "']"
+register("i16_logistic_fit", with_ctes(LISTING, CLEANED, REVISION, DATASET + DRAFT_SQL, body=f"""
+SELECT unnest(list_concat(list_transform(ls, lambda l: l.c || '_' || l.v), {_DRAFT_NAMES})) AS name,
+       round(unnest(beta), 5) AS coef FROM nb{STEPS}, lvs""").replace("WITH ", "WITH RECURSIVE ", 1))
 
 
 @query("i17_logistic_cv")
 def q_cv(spark, sf_dir):
-    _, model, res = fitted(spark, sf_dir, cv=True)
+    _, model, res = fitted(spark, sf_dir)
     rows = [(float(C), int(f), float(s), float(C) == res.C) for C, f, s in res.scores]
-    return spark.createDataFrame(rows, "C double, fold int, f1 double, chosen boolean")
+    return rounded(spark.createDataFrame(rows, "C double, fold int, f1 double, chosen boolean"), 12, C=99)
+
+
+def search_sql(prefix: str, cols: list[str]) -> str:
+    """CTEs of the search over ``cols`` of ``mrows``: ``{prefix}_f1(c, fold, f1)``, ``{prefix}_best(c)`` and
+    the refitted model ``{prefix}_scored(revision, y_pred)``."""
+    grid = ", ".join(f"({C!r}::DOUBLE)" for C in M.CS)
+    x = [f"r.{c}" for c in cols] + ["1e0"]
+    z = " + ".join(f"{v} * b.beta[{i}]" for i, v in enumerate(x, 1))
+    return f"""
+{prefix}_models AS MATERIALIZED (SELECT row_number() OVER (ORDER BY c, fold) AS mid, c, fold::BIGINT AS fold
+  FROM (VALUES {grid}) g(c), range({M.FOLDS}) t(fold)),
+""" + MS.newton_over_columns(f"{prefix}n", "mrows", f"{prefix}_models", cols, STEPS) + f""",
+{prefix}_f1 AS MATERIALIZED (
+  SELECT c, m.fold, CASE WHEN sum((y = 1 OR pred)::INT) = 0 THEN 0 ELSE 2e0 * sum((y = 1 AND pred)::INT)
+         / (2 * sum((y = 1 AND pred)::INT) + sum((y = 1 AND NOT pred)::INT) + sum((y = 0 AND pred)::INT)) END AS f1
+  FROM (SELECT b.mid, r.y, ({z}) > 0 AS pred FROM {prefix}n{STEPS} b JOIN {prefix}_models m USING (mid) JOIN mrows r ON r.fold = m.fold)
+  JOIN {prefix}_models m USING (mid) GROUP BY c, m.fold),
+{prefix}_best AS MATERIALIZED (SELECT 0 AS mid, arg_min(c, {{'a': -round(mean, 15), 'c': c}}) AS c, NULL::BIGINT AS fold
+  FROM (SELECT c, sum(f1) / {M.FOLDS} AS mean FROM {prefix}_f1 GROUP BY c)),
+""" + MS.newton_over_columns(f"{prefix}r", "mrows", f"{prefix}_best", cols, STEPS) + f""",
+{prefix}_scored AS (SELECT r.y::INT AS revision, ((1 / (1 + exp(-({z})))) > 0.5)::INT AS y_pred FROM {prefix}r{STEPS} b, mrows r)"""
+
+
+MODEL_ROWS = f""",
+wrows AS MATERIALIZED (SELECT {', '.join(f'tf.{c}' for c in FT.EXTENDED)}, tf.location * tf.time_listed AS location_x_time_listed,
+    row_idx, tf.revision, tf.revision::DOUBLE AS y, (count(*) OVER ()) / (2e0 * count(*) OVER (PARTITION BY tf.revision)) AS w
+  FROM tf JOIN train USING (listing_id)),""" + MS.stratified_folds("wrows", "revision", "row_idx", M.FOLDS) + """,
+mrows AS MATERIALIZED (SELECT * FROM folded)"""
+INTERACTED = FT.EXTENDED + ["location_x_time_listed"]
+
+
+def _search(body: str, *searches: str) -> str:
+    return with_ctes(LISTING, CLEANED, REVISION, DATASET + FEATURES_SQL + MODEL_ROWS, *searches,
+                     body=body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+register("i17_logistic_cv", _search("""
+SELECT a.c AS C, a.fold::INT AS fold, round(f1, 12) AS f1, a.c = a_best.c AS chosen FROM a_f1 a, a_best""",
+                                    search_sql("a", FT.EXTENDED)))
 
 
 @query("i19_score_and_confusion")
 def q_score(spark, sf_dir):
-    tf, model, _ = fitted(spark, sf_dir, cv=True)
+    tf, model, _ = fitted(spark, sf_dir)
     return EV.confusion(M.score(model, tf, FT.EXTENDED))
 
 
@@ -602,9 +662,22 @@ SELECT label, prediction, cell, count_a, count_b, count_b - count_a AS change FR
 def q_interactions(spark, sf_dir):
     """Refit with the (location x time_listed) interaction and
     compare confusion cells of both models on the training rows."""
-    tf, model, _ = fitted(spark, sf_dir, cv=True)
+    tf, model, _ = fitted(spark, sf_dir)
     plain = M.score(model, tf, FT.EXTENDED)
     tfi = FT.interactions(tf, "location", "time_listed")
-    cols = FT.EXTENDED + ["location_x_time_listed"]
-    res = M.fit_logistic_cv(tfi, cols, "revision", "row_idx")
-    return EV.compare_models(plain, M.score(res.model, tfi, cols))
+    res = M.fit_logistic_cv(tfi, INTERACTED, "revision", "row_idx")
+    return EV.compare_models(plain, M.score(res.model, tfi, INTERACTED))
+
+
+register("i19_score_and_confusion", _search("""
+SELECT c.label, c.prediction, c.cell, count(s.revision) AS count
+FROM cells c LEFT JOIN a_scored s ON s.revision = c.label AND s.y_pred = c.prediction
+GROUP BY c.label, c.prediction, c.cell""", search_sql("a", FT.EXTENDED), CELLS_SQL))
+
+register("i25_interaction_model_comparison", _search("""
+SELECT label, prediction, cell, count_a, count_b, count_b - count_a AS change FROM ca JOIN cb USING (label, prediction)""",
+    search_sql("a", FT.EXTENDED), search_sql("b", INTERACTED), CELLS_SQL, """
+ca AS (SELECT c.label, c.prediction, c.cell, count(s.revision) AS count_a FROM cells c
+       LEFT JOIN a_scored s ON s.revision = c.label AND s.y_pred = c.prediction GROUP BY ALL),
+cb AS (SELECT c.label, c.prediction, count(s.revision) AS count_b FROM cells c
+       LEFT JOIN b_scored s ON s.revision = c.label AND s.y_pred = c.prediction GROUP BY ALL)"""))

@@ -38,18 +38,17 @@ def test_last_revision_aggregates_on_the_join_partitioning(no_auto_broadcast):
     assert len(exchanges) == 2  # lineitem and orders for the join; none for the aggregate
 
 
-def test_boxcox_rounds_do_not_shuffle_candidates(spark):
+def test_boxcox_rounds_neither_explode_nor_shuffle_the_values(spark):
     from pricewise.operators import growth as G
     from pricewise.plans import catalog_growth as CG
     keys = ["location", "property_type"]
     daily = CG.daily_table(spark, SF).checkpoint(eager=True)
     u, _ = G._scaled(daily, keys, "asking_price")
-    u = u.repartition(8, *keys)
-    grid = (u.select(*keys, "_u", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("_i"))
-            .select(*keys, "_u", (F.lit(-5.0) + F.col("_i") * F.lit(0.1)).alias("_lam")))
-    plan = plan_of(G._best_lambda(grid, keys))
-    above_generate = plan.split("Generate")[0]
-    assert "Exchange" not in above_generate, plan[:3000]
+    u = u.checkpoint(eager=True).repartition(8, *keys)
+    plan = plan_of(G.newton_round(u, G.newton_start(u, keys), keys))
+    assert "Generate" not in plan
+    # Shuffles: the values for the start, the values for the round; none above a join or an aggregate.
+    assert len(re.findall(r"(?<!Broadcast)Exchange hashpartitioning", plan)) == 2, plan[:3000]
 
 
 def test_cleaning_and_views_fuse_into_one_scan_stage(spark):
