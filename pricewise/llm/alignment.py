@@ -29,9 +29,11 @@ The best count of an id is a window over its partners, at most the other vocabul
 
 from __future__ import annotations
 
+import gc
 import re
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -51,24 +53,15 @@ BLOCK_BYTES = 16 << 20           # of text in a block
 BLOCK_DOCS = 20_000
 QUESTIONS = 4_096                # pairs in a stored row
 KEEP = 120_000                   # remembered units
+PUNCTUATION = ".,;:!?%$&*#|\")('"
 
 
 def common_ends(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
     """How many tokens of either side lie before each end that both sides have."""
-    at_a = {e: i for i, e in enumerate(ends_a, 1)}
-    at_b = {e: i for i, e in enumerate(ends_b, 1)}
+    at_a, at_b = dict(zip(ends_a, count(1))), dict(zip(ends_b, count(1)))
     return [(at_a[e], at_b[e]) for e in sorted(at_a.keys() & at_b.keys())]
 
 
-def groups_of(ids_a: list[int], ids_b: list[int], ends_a: list[int], ends_b: list[int]) -> list[tuple[list, list]]:
-    """The tokens of both sides between consecutive common ends."""
-    out, i, j = [], 0, 0
-    for x, y in common_ends(ends_a, ends_b):
-        out.append((ids_a[i:x], ids_b[j:y]))
-        i, j = x, y
-    return out
-
-
 class Aligner:
     """Two vocabularies and the aligned units a worker remembers."""
 
@@ -88,28 +81,90 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.size_b)]
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode()
                         for i, p in enumerate(pieces)]
-        self.len_a, self.len_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
+        self.len_a, self.len_b = _sizes(self.bytes_a), _sizes(self.bytes_b)
         crosses = any(x != MARK and y == MARK for p in pieces for x, y in zip(p, p[1:]))
         before = str(self.a.pre_tokenizer)
         self.by_unit = not crosses and before.startswith("ByteLevel") and "use_regex=True" in before
-        self.units = Units(self._aligned, KEEP)
-
-    def _aligned(self, units: list[str]) -> list[tuple]:
-        """(tokens a, tokens b, groups, their text, packed pairs) of each unit behind a space;
-        nothing if a side does not give its bytes back."""
-        many_a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
-        out = []
-        for unit, ids_a, ids_b in zip(units, many_a, self.b.encode(units, num_threads=1)):
-            text = (" " + unit).encode()
-            if b"".join([self.bytes_a[i] for i in ids_a]) != text or b"".join([self.bytes_b[i] for i in ids_b]) != text:
-                out.append(())
-                continue
-            groups = groups_of(ids_a, ids_b, _ends(ids_a, self.len_a), _ends(ids_b, self.len_b))
-            said = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
-            pairs = np.array([i * self.size_b + j for x, y in groups for i in x for j in y], np.int64)
-            out.append((len(ids_a), len(ids_b), len(groups), said, pairs.tobytes()))
+        self.inside = {p[i:i + 2] for p in pieces for i in range(len(p) - 1)}      # neighbours that a piece may join
+        self.said_a, self.said_b = [str(i) for i in range(self.size_a)], [str(i) for i in range(self.size_b)]
+        self.units = Units(self._units, KEEP)
+        self.cores = Units(self._cores, KEEP)
+        self.tails = Units(self._tails, KEEP)
+
+    def _rows(self, texts: list[str], many_a: list[list[int]], many_b: list[list[int]]) -> list[tuple]:
+        """(tokens a, tokens b, groups, their text, packed pairs) of every text; nothing if a
+        side does not give its bytes back. The texts are aligned as one: both sides end
+        where a text does, so no group crosses from one to the next."""
+        raw = [t.encode() for t in texts]
+        flat_a, flat_b = list(chain.from_iterable(many_a)), list(chain.from_iterable(many_b))
+        ids_a, ids_b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
+        n_a, n_b = _sizes(many_a), _sizes(many_b)
+        ends_a, ends_b = np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b])
+        at = np.cumsum(_sizes(raw))
+        whole = b"".join(raw)
+        if not (b"".join(map(self.bytes_a.__getitem__, flat_a)) == whole == b"".join(map(self.bytes_b.__getitem__, flat_b))
+                and n_a.all() and n_b.all()
+                and (ends_a[np.cumsum(n_a) - 1] == at).all() and (ends_b[np.cumsum(n_b) - 1] == at).all()):
+            good = [i for i, (r, x, y) in enumerate(zip(raw, many_a, many_b))
+                    if b"".join([self.bytes_a[k] for k in x]) == r == b"".join([self.bytes_b[k] for k in y])]
+            out: list = [()] * len(texts)
+            for i, row in zip(good, self._rows(*[[v[i] for i in good] for v in (texts, many_a, many_b)])) if good else ():
+                out[i] = row
+            return out
+        common = common_ends(ends_a.tolist(), ends_b.tolist())
+        x, y = np.array(common, np.int64).reshape(-1, 2).T
+        p, q = np.diff(x, prepend=0), np.diff(y, prepend=0)      # tokens of a group on either side
+        links = p * q
+        group = np.repeat(np.arange(len(common)), links)
+        k = np.arange(len(group)) - (np.cumsum(links) - links)[group]
+        pairs = (ids_a[(x - p)[group] + k // q[group]] * self.size_b + ids_b[(y - q)[group] + k % q[group]]).tobytes()
+        sa, sb = list(map(self.said_a.__getitem__, flat_a)), list(map(self.said_b.__getitem__, flat_b))
+        said = [f"{sa[i - 1]}|{sb[j - 1]}" if n == m == 1 else f"{','.join(sa[i - n:i])}|{','.join(sb[j - m:j])}"
+                for (i, j), n, m in zip(common, p.tolist(), q.tolist())]
+        upto = np.searchsorted(ends_a[x - 1], at, "right")       # groups before each text's end
+        linked = 8 * np.cumsum(links)[upto - 1]
+        out, g, c = [], 0, 0
+        for i, j, h, d in zip(n_a.tolist(), n_b.tolist(), upto.tolist(), linked.tolist()):
+            out.append((i, j, h - g, ";".join(said[g:h]), pairs[c:d]))
+            g, c = h, d
         return out
 
+    def _library_a(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cores(self, words: list[str]) -> list[tuple]:
+        """Rows of units behind a space."""
+        spaced = [" " + w for w in words]
+        return self._rows(spaced, self._library_a(spaced), self.b.encode(words, num_threads=1)) if words else []
+
+    def _tails(self, tails: list[str]) -> list[tuple]:
+        """Rows of punctuation behind a letter that no piece joins it with."""
+        behind = []
+        for t in tails:
+            letter = next((c for c in "abcdefghijklmnopqrstuvwxyz" if c + t[0] not in self.inside), None)
+            ids = self.b.encode(letter + t) if letter else []
+            first = self.b.encode(letter) if letter else []
+            behind.append(ids[len(first):] if ids[:len(first)] == first else [])
+        return self._rows(tails, self._library_a(tails), behind) if tails else []
+
+    def _units(self, units: list[str]) -> list[tuple]:
+        """Rows of units. Both sides end between a letter or digit and punctuation behind
+        it if no piece joins the two, so such a unit is the two parts' rows."""
+        cuts = []
+        for u in units:
+            c = u.rstrip(PUNCTUATION)
+            m = len(c)
+            cuts.append(m if 0 < m < len(u) and c[-1].isalnum() and u[m - 1:m + 1] not in self.inside else len(u))
+        heads = self.cores.rows([u[:m] for u, m in zip(units, cuts)])
+        cut = [i for i, (u, m) in enumerate(zip(units, cuts)) if m < len(u)]
+        for i, t in zip(cut, self.tails.rows([units[i][cuts[i]:] for i in cut])):
+            h = heads[i]
+            heads[i] = (h[0] + t[0], h[1] + t[1], h[2] + t[2], f"{h[3]};{t[3]}", h[4] + t[4]) if h and t else ()
+        whole = [i for i in cut if not heads[i]]         # a part that does not come back: try the unit itself
+        for i, row in zip(whole, self._cores([units[i] for i in whole])):
+            heads[i] = row
+        return heads
+
     def texts(self, texts: list[str | None]) -> list[tuple | None]:
         """(tokens a, tokens b, groups, their text, pair of every link) of whole texts."""
         split = [CUT.split(t) if t and self.by_unit else [t] if t else [] for t in texts]
@@ -126,12 +181,8 @@ class Aligner:
         return out
 
 
-def _ends(ids: list[int], size: list[int]) -> list[int]:
-    out, e = [], 0
-    for i in ids:
-        e += size[i]
-        out.append(e)
-    return out
+def _sizes(many) -> np.ndarray:
+    return np.fromiter(map(len, many), np.int64, len(many))
 
 
 @lru_cache(maxsize=2)
@@ -147,7 +198,7 @@ def default_models() -> tuple[str, str]:
 def groups(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, groups`` (array of ``a``, ``b``: the ids of either side) of every row."""
     def run(batches):
-        _one_thread()
+        _settle()
         al = aligner(path_a, path_b)
         for batch in batches:
             for part in slices(batch, "_text", SLICE):
@@ -163,9 +214,11 @@ def groups(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
                        .alias("groups"))
 
 
-def _one_thread() -> None:
+def _settle() -> None:
+    """A task is one thread, and remembered rows are many small objects, none in cycles."""
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    gc.disable()
 
 
 # ---------------------------------------------------------------- counts over the corpus
@@ -183,7 +236,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK_
     def run(batches):
         import zstandard
         from pyspark import TaskContext
-        _one_thread()
+        _settle()
         al, pack = aligner(path_a, path_b), zstandard.ZstdCompressor(level=1).compress
         block, held, size, n_docs = TaskContext.get().partitionId() << 32, [], 0, 0
 
