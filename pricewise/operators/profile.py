@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import group_quantiles, without_null_keys
 from ..plans.joins import attach_scalars
+from ..session import ensure_checkpoint_dir
 
 
 def profile_columns(df: DataFrame) -> DataFrame:
@@ -40,6 +41,18 @@ def value_counts(df: DataFrame, col: str, by: str = "count") -> DataFrame:
     raise ValueError("by must be 'count' or 'value'")
 
 
+def value_counts_of(df: DataFrame, cols: list[str]) -> DataFrame:
+    """D1 for several columns in one pass: ``column_name, value, count``, nulls excluded. One
+    grouping set per column: a row is expanded once a column and counted before the
+    shuffle, and the input is read once."""
+    texts = df.select(*[F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(cols)])
+    names = texts.columns
+    counts = texts.groupingSets([[c] for c in names], *names).agg(
+        F.count(F.lit(1)).alias("count"), *[F.grouping(c).alias(f"_g{c}") for c in names])
+    which = F.coalesce(*[F.when(F.col(f"_g{c}") == 0, F.lit(name)) for c, name in zip(names, cols)])
+    return counts.select(which.alias("column_name"), F.coalesce(*names).alias("value"), "count").filter("value IS NOT NULL")
+
+
 def key_check(df: DataFrame, key: str, approx: bool = False) -> DataFrame:
     """Rows, distinct keys and whether the key is unique (one row)."""
     distinct = (F.approx_count_distinct(key) if approx else F.count_distinct(F.col(key)))
@@ -55,10 +68,12 @@ def describe_column(df: DataFrame, col: str, by: list[str] | None = None,
 
     Exact quantiles, not ``df.summary()`` (which is approximate)."""
     by = by or []
-    df = without_null_keys(df, by)
+    # Moments and quantiles read the stored column: the input is computed once.
+    ensure_checkpoint_dir(df.sparkSession)
+    df = without_null_keys(df.select(*by, col), by).checkpoint(eager=True)
     moments = df.groupBy(*by).agg(
         F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
         F.min(col).alias("min"), F.max(col).alias("max"))
-    quarts = group_quantiles(df, by, col, [0.25, 0.5, 0.75], ["p25", "p50", "p75"], method=method)
+    quarts = group_quantiles(df, by, col, [0.25, 0.5, 0.75], ["p25", "p50", "p75"], method=method, stored=True)
     joined = moments.join(quarts, by) if by else attach_scalars(moments, quarts)
     return joined.select(*by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")

@@ -29,9 +29,14 @@ def hash_key(key, seed: int = 42) -> Column:
     return F.md5(F.concat(k.cast("string"), F.lit(f"-{seed}")))
 
 
-def seeded_shuffle(df: DataFrame, key: str, seed: int = 42, out: str = "shuffle_key") -> DataFrame:
-    """the table in a repeatable random order (sort key kept as a column)."""
-    return df.withColumn(out, hash_key(key, seed)).orderBy(out, key)
+def seeded_shuffle(df: DataFrame, key: str, seed: int = 42, out: str = "shuffle_key",
+                   index_col: str | None = None) -> DataFrame:
+    """the table in a repeatable random order (sort key kept as a column), with the
+    position in it if ``index_col`` is given."""
+    keyed = df.withColumn(out, hash_key(key, seed))
+    if index_col:
+        keyed = with_row_index(keyed, [F.col(out), F.col(key)], index_col, materialise_input=True)
+    return keyed.orderBy(out, key)
 
 
 def _fraction_threshold(frac: float) -> str:
@@ -153,16 +158,47 @@ def with_group_rank(df: DataFrame, keys: list[str], order: list, rank_col: str =
 
 # ---------------------------------------------------------------- F7
 
+DIGITS = 4                       # hex digits looked at in a round: 65,536 counts at most
+
+
+def nth_hash(keyed: DataFrame, rank, hash_col: str = "_hk", digits: int = DIGITS, length: int = 32) -> str | None:
+    """Radix selection: the shortest prefix ``c`` such that exactly the rows with
+    ``hash_col < c`` are the first ``rank(n)`` of the ``n`` rows in hash order; None if all
+    are. Rows of one hash stay together, on the far side.
+
+    A round counts rows by the next ``digits`` hex digits among those that share the prefix
+    found so far, so it is one aggregate of at most 16**digits rows; two rounds tell
+    billions of rows apart. One row reaches the driver."""
+    prefix, want = "", None
+    while True:
+        here = keyed.filter(F.col(hash_col).startswith(prefix)) if prefix else keyed
+        counts = here.groupBy(F.substring(hash_col, 1, len(prefix) + digits).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+        # Windows over the table of counts: no more than 16**digits rows.
+        upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counts = counts.select("_p", "_c", F.sum("_c").over(upto).alias("_upto"),
+                               F.sum("_c").over(Window.partitionBy()).alias("_n"))
+        k = rank(F.col("_n")) if want is None else F.lit(want)
+        hit = counts.withColumn("_k", k).filter((F.col("_upto") > F.col("_k")) & (F.col("_upto") - F.col("_c") <= F.col("_k"))).first()
+        if hit is None:
+            return None
+        before, prefix, want = prefix, hit["_p"], hit["_k"] - (hit["_upto"] - hit["_c"])
+        if want == 0 or len(prefix) >= length or len(prefix) == len(before):
+            return prefix
+
+
 def train_test_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42,
-                     split_col: str = "split", num_partitions: int | None = None) -> DataFrame:
-    """rows in the seeded order; the last ``ceil(test_size * n)`` are 'test',
-    the rest 'train' (the reference splits without a second shuffle)."""
-    import math
-    keyed = df.withColumn("_hk", hash_key(key, seed))
-    idx = with_row_index(keyed, [F.col("_hk"), F.col(key)], "row_idx", num_partitions,
-                         materialise_input=True)
-    n_rows = idx.select(F.count(F.lit(1))).scalar()
-    n_test = F.ceil(n_rows * F.lit(float(test_size)))
-    return (idx.withColumn(split_col, F.when(F.col("row_idx") < n_rows - n_test, "train")
-                           .otherwise("test"))
-            .drop("_hk"))
+                     split_col: str = "split", index_col: str | None = None,
+                     num_partitions: int | None = None) -> DataFrame:
+    """the last ``ceil(test_size * n)`` rows of the seeded order are 'test', the rest 'train'
+    (the reference splits without a second shuffle). ``key`` is unique; rows that
+    share a key stay on one side.
+
+    The cut-off hash is found by radix selection and a comparison marks the rows:
+    the table is neither sorted nor written. ``index_col`` asks for the position in
+    the seeded order as well, which takes a range shuffle."""
+    keyed = df.withColumn("_hk", F.coalesce(hash_key(key, seed), F.lit("")))       # null keys come first
+    cut = nth_hash(keyed, lambda n: n - F.ceil(n * F.lit(float(test_size))))
+    if index_col:
+        keyed = with_row_index(keyed, [F.col("_hk"), F.col(key)], index_col, num_partitions, materialise_input=True)
+    train = F.lit(True) if cut is None else F.col("_hk") < F.lit(cut)
+    return keyed.withColumn(split_col, F.when(train, "train").otherwise("test")).drop("_hk")

@@ -60,14 +60,7 @@ _VC_COLS = ["property_type", "tenure", "location", "bedroom_count", "bathroom_co
 
 @query("d1_value_counts")
 def q_value_counts(spark, sf_dir):
-    listing = listing_view(spark, sf_dir)
-    parts = [PR.value_counts(listing, c).select(F.lit(c).alias("column_name"),
-                                                 F.col(c).cast("string").alias("value"), "count")
-             for c in _VC_COLS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return PR.value_counts_of(listing_view(spark, sf_dir), list(_VC_COLS))
 
 
 register("d1_value_counts", with_ctes(LISTING, body="\nUNION ALL\n".join(
