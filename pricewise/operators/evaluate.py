@@ -116,3 +116,17 @@ def compare_models(scored_a: DataFrame, scored_b: DataFrame, label: str = "revis
     a = confusion(scored_a, label, pred).withColumnRenamed("count", "count_a")
     b = confusion(scored_b, label, pred).select("label", "prediction", F.col("count").alias("count_b"))
     return a.join(b, ["label", "prediction"]).withColumn("change", F.col("count_b") - F.col("count_a"))
+
+
+def compare_false_positives(scored_a: DataFrame, scored_b: DataFrame, keys: list[str], k: int = 10,
+                            label: str = "revision", pred: str = "y_pred") -> DataFrame:
+    """The groups among the ``k`` with most false positives of either model, with both
+    models' counts (0 if a model has none there) and their difference."""
+    counts = [s.filter((F.col(label) == 0) & (F.col(pred) == 1)).groupBy(*keys).agg(F.count(F.lit(1)).alias(f"count_{m}"))
+              for m, s in (("a", scored_a), ("b", scored_b))]
+    top = [false_positive_breakdown(s, keys, k, label, pred).select(*keys) for s in (scored_a, scored_b)]
+    both = top[0].unionByName(top[1]).distinct()
+    for c in counts:
+        both = both.join(c, keys, "left")
+    return (both.na.fill(0, ["count_a", "count_b"])
+            .withColumn("change", F.col("count_b") - F.col("count_a")))

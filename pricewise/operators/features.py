@@ -1,8 +1,7 @@
 """Feature encoders fitted on one table, applied to any.
 
 Fitted state is itself a small DataFrame (category -> mean, column -> min/max),
-kept in the checkpoint folder; applying it is a broadcast join (after a size
-check) or a scalar subquery, never a driver-side dictionary of the rows.
+kept in the checkpoint folder; applying it is a join or a scalar subquery, never a driver-side dictionary of the rows.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cyclic_cos, cyclic_sin
-from ..plans.joins import BROADCAST_MAX_ROWS, attach_scalars
+from ..plans.joins import attach_scalars
 
 # Fixed values of the reference's feature set.
 CATEGORICAL = ["property_type", "tenure", "location"]
@@ -32,16 +31,14 @@ WEEK_PERIOD = 53
 class MeanEncoderModel:
     cols: list[str]
     mapping: DataFrame  # column_name, value, mean
-    broadcastable: bool
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Replace each category by its fitted mean target; unseen -> NULL."""
+        """Replace each category by its fitted mean target; unseen -> NULL. Adaptive execution
+        broadcasts a column's map if its measured bytes allow."""
         out = df
         for c in self.cols:
             m = (self.mapping.filter(F.col("column_name") == c)
                  .select(F.col("value").alias(f"_v_{c}"), F.col("mean").alias(f"_m_{c}")))
-            if self.broadcastable:
-                m = F.broadcast(m)
             out = (out.join(m, F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
                    .withColumn(c, F.col(f"_m_{c}")).drop(f"_v_{c}", f"_m_{c}"))
         return out
@@ -56,9 +53,8 @@ class MeanEncoder:
     """Mean of the label per category value, for several columns in
     one aggregate (values of all columns are unpivoted into one key)."""
 
-    def __init__(self, cols: list[str], max_broadcast_rows: int = BROADCAST_MAX_ROWS):
+    def __init__(self, cols: list[str]):
         self.cols = list(cols)
-        self.max_broadcast_rows = max_broadcast_rows
 
     def fit(self, df: DataFrame, label: str) -> MeanEncoderModel:
         cells = df.select(F.col(label).cast("double").alias("_y"), F.explode(F.array(*[
@@ -67,7 +63,7 @@ class MeanEncoder:
         mapping = (cells.select("_c.column_name", "_c.value", "_y").filter(F.col("value").isNotNull())
                    .groupBy("column_name", "value").agg(F.avg("_y").alias("mean"))
                    .checkpoint(eager=True))
-        return MeanEncoderModel(self.cols, mapping, mapping.count() <= self.max_broadcast_rows)
+        return MeanEncoderModel(self.cols, mapping)
 
 
 # ---------------------------------------------------------------- I12, I13, I14
@@ -108,6 +104,13 @@ def interactions(df: DataFrame, a: str, b: str, out: str | None = None) -> DataF
     return df.withColumn(out or f"{a}_x_{b}", F.col(a) * F.col(b))
 
 
+def interaction_set(df: DataFrame, a: str, b: str, rest: list[str], keep: list[str] = ()) -> DataFrame:
+    """I14 as the refit uses it: bias, ``a``, ``b``, ``a * b``, then ``rest`` untouched (and ``keep``,
+    columns that are no features, in front)."""
+    return interactions(df, a, b).select(*keep, F.lit(1.0).alias("bias"), a, b, f"{a}_x_{b}",
+                                         *[c for c in rest if c not in (a, b)])
+
+
 # ---------------------------------------------------------------- I10
 
 @dataclass
@@ -127,13 +130,20 @@ class OneHotModel:
         return out
 
 
-def one_hot_fit(df: DataFrame, cols: list[str]) -> OneHotModel:
+MAX_LEVELS = 2_000               # output columns of one category
+
+
+def one_hot_fit(df: DataFrame, cols: list[str], max_levels: int = MAX_LEVELS) -> OneHotModel:
     """Levels of each column, sorted (``<col>_<level>``); a column with exactly
     two levels keeps only the second. The levels become columns of the result,
-    so the driver has to know them: their number is the width of the output."""
+    so the driver has to know them: their number is the width of the output. More than
+    ``max_levels`` are an error (``sparse_model`` has no such bound)."""
     levels = {}
     for c in cols:
-        vals = sorted(r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().collect())
+        vals = df.select(c).filter(F.col(c).isNotNull()).distinct().limit(max_levels + 1).collect()
+        if len(vals) > max_levels:
+            raise ValueError(f"{c}: more than {max_levels} levels")
+        vals = sorted(r[0] for r in vals)
         levels[c] = vals[1:] if len(vals) == 2 else vals
     return OneHotModel(levels)
 

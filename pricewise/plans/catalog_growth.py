@@ -3,6 +3,8 @@ distributions, trends) with their SQL twins."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.normal import sql_norm_ppf
@@ -11,10 +13,11 @@ from ..operators import distribution as D
 from ..operators import growth as G
 from ..operators import prices as P
 from ..operators import profile as PR
-from ..sources.fixtures import listing_view
-from ..sources.readers import parse_text
-from ..sources.schema import LISTING_SCHEMA
-from .oracle import CLEANED, DAILY, LISTING, register, with_ctes
+from ..session import ensure_checkpoint_dir
+from ..sources.fixtures import listing_view, revision_view
+from ..sources.readers import parse_text, read_listings, scan_csv, write_partitions
+from ..sources.schema import LISTING_SCHEMA, REVISION_SCHEMA
+from .oracle import CLEANED, DAILY, LISTING, REVISION, register, with_ctes
 from .queries import cleaned_listings, query, rounded
 
 KEYS = ["location", "property_type"]
@@ -55,6 +58,65 @@ def q_parse_text(spark, sf_dir):
 
 register("a1_a3_parse_text", with_ctes(LISTING, body="SELECT * FROM listing"))
 
+
+def _scratch(spark) -> str:
+    """A new folder under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+@query("a1_scan_csv_files")
+def q_scan_csv(spark, sf_dir):
+    """The listing view written as CSV files with two different headers, some lines broken,
+    and scanned by the reader: whole rows only."""
+    view, path = listing_view(spark, sf_dir), _scratch(spark)
+    names = view.columns
+    halves = [(F.col("listing_id") % 2 == 0, names), (F.col("listing_id") % 2 == 1, [*reversed(names), "remark"])]
+    for i, (rows, columns) in enumerate(halves):
+        part = view.filter(rows).withColumn("remark", F.lit("a, b"))
+        part.select(*columns).write.option("header", True).csv(f"{path}/part={i}")
+    # A file whose lines have too few or too many cells.
+    broken = view.filter("listing_id % 10 = 3").select(F.format_string("%d,2020-01-01,buy,house", "listing_id").alias("v"))
+    head = spark.createDataFrame([(",".join(names),)], "v string")
+    head.unionByName(broken).coalesce(1).write.text(f"{path}/part=2")
+    out = read_listings(spark, [f"{path}/part={i}" for i in range(3)])
+    return out.withColumn("listing_dt", F.to_date("listing_dt"))
+
+
+register("a1_scan_csv_files", with_ctes(LISTING, body="SELECT * FROM listing"))
+
+
+@query("a2_scan_csv_rejects")
+def q_scan_rejects(spark, sf_dir):
+    """Revisions as CSV, every 50th line cut short: what the scan keeps aside, by reason, and
+    what it keeps."""
+    path = _scratch(spark)
+    view = revision_view(spark, sf_dir).select("listing_id", "price_revision_dt", "revised_purchase_price")
+    line = F.when(F.col("listing_id") % 50 == 0, F.col("listing_id").cast("string")).otherwise(F.concat_ws(
+        ",", F.col("listing_id"), F.col("price_revision_dt"), F.coalesce(F.col("revised_purchase_price").cast("string"), F.lit(""))))
+    spark.createDataFrame([(",".join(view.columns),)], "v string").coalesce(1).write.text(f"{path}/all")
+    # Files of lines with their header in front: one column of text each.
+    view.select(line.alias(",".join(view.columns))).write.option("header", True).option("quote", "").option(
+        "escapeQuotes", False).option("sep", "|").csv(f"{path}/lines")
+    rows, left = scan_csv(spark, [f"{path}/all", f"{path}/lines"], REVISION_SCHEMA)
+    kept = rows.agg(F.lit("kept").alias("reason"), F.count(F.lit(1)).alias("lines"))
+    return kept.unionByName(left.groupBy("reason").agg(F.count(F.lit(1)).alias("lines")))
+
+
+register("a2_scan_csv_rejects", with_ctes(REVISION, body="""
+SELECT CASE WHEN listing_id % 50 = 0 THEN 'cells' ELSE 'kept' END AS reason, count(*) AS lines FROM revision GROUP BY 1"""))
+
+
+@query("a4_partitioned_sink")
+def q_sink(spark, sf_dir):
+    """Cleaned listings stored by town, two towns written again, read once."""
+    path = _scratch(spark)
+    rows = cleaned_listings(spark, sf_dir).filter("location IS NOT NULL").checkpoint(eager=True)
+    write_partitions(rows, path, ["location"])
+    return write_partitions(rows.filter("location IN ('NATION_2', 'NATION_3')"), path, ["location"])
+
+
+register("a4_partitioned_sink", with_ctes(LISTING, CLEANED, body="SELECT * FROM cleaned WHERE location IS NOT NULL"))
+
 _VC_COLS = ["property_type", "tenure", "location", "bedroom_count", "bathroom_count"]
 
 
@@ -485,6 +547,20 @@ register("i2_boxcox_transform", with_ctes(LISTING, CLEANED, DAILY, boxcox_sql(),
 SELECT {K}, listing_dt, round(asking_price, 4) AS asking_price, round(target, 6) AS target FROM bc_rows"""))
 
 
+@query("k2_daily_price_transformed")
+def q_transform(spark, sf_dir):
+    """Daily medians with a per-group transform plugged in: standardised Box-Cox values."""
+    def standardised(daily):
+        daily = daily.checkpoint(eager=True)
+        return G.boxcox_transform(daily, G.boxcox_fit(daily, KEYS), KEYS)[0]
+    out = P.daily_price(cleaned_listings(spark, sf_dir), "median", by=("location",), transform=standardised)
+    return rounded(out.select(*KEYS, "listing_dt", "target"), 6)
+
+
+register("k2_daily_price_transformed", with_ctes(LISTING, CLEANED, DAILY, boxcox_sql(), body=f"""
+SELECT {K}, listing_dt, round(target, 6) AS target FROM bc_rows"""))
+
+
 def coefs_table(spark, sf_dir):
     return G.boxcox_growth(daily_table(spark, sf_dir), KEYS)
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import without_null_keys
 from ..operators import clean as C
+from ..operators import comoments as CM
+from ..operators import distribution as D
 from ..operators import evaluate as EV
 from ..operators import features as FT
 from ..operators import model as M
@@ -474,11 +476,12 @@ def search_sql(prefix: str, cols: list[str]) -> str:
 {prefix}_best AS MATERIALIZED (SELECT 0 AS mid, arg_min(c, {{'a': -round(mean, 15), 'c': c}}) AS c, NULL::BIGINT AS fold
   FROM (SELECT c, sum(f1) / {M.FOLDS} AS mean FROM {prefix}_f1 GROUP BY c)),
 """ + MS.newton_over_columns(f"{prefix}r", "mrows", f"{prefix}_best", cols, STEPS) + f""",
-{prefix}_scored AS (SELECT r.y::INT AS revision, ((1 / (1 + exp(-({z})))) > 0.5)::INT AS y_pred FROM {prefix}r{STEPS} b, mrows r)"""
+{prefix}_scored AS MATERIALIZED (SELECT *, (proba > 0.5)::INT AS y_pred
+  FROM (SELECT r.*, 1 / (1 + exp(-({z}))) AS proba FROM {prefix}r{STEPS} b, mrows r))"""
 
 
 MODEL_ROWS = f""",
-wrows AS MATERIALIZED (SELECT {', '.join(f'tf.{c}' for c in FT.EXTENDED)}, tf.location * tf.time_listed AS location_x_time_listed,
+wrows AS MATERIALIZED (SELECT listing_id, {', '.join(f'tf.{c}' for c in FT.EXTENDED)}, tf.location * tf.time_listed AS location_x_time_listed,
     row_idx, tf.revision, tf.revision::DOUBLE AS y, (count(*) OVER ()) / (2e0 * count(*) OVER (PARTITION BY tf.revision)) AS w
   FROM tf JOIN train USING (listing_id)),""" + MS.stratified_folds("wrows", "revision", "row_idx", M.FOLDS) + """,
 mrows AS MATERIALIZED (SELECT * FROM folded)"""
@@ -693,3 +696,87 @@ ca AS (SELECT c.label, c.prediction, c.cell, count(s.revision) AS count_a FROM c
        LEFT JOIN a_scored s ON s.revision = c.label AND s.y_pred = c.prediction GROUP BY ALL),
 cb AS (SELECT c.label, c.prediction, count(s.revision) AS count_b FROM cells c
        LEFT JOIN b_scored s ON s.revision = c.label AND s.y_pred = c.prediction GROUP BY ALL)"""))
+
+
+def fitted_scores(spark, sf_dir):
+    """Training rows (raw columns) with the fitted model's probability and prediction."""
+    tf, model, _ = fitted(spark, sf_dir)
+    scored = M.score(model, tf, FT.EXTENDED).select("listing_id", "proba", "y_pred")
+    return train_table(spark, sf_dir).join(scored, "listing_id")
+
+
+@query("d17_model_correlations")
+def q_model_corr(spark, sf_dir):
+    """D17 as the analysis runs it: the ten features as the model sees them, the target
+    and the fitted probability."""
+    tf, model, _ = fitted(spark, sf_dir)
+    scored = M.score(model, tf, FT.EXTENDED).withColumnRenamed("revision", "target")
+    return rounded(CM.comoments(scored, MODEL_CORR).select("col_a", "col_b", "corr"), 8)
+
+
+MODEL_CORR = [*FT.EXTENDED, "target", "proba"]
+register("d17_model_correlations", _search("\nUNION ALL\n".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 8) AS corr FROM sc"
+    for a in MODEL_CORR for b in MODEL_CORR), search_sql("a", FT.EXTENDED),
+    "sc AS MATERIALIZED (SELECT *, y AS target FROM a_scored)"))
+
+RAW_SCORED = """
+raw_{0} AS MATERIALIZED (SELECT t.*, s.proba, s.y_pred FROM train t JOIN {0}_scored s USING (listing_id))"""
+
+
+@query("d14_segment_density_by_prediction")
+def q_segment_density(spark, sf_dir):
+    """Density of time_listed among unrevised listings of one segment, apart by the fitted
+    model's prediction."""
+    rows = fitted_scores(spark, sf_dir).filter("revision = 0")
+    for c, v in _segment(spark, sf_dir).items():
+        rows = rows.filter(F.col(c) == v)
+    return rounded(D.histogram(rows, "time_listed", bins=10, by=["y_pred"], density=True), 9)
+
+
+register("d14_segment_density_by_prediction", _search("""
+SELECT y_pred, bin, round(bin_lo, 9) AS bin_lo, round(bin_hi, 9) AS bin_hi, coalesce(cnt, 0) AS count,
+       round(coalesce(cnt, 0) / (sum(coalesce(cnt, 0)) OVER (PARTITION BY y_pred) * (bin_hi - bin_lo)), 9) AS density
+FROM sg LEFT JOIN sc USING (y_pred, bin)""", search_sql("a", FT.EXTENDED), RAW_SCORED.format("a"), """
+seg AS (SELECT y_pred, time_listed::DOUBLE AS x FROM raw_a WHERE revision = 0 AND location = 'NATION_10'
+        AND property_type = 'house' AND tenure = 'freehold'),
+ss AS (SELECT y_pred, CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
+              CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi FROM seg GROUP BY y_pred),
+sc AS (SELECT y_pred, CAST(least(floor((x - lo) * (10.0 / (hi - lo))), 9) AS INT) AS bin, count(*) AS cnt
+       FROM seg JOIN ss USING (y_pred) GROUP BY ALL),
+sg AS (SELECT y_pred, CAST(b AS INT) AS bin, lo + b * ((hi - lo) / 10) AS bin_lo,
+              CASE WHEN b = 9 THEN hi ELSE lo + (b + 1) * ((hi - lo) / 10) END AS bin_hi FROM ss, range(0, 10) t(b))"""))
+
+
+@query("i14_interaction_set")
+def q_interaction_set(spark, sf_dir):
+    """The refit's whole feature set: bias, both terms, their product, the rest untouched."""
+    return rounded(FT.interaction_set(transformed_train(spark, sf_dir), "location", "time_listed", FT.EXTENDED,
+                                      ["listing_id"]), 12)
+
+
+_REST = [c for c in FT.EXTENDED if c not in ("location", "time_listed")]
+register("i14_interaction_set", with_ctes(LISTING, CLEANED, REVISION, DATASET + FEATURES_SQL, body=f"""
+SELECT listing_id, 1.0::DOUBLE AS bias, round(location, 12) AS location, round(time_listed, 12) AS time_listed,
+       round(location * time_listed, 12) AS location_x_time_listed, {', '.join(f'round({c}, 12) AS {c}' for c in _REST)} FROM tf"""))
+
+
+@query("i25_false_positives_of_both_models")
+def q_fp_both(spark, sf_dir):
+    """D21 of the model with and without the interaction, side by side."""
+    tf, model, _ = fitted(spark, sf_dir)
+    tfi = FT.interactions(tf, "location", "time_listed")
+    second = M.fit_logistic_cv(tfi, INTERACTED, "revision", "shuffle_key").model
+    raw = train_table(spark, sf_dir)
+    a = raw.join(M.score(model, tf, FT.EXTENDED).select("listing_id", "y_pred"), "listing_id")
+    b = raw.join(M.score(second, tfi, INTERACTED).select("listing_id", "y_pred"), "listing_id")
+    return EV.compare_false_positives(a, b, SEGMENT_KEYS, 10)
+
+
+_FP_KEYS = ", ".join(SEGMENT_KEYS)
+register("i25_false_positives_of_both_models", _search(f"""
+SELECT {_FP_KEYS}, coalesce(fa.n, 0) AS count_a, coalesce(fb.n, 0) AS count_b, coalesce(fb.n, 0) - coalesce(fa.n, 0) AS change
+FROM (SELECT {_FP_KEYS} FROM ta UNION SELECT {_FP_KEYS} FROM tb) LEFT JOIN fa USING ({_FP_KEYS}) LEFT JOIN fb USING ({_FP_KEYS})""",
+    search_sql("a", FT.EXTENDED), search_sql("b", INTERACTED), RAW_SCORED.format("a"), RAW_SCORED.format("b"), *[f"""
+f{m} AS (SELECT {_FP_KEYS}, count(*) AS n FROM raw_{m} WHERE revision = 0 AND y_pred = 1 GROUP BY ALL),
+t{m} AS (SELECT * FROM f{m} ORDER BY n DESC, {', '.join(f'{k} DESC' for k in SEGMENT_KEYS)} LIMIT 10)""" for m in "ab"]))

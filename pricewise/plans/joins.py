@@ -11,10 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Default bound on rows of a side we broadcast by hand.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
 def attach_scalars(df: DataFrame, one_row: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """``df`` plus the columns of the single-row DataFrame ``one_row``."""
     cols = cols or one_row.columns

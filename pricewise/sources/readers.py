@@ -1,7 +1,9 @@
 """A1-A4: scans of the listing and revision tables, and the result sink.
 
-CSV columns are found by the name in the header, whatever their order; columns
-that the schema doesn't know are ignored and a missing one is an error. Cells are
+CSV columns are found by the name in the header of their own file, whatever their
+order (files may differ); columns that the schema doesn't know are ignored and a missing
+one is an error. Lines with too few or too many cells, or that are no UTF-8, are
+kept apart (``scan_csv``). Cells are
 read as text and converted with ``try_cast`` / ``try_to_timestamp``, so a bad cell
 becomes NULL; ``rejected_cells`` counts them. NaN in double columns becomes NULL,
 so downstream only NULL exists (Spark counts NaN as a value and sorts it above all
@@ -12,7 +14,7 @@ untouched, so filters on them reach the scan; the cleaning rules know NaN, and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,11 +74,56 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(path)
 
 
+MAX_HEADERS = 200                # different headers among the files of one table
+
+
+def _lines_and_headers(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+    """``file, line, at`` (place in the file) of every line, and ``file, header, first`` of every
+    file, whose header is its first line."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+                                         F.struct(F.col("_metadata.file_block_start").alias("b"),
+                                                  F.monotonically_increasing_id().alias("i")).alias("at"))
+    heads = lines.groupBy("file").agg(F.min_by("line", "at").alias("header"), F.min("at").alias("first"))
+    return lines, heads.withColumn("header", F.regexp_replace("header", "^\uFEFF", ""))
+
+
+def scan_csv(spark: SparkSession, path, schema: T.StructType, timestamp_format: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of all files with the columns and types of ``schema``, and the lines left out:
+    ``file, line, reason`` ('not UTF-8' or 'cells'). Quoted cells may hold separators, not line
+    breaks. The different headers (at most ``MAX_HEADERS``) reach the driver."""
+    lines, by_file = _lines_and_headers(spark, path)
+    heads = [r["header"] for r in by_file.select("header").distinct().limit(MAX_HEADERS + 1).collect()]
+    lines = lines.join(by_file, "file").filter(F.col("at") > F.col("first"))
+    if len(heads) > MAX_HEADERS:
+        raise ValueError(f"more than {MAX_HEADERS} different headers under {path}")
+    rows, rejected = [], []
+    for h in heads:
+        names = spark.range(1).select(F.from_csv(F.lit(h), F.lit(", ".join(
+            f"c{i} string" for i in range(h.count(",") + 1)))).alias("c")).first()["c"]
+        names = [n for n in names if n is not None]
+        missing = [f.name for f in schema.fields if f.name not in names]
+        if missing:
+            raise ValueError(f"{path}: missing column(s) {', '.join(missing)}; found {', '.join(names)}")
+        text = ", ".join(f"`{n}` string" for n in names) + ", `_bad` string"
+        good = F.is_valid_utf8(F.col("line"))
+        cells = F.from_csv(F.when(good, F.col("line")), F.lit(text), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+        part = lines.filter((F.col("header") == h) & (F.trim("line") != "")).select("file", "line", good.alias("_utf8"), cells.alias("_c"))
+        broken = F.col("_c._bad").isNotNull()
+        rows.append(parse_text(part.filter(F.col("_utf8") & ~broken).select("_c.*"), schema, timestamp_format))
+        rejected.append(part.filter(~F.col("_utf8") | broken).select(
+            "file", F.make_valid_utf8("line").alias("line"), F.when(F.col("_utf8"), "cells").otherwise("not UTF-8").alias("reason")))
+    if not heads:
+        empty = spark.createDataFrame([], schema)
+        return empty, spark.createDataFrame([], "file string, line string, reason string")
+    out, left = rows[0], rejected[0]
+    for r, x in zip(rows[1:], rejected[1:]):
+        out, left = out.unionByName(r), left.unionByName(x)
+    return out, left
+
+
 def _scan(spark: SparkSession, path: str, fmt: str, schema: T.StructType, timestamp_format: str | None) -> DataFrame:
     if fmt == "csv":
-        raw = read_text(spark, path)
-        _check_columns(raw, schema, path)
-        return parse_text(raw, schema, timestamp_format)
+        return scan_csv(spark, path, schema, timestamp_format)[0]
     if fmt != "parquet":
         raise ValueError(f"unsupported format {fmt!r}; use 'csv' or 'parquet'")
     df = spark.read.parquet(path)
@@ -130,3 +177,27 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ov
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.save(path)
+
+
+def write_partitions(df: DataFrame, path: str, partition_by: list[str]) -> DataFrame:
+    """A4: replace exactly the partitions that ``df`` has (dynamic overwrite), so writing the
+    same rows again changes nothing and other partitions stay. What was written is read
+    back and compared with ``df``: columns and types, and the number of rows, counted
+    while they were written. Returns the whole stored table."""
+    spark = df.sparkSession
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    (counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path))
+    columns = [c for c in df.columns if c not in partition_by] + list(partition_by)
+    back = spark.read.schema(df.select(*[F.col(f"`{c}`") for c in columns]).schema).parquet(path)
+    stored = {f.name: f.dataType for f in spark.read.parquet(path).schema.fields if f.name not in partition_by}
+    wanted = {f.name: f.dataType for f in df.schema.fields if f.name not in partition_by}
+    keys = df.select(*partition_by).distinct()
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in partition_by]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    n = back.alias("l").join(keys.alias("r"), cond, "left_semi").count()
+    if stored != wanted or n != seen.get["rows"]:
+        raise RuntimeError(f"{path}: wrote {seen.get['rows']} rows, found {n}; columns {stored}, expected {wanted}")
+    return back.select(*[F.col(f"`{c}`") for c in df.columns])
