@@ -49,6 +49,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +60,8 @@ CAPACITY = 2048
 CLOSING_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 PUNCTUATION = b".,;:!?%$&*#|\")("
-SLICE = 4 << 20                  # bytes of text handled at a time
+SLICE = 8 << 20                  # bytes of text handled at a time
+KEEP = 250_000                   # remembered words
 
 
 # ---------------------------------------------------------------- ids
@@ -74,8 +76,8 @@ class WordIds:
         with open(path) as f:
             spec = json.load(f)
         self.by_word = self._word_local(spec)
-        self.word = Units(self._words)
-        self.core = Units(self._cores)
+        self.word = Units(self._words, KEEP)
+        self.core = Units(self._cores, KEEP)
         self.tail = Units(lambda ts: self._library([t.decode() for t in ts]))
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         rest = sorted(set(range(256)) - set(plain))
@@ -114,10 +116,15 @@ class WordIds:
         plain, cores, tails, other = [], [], [], []
         for i, w in enumerate(words):
             c = w.rstrip(PUNCTUATION)
-            t = c.decode()
-            if t.isalpha() and max(t) < "\u0100":
+            t = c.lower().decode() if c.isalpha() else c.decode()      # of bytes: ASCII letters only
+            if t.isascii():
+                good = t.isalpha()
+            else:
+                good = t.isalpha() and max(t) < "\u0100"
+                t = t.lower()
+            if good:
                 plain.append(i)
-                cores.append(t.lower())
+                cores.append(t)
                 tails.append(w[len(c):])
             else:
                 other.append(i)
@@ -128,17 +135,22 @@ class WordIds:
             out[i] = ids
         return out
 
-    def texts(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of every UTF-8 text."""
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of an Arrow column, one after the other, and where each begins."""
         if not self.by_word:
-            return self._library([t.decode() for t in texts])
-        split = [t.split() for t in texts]     # of bytes: at \x20 and \x09-\x0D
-        rows = self.word.rows([w for words in split for w in words])
-        out, at = [], 0
-        for words in split:
-            out.append(b"".join(rows[at: at + len(words)]))
-            at += len(words)
-        return out
+            packed = self._library(texts.to_pylist())
+            return (np.frombuffer(b"".join(packed), "<u4"),
+                    np.cumsum([0, *(len(p) // 4 for p in packed)]))
+        split = pc.ascii_split_whitespace(texts)             # at \x20 and \x09-\x0D; edges give empty words
+        coded = split.flatten().dictionary_encode()
+        rows = self.word.rows(coded.dictionary.cast(pa.binary()).to_pylist())
+        which = coded.indices.to_numpy()
+        size = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        begin, n = np.cumsum(size) - size, size[which]
+        end = np.cumsum(n)
+        blob = np.frombuffer(b"".join(rows), "<u4")
+        ids = blob[np.repeat(begin[which] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        return ids, np.concatenate([[0], end])[split.offsets.to_numpy()]
 
 
 @lru_cache(maxsize=2)
@@ -167,10 +179,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing: i
         used = np.zeros(capacity + 1, np.int64)          # pieces of each length so far
         for batch in batches:
             for rows in slices(batch, "_text", SLICE):
-                texts = rows.column(1).fill_null("").cast(pa.binary()).to_pylist()
+                flat, at = coder.texts(rows.column(1).fill_null(""))
+                packed_all, at = flat.tobytes(), (4 * at).tolist()
                 doc, piece, start, length, crc, ids = [], [], [], [], [], []
-                for d, packed in enumerate(coder.texts(texts)):
-                    packed += end
+                for d in range(rows.num_rows):
+                    packed = packed_all[at[d]: at[d + 1]] + end
                     for j, a in enumerate(range(0, len(packed), 4 * capacity)):
                         cut = packed[a: a + 4 * capacity]
                         doc.append(d)
