@@ -76,35 +76,65 @@ def histogram(df: DataFrame, col: str, bins: int = 10, by: list[str] | None = No
     return out
 
 
+TERMS = 28                       # of the Hermite expansion
+BOX = 1.0                        # box width, in units of sqrt(2) * bandwidth
+
+
+def kde_error(terms: int = TERMS, box: float = BOX) -> float:
+    """Bound on what the expansion leaves out of one kernel (whose peak is 1): the terms from
+    ``terms`` on, by Cramer's inequality |h_k(x)| <= 1.09 * 2^(k/2) * sqrt(k!)."""
+    q = box / math.sqrt(2)
+    return 1.09 * sum(q ** k / math.sqrt(math.factorial(k)) for k in range(terms, terms + 60))
+
+
 def kde(df: DataFrame, col: str, by: list[str] | None = None, points: int = 100,
         cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density of ``col`` per group on ``points`` grid
     points spanning [min - cut*h, max + cut*h]; bandwidth h = sample std *
-    n^(-1/5) (Scott's rule). Every value is expanded to the grid points and summed
-    with map-side partial sums per (group, point); the number of values is the
-    caller's (daily values here). A group with one value, or equal ones, has no
-    bandwidth and keeps one row with NULLs."""
+    n^(-1/5) (Scott's rule). A group with one value, or equal ones, has no
+    bandwidth and keeps one row with NULLs.
+
+    A fast Gauss transform: values fall into boxes of ``BOX`` * sqrt(2) * h, and a box is
+    the sums of (s - c)^k / k! of its values about its centre, added up before the
+    shuffle. The density at a point is the sum over boxes of the Hermite expansion,
+    so what moves per group is its boxes (the range over the bandwidth), not
+    values times points. ``kde_error`` bounds what ``TERMS`` terms leave out of a
+    kernel: below 1e-16 of its peak."""
     by = list(by or [])
     x = F.col(col)
-    data = without_null_keys(df.select(*by, col).filter(x.isNotNull()), by)
-    stats = _group_stats(data, by, [F.count(x).alias("_n"), F.stddev_samp(x).alias("_sd"),
-                                    F.min(x).alias("_min"), F.max(x).alias("_max")])
+    data = without_null_keys(df.select(*by, x.cast("double").alias("_x")).filter(x.isNotNull()), by)
+    v = F.col("_x")
+    stats = _group_stats(data, by, [F.count(v).alias("_n"), F.stddev_samp(v).alias("_sd"),
+                                    F.min(v).alias("_min"), F.max(v).alias("_max")])
     stats = stats.withColumn("_bw", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
     flat = stats.filter(~F.coalesce(F.col("_bw") > 0, F.lit(False)))
     stats = stats.filter(F.col("_bw") > 0).select(
-        *by, "_n", "_bw", (F.col("_min") - cut * F.col("_bw")).alias("_glo"),
+        *by, "_n", "_bw", "_min", (F.col("_min") - cut * F.col("_bw")).alias("_glo"),
         (F.col("_max") + cut * F.col("_bw")).alias("_ghi"))
+    s = (v - F.col("_min")) / (F.col("_bw") * math.sqrt(2))            # place, in units of the kernel
+    placed = _join_stats(data, stats, by).select(*by, s.alias("_s"), F.floor(s / BOX).alias("_box"))
+    d = F.col("_s") - (F.col("_box") + 0.5) * BOX
+    placed = placed.select(*by, "_box", d.alias("_d"))
+    sums = [F.sum(F.pow("_d", F.lit(float(k))) / float(math.factorial(k))).alias(f"_m{k}") for k in range(TERMS)]
+    boxes = placed.groupBy(*by, "_box").agg(*sums)
+    boxes = boxes.select(*by, ((F.col("_box") + 0.5) * BOX).alias("_c"), F.array(*[f"_m{k}" for k in range(TERMS)]).alias("_m"))
     step = (F.col("_ghi") - F.col("_glo")) / (points - 1)
-    expanded = (_join_stats(data, stats, by)
-                .select(*by, x, "_n", "_bw", "_glo", step.alias("_step"),
-                        F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")))
-    gx = F.col("_glo") + F.col("point") * F.col("_step")
-    z = (gx - x) / F.col("_bw")
-    summed = expanded.groupBy(*by, "point").agg(
-        F.first(gx).alias("x"), F.sum(F.exp(-0.5 * z * z)).alias("_k"),
-        F.first("_n").alias("_n"), F.first("_bw").alias("_bw"))
-    curve = summed.select(*by, "point", "x", (F.col("_k") / (F.col("_n") * F.col("_bw")
-                                                              * math.sqrt(2 * math.pi))).alias("density"))
+    grid = stats.select(*by, "_n", "_bw", "_min", "_glo", step.alias("_step"),
+                        F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    grid = grid.withColumn("x", F.col("_glo") + F.col("point") * F.col("_step"))
+    pairs = grid.join(boxes, by) if by else grid.crossJoin(boxes)     # of one group: points x boxes
+    t = (F.col("x") - F.col("_min")) / (F.col("_bw") * math.sqrt(2)) - F.col("_c")
+
+    def term(a, m):              # h_{k+1} = 2 t h_k - 2 k h_{k-1}
+        nxt = 2 * a["t"] * a["h"] - 2 * a["k"] * a["g"]
+        return F.struct(a["t"].alias("t"), (a["k"] + 1).alias("k"), a["h"].alias("g"), nxt.alias("h"),
+                        (a["sum"] + m * a["h"]).alias("sum"))
+    start = F.struct(t.alias("t"), F.lit(0.0).alias("k"), F.lit(0.0).alias("g"), F.exp(-t * t).alias("h"), F.lit(0.0).alias("sum"))
+    part = F.aggregate("_m", start, term, lambda a: a["sum"])
+    curve = (pairs.select(*by, "point", "x", "_n", "_bw", part.alias("_k")).groupBy(*by, "point")
+             .agg(F.first("x").alias("x"), F.sum("_k").alias("_k"), F.first("_n").alias("_n"), F.first("_bw").alias("_bw"))
+             .select(*by, "point", "x", (F.greatest(F.col("_k"), F.lit(0.0)) / (F.col("_n") * F.col("_bw") * math.sqrt(2 * math.pi)))
+                     .alias("density")))
     return curve.unionByName(flat.select(*by, F.lit(None).cast("int").alias("point"),
                                          F.lit(None).cast("double").alias("x"),
                                          F.lit(None).cast("double").alias("density")))

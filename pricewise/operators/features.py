@@ -183,3 +183,57 @@ def fit_features(train: DataFrame, label: str = "revision") -> FeatureModel:
     """Mean-encode the three categories, sin/cos of weekday (period 6) and week
     (period 53), min-max scale the rest; all fitted on ``train``."""
     return FeatureModel(MeanEncoder(CATEGORICAL).fit(train, label), min_max_fit(train, SCALED))
+
+
+# ---------------------------------------------------------------- features of every fold at once
+
+@dataclass
+class FoldFeatureModel:
+    """For every fold, the features fitted on the rows outside it."""
+    mapping: DataFrame           # column_name, value, m0 .. m{folds - 1}
+    stats: DataFrame             # one row: per fold and scaled column its least and greatest value
+    folds: int
+
+    def transform(self, df: DataFrame, out: str = "x") -> DataFrame:
+        """``df`` with ``out``: for each fold the columns of ``EXTENDED``, one fold after the other
+        (NULL where a category does not occur outside the fold)."""
+        rows = df
+        for c in CATEGORICAL:
+            m = self.mapping.filter(F.col("column_name") == c).select(
+                F.col("value").alias(f"_v_{c}"), *[F.col(f"m{f}").alias(f"_{c}{f}") for f in range(self.folds)])
+            rows = rows.join(m, F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
+        rows = cyclic(cyclic(rows, "day_listed", DAY_PERIOD, "day"), "week_listed", WEEK_PERIOD, "week")
+        rows = attach_scalars(rows, self.stats)
+        cells = []
+        for f in range(self.folds):
+            for c in EXTENDED:
+                if c in CATEGORICAL:
+                    cells.append(F.col(f"_{c}{f}"))
+                elif c in SCALED:
+                    lo, hi = F.col(f"__lo{f}_{c}"), F.col(f"__hi{f}_{c}")
+                    cells.append((F.col(c) - lo) / F.when(hi - lo == 0, F.lit(1.0)).otherwise(hi - lo))
+                else:
+                    cells.append(F.col(c))
+        return rows.select(*[F.col(f"`{c}`") for c in df.columns if c != out],
+                           F.array(*[c.cast("double") for c in cells]).alias(out))
+
+
+def fit_features_by_fold(train: DataFrame, label: str, folds: int, fold_col: str = "fold") -> FoldFeatureModel:
+    """I11/I13 for every fold in one aggregate each: a category's mean outside fold f is its sum
+    and count minus those of f; ranges outside f are conditional extremes."""
+    y = F.col(label).cast("double")
+    cells = train.select(y.alias("_y"), F.col(fold_col).alias("_f"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in CATEGORICAL])).alias("_c"))
+    cells = cells.select("_c.column_name", "_c.value", "_y", "_f").filter("value IS NOT NULL")
+    mine = [F.col("_f") == f for f in range(folds)]
+    sums = cells.groupBy("column_name", "value").agg(
+        F.sum("_y").alias("_s"), F.count("_y").alias("_n"),
+        *[F.sum(F.when(m, F.col("_y")).otherwise(0.0)).alias(f"_s{f}") for f, m in enumerate(mine)],
+        *[F.count(F.when(m, F.col("_y"))).alias(f"_n{f}") for f, m in enumerate(mine)])
+    mapping = sums.select("column_name", "value", *[
+        F.when(F.col("_n") > F.col(f"_n{f}"), (F.col("_s") - F.col(f"_s{f}")) / (F.col("_n") - F.col(f"_n{f}"))).alias(f"m{f}")
+        for f in range(folds)]).checkpoint(eager=True)
+    out = [F.col(fold_col) != f for f in range(folds)]
+    stats = train.agg(*[agg(F.when(o, F.col(c).cast("double"))).alias(f"__{name}{f}_{c}")
+                        for f, o in enumerate(out) for c in SCALED for name, agg in (("lo", F.min), ("hi", F.max))])
+    return FoldFeatureModel(mapping, stats.checkpoint(eager=True), folds)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import balanced_weights
+from .features import balanced_weights, fit_features, fit_features_by_fold
 from .rows import hash_key, with_group_rank
 
 # Fixed values of the search: 20 values of C from 1e-8 to 1e4, 5 folds.
@@ -46,6 +46,13 @@ def solver_table(df: DataFrame, features: list[str], label: str, weight_col: str
     return data.checkpoint(eager=True).persist()
 
 
+def solver_rows(df: DataFrame, label: str) -> DataFrame:
+    """As ``solver_table`` for rows that have ``x``, ``weight`` and ``fold`` (features may be missing)."""
+    data = df.select("x", F.col(label).cast("double").alias("y"), F.col("weight").cast("double").alias("w"),
+                     F.col("fold").cast("int").alias("f")).na.drop(subset=["y", "w"])
+    return data.checkpoint(eager=True).persist()
+
+
 def _sums(data: DataFrame, function, size: int) -> np.ndarray:
     """Sum over all rows of ``function(x, y, w, f) -> vector``, batch by batch."""
     def run(batches):
@@ -64,10 +71,26 @@ def _sums(data: DataFrame, function, size: int) -> np.ndarray:
     return out
 
 
+def _blocks(x: np.ndarray, folds: int, left_out: np.ndarray):
+    """(models, rows, their features) for every block: with ``folds`` blocks a model reads the
+    block of the fold it leaves out (rows with a missing feature there take no part),
+    with one block all models read the same."""
+    if folds == 1:
+        yield np.arange(len(left_out)), slice(None), x
+        return
+    parts = x.reshape(len(x), folds, -1)
+    for f in range(folds):
+        at = np.flatnonzero(left_out == f)
+        if len(at):
+            there = ~np.isnan(parts[:, f]).any(1)
+            yield at, there, parts[there, f]
+
+
 def newton(data: DataFrame, n_features: int, specs: list[tuple[float, int | None]],
-           max_iter: int = MAX_ITER) -> list[LinearModel]:
+           max_iter: int = MAX_ITER, folds: int = 1) -> list[LinearModel]:
     """One model per ``(C, left-out fold)``: minimise 1/2 |b|^2 + C * sum_i w_i *
-    logloss_i over the rows of all other folds (free intercept)."""
+    logloss_i over the rows of all other folds (free intercept). ``folds`` > 1: ``x`` holds
+    one set of features per left-out fold, and all models still share the passes."""
     d, m = n_features + 1, len(specs)
     upper = np.triu_indices(d)
     beta = np.zeros((m, d))
@@ -78,12 +101,14 @@ def newton(data: DataFrame, n_features: int, specs: list[tuple[float, int | None
 
     def batch_sums(b, out):
         def run(x, y, w, f):
-            xb = np.column_stack([x, np.ones(len(x))])
-            p = 1 / (1 + np.exp(-np.clip(xb @ b.T, -35, 35)))
-            use = w[:, None] * (f[:, None] != out[None, :])
-            grad = (use * (p - y[:, None])).T @ xb
-            hess = (use * p * (1 - p)).T @ (xb[:, upper[0]] * xb[:, upper[1]])
-            return np.column_stack([grad, hess]).ravel()
+            total = np.zeros((len(b), d + len(upper[0])))
+            for at, rows, part in _blocks(x, folds, out):
+                xb = np.column_stack([part, np.ones(len(part))])
+                p = 1 / (1 + np.exp(-np.clip(xb @ b[at].T, -35, 35)))
+                use = w[rows, None] * (f[rows, None] != out[None, at])
+                total[at, :d] = (use * (p - y[rows, None])).T @ xb
+                total[at, d:] = (use * p * (1 - p)).T @ (xb[:, upper[0]] * xb[:, upper[1]])
+            return total.ravel()
         return run
     for _ in range(max_iter):
         at = np.flatnonzero(live)
@@ -120,15 +145,18 @@ def score(model: LinearModel, df: DataFrame, features: list[str],
             .withColumn(pred_col, (F.col(proba_col) > 0.5).cast("int")))
 
 
-def _held_out_f1(data: DataFrame, models: list[LinearModel], specs: list[tuple[float, int]]) -> list[float]:
+def _held_out_f1(data: DataFrame, models: list[LinearModel], specs: list[tuple[float, int]], folds: int = 1) -> list[float]:
     """F1 of class 1 of every model on its left-out fold, in one pass."""
     b = np.array([[*m.coefficients, m.intercept] for m in models])
     fold = np.array([f for _, f in specs])
 
     def run(x, y, w, f):
-        pred = (np.column_stack([x, np.ones(len(x))]) @ b.T) > 0
-        mine, one = f[:, None] == fold[None, :], (y == 1)[:, None]
-        return np.concatenate([(mine & pred & one).sum(0), (mine & pred & ~one).sum(0), (mine & ~pred & one).sum(0)]).astype(float)
+        counts = np.zeros((3, len(b)))
+        for at, rows, part in _blocks(x, folds, fold):
+            pred = (np.column_stack([part, np.ones(len(part))]) @ b[at].T) > 0
+            mine, one = f[rows, None] == fold[None, at], (y[rows] == 1)[:, None]
+            counts[:, at] = [(mine & pred & one).sum(0), (mine & pred & ~one).sum(0), (mine & ~pred & one).sum(0)]
+        return counts.ravel()
     tp, fp, fn = _sums(data, run, 3 * len(models)).reshape(3, -1)
     return [0.0 if 2 * a + u + v == 0 else float(2 * a / (2 * a + u + v)) for a, u, v in zip(tp, fp, fn)]
 
@@ -180,7 +208,8 @@ def fit_logistic_cv(train: DataFrame, features: list[str], label: str, order: st
     ``fold_features`` (``train_rows -> model with .transform``) makes the search
     fold-safe: the feature encoders are refitted on each fold's training rows
     and applied to its held-out rows, then once more on all of ``train`` for
-    the final model. Without it, ``train`` already carries features fitted on
+    the final model. ``fold_features="subtract"`` does the same for the library's own
+    features in one aggregate, with all folds sharing the passes. Without it, ``train`` already carries features fitted on
     all training labels."""
     folded = stratified_folds(balanced_weights(train, label), label, order, folds)
     grid = [(C, f) for C in Cs for f in range(folds)]
@@ -188,6 +217,14 @@ def fit_logistic_cv(train: DataFrame, features: list[str], label: str, order: st
     if fold_features is None:
         data = solver_table(folded, features, label, "weight", "fold")
         f1 = dict(zip(grid, _held_out_f1(data, newton(data, len(features), grid, max_iter), grid)))
+    elif fold_features == "subtract":
+        folded = folded.checkpoint(eager=True)
+        rows = fit_features_by_fold(folded, label, folds).transform(folded)
+        data = solver_rows(rows, label)
+        f1 = dict(zip(grid, _held_out_f1(data, newton(data, len(features), grid, max_iter, folds), grid, folds)))
+        data.unpersist()
+        feature_model = fit_features(folded, label)
+        data = solver_table(feature_model.transform(folded), features, label, "weight")
     else:
         folded = folded.checkpoint(eager=True)
         f1 = {}

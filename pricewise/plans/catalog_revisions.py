@@ -11,6 +11,7 @@ fitted models have twins that take Newton steps in SQL (``model_sql``).
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -20,10 +21,12 @@ from ..operators import comoments as CM
 from ..operators import distribution as D
 from ..operators import evaluate as EV
 from ..operators import features as FT
+from ..operators import ml as ML
 from ..operators import model as M
 from ..operators import revisions as R
 from ..operators import rows as RW
 from ..operators import sparse_model as SM
+from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import REVISION_ORDER
 from . import model_sql as MS
 from .oracle import CLEANED, LISTING, REVISION, register, with_ctes
@@ -385,6 +388,20 @@ register("i12_i13_feature_transform", with_ctes(LISTING, CLEANED, REVISION, DATA
 SELECT listing_id, {', '.join(f'round({c}, 12) AS {c}' for c in FT.EXTENDED)}, revision FROM tf"""))
 
 
+@query("k4_saved_pipeline")
+def q_pipeline(spark, sf_dir):
+    """The feature stages fitted as a pipeline, saved, loaded, and applied by the loaded one."""
+    from pyspark.ml import Pipeline, PipelineModel
+    train = train_table(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    Pipeline(stages=ML.reference_stages()).fit(train).write().save(path)
+    return rounded(PipelineModel.load(path).transform(train).select("listing_id", *FT.EXTENDED, "revision"), 12)
+
+
+register("k4_saved_pipeline", with_ctes(LISTING, CLEANED, REVISION, DATASET + FEATURES_SQL, body=f"""
+SELECT listing_id, {', '.join(f'round({c}, 12) AS {c}' for c in FT.EXTENDED)}, revision FROM tf"""))
+
+
 @query("i14_interactions")
 def q_inter(spark, sf_dir):
     tf = FT.interactions(transformed_train(spark, sf_dir), "location", "time_listed")
