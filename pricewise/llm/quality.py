@@ -1,8 +1,9 @@
 """Operator 3: quality classifier by co-training of two views.
 
-Content view: frequencies (square roots) of hashed byte 3-grams of the whole text.
-Metadata view: language, hashed source, length, and page layout (lines, words,
-shares of upper case, digits, punctuation and space). Each view has a logistic
+Content view, from the whole text alone: frequencies (square roots) of hashed byte
+3-grams, and layout (size, lines, words, shares of upper case, digits, punctuation and
+space). Metadata view, without the text: language, source (both hashed as whole strings)
+and the recorded length. Each view has a logistic
 classifier. In every round each classifier, trained on the labelled sample and on
 what the other has handed over, labels the unlabelled documents it is surest of
 (at least ``SURE``, at most ``PER_ROUND`` of each class) and hands them to the
@@ -15,8 +16,9 @@ Labels come only from documents outside the held-out fold (crc32 of the id modul
 is scored over its whole text.
 
 Defined cases: null text, language, source and length are empty, a class of their
-own, a class of their own, and 0; an empty text has zero content features;
-repeated rows are scored each; a document labelled both ways counts as good;
+own, a class of their own, and 0; an empty text has zero content features; a text of any
+length is read whole; a row with a null id is scored, never learnt from, and not held out;
+repeated rows are scored each; equal confidences go by the order of the sample's hashes; a document labelled both ways counts as good;
 without labels of both classes every score is the smoothed share of good labels
 (nothing is learnt, and nothing rejected); an empty table gives no rows.
 
@@ -25,19 +27,22 @@ Scale: two small sampling jobs, then one map over the table without a shuffle.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, read_table, slices, utf8
+from .common import read_table, slices, utf8
 from .toxicity import fit_logistic, held_out
 
 N_LABELLED, N_POOL = 3_000, 6_000
 ROUNDS, PER_ROUND, SURE = 4, 300, 0.95
 CONTENT, SOURCES = 256, 16       # hashed dimensions
 LANGS = 8
+LAYOUT = 10                      # byte class shares, size, line and word lengths
 THRESHOLD = 0.4                  # rejected below this probability of good quality
 _IDS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -74,30 +79,36 @@ _KIND = _kinds()
 
 
 def _bucket(column: pa.Array, n: int) -> np.ndarray:
-    """One-hot of a hash of a string column; nulls are a class of their own."""
+    """One-hot of a hash of the whole strings of a column; nulls are a class of their own."""
     values = column.to_pylist()
-    names = {v: n if v is None else int(mix64(np.frombuffer(v.encode()[:8].ljust(8, b"\0"), np.uint64)
-                                               ^ np.uint64(len(v)))[0] % np.uint64(n)) for v in set(values)}
+    names = {v: n if v is None else int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "little") % n
+             for v in set(values)}
     out = np.zeros((len(values), n + 1), np.float32)
     out[np.arange(len(values)), [names[v] for v in values]] = 1
     return out
 
 
-def metadata_features(data: np.ndarray, off: np.ndarray, lang: pa.Array, source: pa.Array,
-                      n_chars: pa.Array) -> np.ndarray:
+def layout_features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Shares of the byte classes, size, and lengths of lines and words of each text."""
     n, size = len(off) - 1, np.diff(off)
     kind = np.bincount(np.repeat(np.arange(n), size) * 7 + _KIND[data], minlength=n * 7).reshape(n, 7)
     share = kind / np.maximum(size, 1)[:, None]
     lines, gaps = kind[:, 5] + 1, kind[:, 4] + kind[:, 5] + 1
+    return np.column_stack([share, np.log1p(size), np.log1p(size / lines), np.log1p(size / gaps)]).astype(np.float32)
+
+
+def metadata_features(lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> np.ndarray:
+    """What is known of a page without its text."""
     chars = pc.fill_null(n_chars.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
-    layout = np.column_stack([share, np.log1p(chars), np.log1p(size), np.log1p(size / lines), np.log1p(size / gaps)])
-    return np.column_stack([layout, _bucket(lang, LANGS), _bucket(source, SOURCES)]).astype(np.float32)
+    size = np.log1p(np.maximum(chars, 0))
+    return np.column_stack([size, size * size, _bucket(lang, LANGS), _bucket(source, SOURCES)]).astype(np.float32)
 
 
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     col = lambda c: batch.column(batch.schema.get_field_index(c))        # noqa: E731
     data, off = utf8(col("text"))
-    return content_features(data, off), metadata_features(data, off, col("lang"), col("source"), col("n_chars"))
+    content = np.column_stack([content_features(data, off), layout_features(data, off)])
+    return content, metadata_features(col("lang"), col("source"), col("n_chars"))
 
 
 def _sampled_views(docs: DataFrame, picked: DataFrame) -> list[tuple]:

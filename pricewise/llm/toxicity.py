@@ -7,8 +7,9 @@ features of a document (bytes saved a kilobyte, the best window, shares of
 windows beyond thresholds), and a logistic calibration on labelled documents
 that these dictionaries have not seen turns them into a score from 0 to 1.
 
-Dictionaries. Both hold the same ordinary base, so that ordinary windows compress
-alike; the toxic one also holds the byte runs that toxic training documents use
+Dictionaries. Both hold the same ordinary base, segments chosen from all ordinary
+training texts to cover the byte 5-grams that most of them share, so that ordinary
+windows compress alike; the toxic one also holds the byte runs that toxic training documents use
 far more often than ordinary ones (by a z-score of document frequencies of byte
 5-grams), most common first. Near copies among the training documents count
 once, else a much-copied document would look like a pattern.
@@ -23,8 +24,8 @@ measured with dictionaries of the other half. A score depends on the text alone.
 
 Defined cases: a null text is empty; an empty text has no windows and scores as
 a text without any toxic passage; texts of any length are read whole; equal texts
-score alike; repeated rows are scored each; a document labelled both ways counts
-as toxic; without labels of both kinds the score is the smoothed share of toxic
+score alike; repeated rows are scored each; a row with a null id is scored, never learnt from, and
+not held out; a document labelled both ways counts as toxic; without labels of both kinds the score is the smoothed share of toxic
 labels, no row is predicted toxic and the pipeline's stage keeps all; an empty table gives no rows; other columns are ignored.
 
 Scale: one small sampling job, then one map over the table without a shuffle.
@@ -44,6 +45,7 @@ LONG_BYTES = 192 << 10           # a text that others of its label go before
 WINDOW = 256                     # bytes
 GRAM = 5                         # bytes of a pattern
 BASE_BYTES, TOXIC_BYTES = 2_048, 32 << 10
+SEGMENT = 64                     # bytes of ordinary text taken at a time
 Z_MAX, TIMES_MIN = 8.0, 5.0      # a pattern's z-score (less if there are few texts) and frequency ratio
 THRESHOLD = 0.3                  # predicted toxic from this score on
 STEPS = (1, 2, 3, 4, 6)          # bytes saved in a window
@@ -52,7 +54,8 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def held_out(id_col: str = "doc_id"):
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    """Whether an id is in the held-out fold; false for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 # ---------------------------------------------------------------- training
@@ -86,12 +89,38 @@ def _frequencies(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([np.unique(_grams(d, GRAM)) for d in docs]), return_counts=True)
 
 
+def _covering(docs: list[bytes], grams: np.ndarray, counts: np.ndarray) -> bytes:
+    """``BASE_BYTES`` that cover the patterns most texts share: all texts are dealt into as
+    many parts as there are segments, and each part gives the segment of ``SEGMENT`` bytes
+    with the most texts behind its patterns, those covered already counting nothing."""
+    weight = counts.astype(float)
+    n = BASE_BYTES // SEGMENT
+    out = []
+    for part in range(n):
+        best, found, where = 0.0, None, None
+        for d in docs[part::n]:
+            g = _grams(d, GRAM)
+            if len(g) < SEGMENT - GRAM + 1:
+                continue
+            at = np.searchsorted(grams, g)
+            total = np.concatenate([[0], np.cumsum(weight[at])])
+            sums = total[SEGMENT - GRAM + 1:] - total[:-(SEGMENT - GRAM + 1)]
+            i = int(sums.argmax())
+            if sums[i] > best:
+                best, found, where = float(sums[i]), d[i: i + SEGMENT], at[i: i + SEGMENT - GRAM + 1]
+        if found is not None:
+            out.append((best, found))
+            weight[where] = 0.0
+    # The segment that stands for most texts comes last, nearest to the window.
+    return b"".join(f for _, f in sorted(out)) or b"        "
+
+
 def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """Contents of the (ordinary, toxic) dictionary from lower-cased training texts."""
     toxic, ordinary = _without_copies(toxic), _without_copies(ordinary)
-    base = b" ".join(d[: BASE_BYTES // 8] for d in ordinary[:8])[:BASE_BYTES] or b"        "
     gt, ct = _frequencies(toxic)
     go, co = _frequencies(ordinary)
+    base = _covering(ordinary, go, co)
     if not len(gt) or not len(go):
         return base, base
     at = np.searchsorted(go, gt).clip(max=len(go) - 1)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -179,6 +180,35 @@ def test_features_of_odd_texts():
     batch = pa.RecordBatch.from_arrays([texts, pa.array(["en", None, "en", "zz", ""]), pa.array([None, "s", "s", "t", "u"], pa.string()),
                                         pa.array([0, None, 2, 3, 6], pa.int64())], names=["text", "lang", "source", "n_chars"])
     a, b = Q._views(batch)
-    assert a.shape == (5, Q.CONTENT) and b.shape[0] == 5
-    assert a[0].sum() == a[1].sum() == a[2].sum() == 0 and a[3].sum() == pytest.approx(1.0)
+    assert a.shape == (5, Q.CONTENT + Q.LAYOUT) and b.shape[0] == 5
+    grams = a[:, :Q.CONTENT]
+    assert grams[0].sum() == grams[1].sum() == grams[2].sum() == 0 and grams[3].sum() == pytest.approx(1.0)
     assert not (b != b).any()
+
+
+def test_sources_with_a_common_beginning_are_told_apart():
+    names = [f"site-{i:06d}" for i in range(64)] + [None]
+    out = Q._bucket(pa.array(names), 4096)
+    assert len({tuple(np.flatnonzero(r)) for r in out}) == 65 and out[-1, -1] == 1
+
+
+def test_views_share_nothing():
+    """Metadata features do not change with the text, content features not with the metadata."""
+    a = pa.RecordBatch.from_pydict({"text": ["one Two 3", "x\ny"], "lang": ["en", None], "source": ["s", "t"], "n_chars": [9, None]})
+    b = pa.RecordBatch.from_pydict({"text": ["other", ""], "lang": ["en", None], "source": ["s", "t"], "n_chars": [9, None]})
+    c = pa.RecordBatch.from_pydict({"text": ["one Two 3", "x\ny"], "lang": ["de", "fr"], "source": ["u", None], "n_chars": [1, 2]})
+    assert (Q._views(a)[1] == Q._views(b)[1]).all() and (Q._views(a)[0] == Q._views(c)[0]).all()
+
+
+def test_null_ids_are_not_held_out_and_the_base_comes_from_all_texts(spark):
+    df = spark.createDataFrame([(None, "x"), (1, "y")], "doc_id long, text string")
+    assert all(r.h is not None for r in df.select(X.held_out().alias("h")).collect())
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))                    # noqa: E731
+    shared = " ".join(word() for _ in range(30))
+    texts = [" ".join(word() for _ in range(60)).encode() for _ in range(40)]
+    for i in range(20, 40):                                                    # a passage of the later half
+        texts[i] += b" " + shared.encode()
+    grams, counts = X._frequencies(texts)
+    base = X._covering(texts, grams, counts)
+    assert len(base) <= X.BASE_BYTES and sum(shared[i:i + 20].encode() in base for i in range(0, len(shared) - 20, 20)) >= 5
