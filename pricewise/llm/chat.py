@@ -26,7 +26,9 @@ Defined cases: a null text or role is empty; a null ``conv_id`` is a conversatio
 of its own; null ``seq`` and ``message_id`` sort first; events with equal
 ``(message_id, seq)`` are ordered by kind, role and text, so a rerun agrees;
 repeated events count as often as they come; an unknown kind counts as a delta;
-an empty log gives no rows; other columns are ignored.
+an empty log gives no rows; other columns are ignored. ``op2_chat_format`` adds the
+probe conversation -1; if the table has rows of a conversation -1, their turns and the
+probe's are one conversation, by turn, role and text.
 
 Scale: two windows by conversation and one aggregate, on one shuffle by
 ``conv_id``; every conversation becomes one row, so one row (not one task's

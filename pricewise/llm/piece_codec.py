@@ -13,7 +13,7 @@ and remembered in a bounded cache; a text is then a sequence of lookups.
 Otherwise a whole text is one unit of the same agenda.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text;
-repeated rows and ids are encoded as often as they come; other columns are
+repeated rows and ids are encoded as often as they come; a null id is passed on; other columns are
 ignored; an empty table gives no rows. Texts of any length work: the agenda is
 O(n log n) in the longest word.
 

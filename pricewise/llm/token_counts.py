@@ -12,7 +12,7 @@ Words are ``[^\\x20\\x09-\\x0D]+``; case is kept. The vocabulary comes from a pi
 model whose word-initial pieces carry a space mark (a parameter).
 
 Defined cases: null, empty and blank texts have 0 words and 0 tokens; repeated
-rows are counted each; other columns are ignored; an empty table gives no rows;
+rows are counted each; a null id is passed on; other columns are ignored; an empty table gives no rows;
 words of any length are read in linear time.
 
 Scale: one map, no shuffle; per worker the automaton and a bounded cache.

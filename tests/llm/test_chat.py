@@ -73,3 +73,10 @@ def test_no_python_in_the_plan(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert out.filter(F.col("conv_id") == 1).count() == 1
+
+
+def test_a_conversation_with_the_probes_number_joins_it(spark, tmp_path):
+    spark.createDataFrame([(-1, 0, "assistant", "x"), (3, 0, "user", None)], "conv_id long, turn int, role string, text string") \
+        .coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r.n_turns for r in chat.op2_chat_format(spark, str(tmp_path)).collect()}
+    assert got == {-1: 3, 3: 1}
