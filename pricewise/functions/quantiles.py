@@ -11,7 +11,7 @@ per group (tests compare them on every case):
   one task. Right for many small groups (a town's prices on one day).
 * ``"narrowed"``: fully distributed selection. Every wanted order statistic has a
   bracket of values that starts as the group's range; a round counts the values of the
-  bracket in ``CELLS`` equal parts (added up before the shuffle) and keeps the part that
+  bracket in ``CELLS`` parts (added up before the shuffle) and keeps the part that
   holds the rank, with the actual least and greatest value in it. All groups and
   probabilities share the rounds. It ends when a bracket is one value or holds at most
   ``KEEP`` of them, which are then sorted. Nothing is sorted globally, and no task holds
@@ -153,8 +153,12 @@ def _narrowed(df: DataFrame, keys: list[str], value: str, probs: list[float], na
     held = vals.filter("_v IS NOT NULL")
     inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
     while not open_.isEmpty():
-        # Halved first: the range of a bracket may pass the range of doubles.
-        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        # Cells are equal in logarithms (signed, for all doubles but zero at least 5 from zero)
+        # while the bracket spans more than a factor of e, else equal in width; so a
+        # bracket of any two doubles is down to one value after some nine rounds.
+        v, lo, hi = (F.when(F.col(c) == 0, 0.0).otherwise(F.signum(c) * (F.log(F.abs(c)) + 750)) for c in ("_v", "_lo", "_hi"))
+        share = F.when(hi - lo > 1, (v - lo) / (hi - lo)).otherwise(
+            (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
         cell = F.least(F.floor(share * CELLS), F.lit(CELLS - 1)).cast("int")
         cells = (held.join(F.broadcast(open_), by).filter(inside).groupBy(*by, "_t", cell.alias("_j"))
                  .agg(F.count("_v").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
