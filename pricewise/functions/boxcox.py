@@ -12,8 +12,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SMALL = 0.5
-TERMS = 17                       # SMALL**17 / 18! is far below rounding
+SMALL = 0.05
+TERMS = 9                        # SMALL**9 / 10! is far below rounding
 
 
 def _series(t: Column, derivative: int) -> Column:
