@@ -124,3 +124,12 @@ def test_value_counts_of_several_columns_read_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Expand") == 1 and plan.count("Scan") == 1
     assert sorted(map(tuple, out.collect())) == [("x", "a", 2), ("x", "b", 1), ("y", "1", 1), ("y", "2", 3)]
+
+
+def test_split_query_gives_every_row_its_place(spark):
+    """The registered split keeps the position in the seeded order, as its first SQL did."""
+    from pricewise.plans.catalog import QUERIES
+    out = QUERIES["f7_train_test_split"](spark, "/root/testdata/sf0.001").toPandas().sort_values(["shuffle_key", "listing_id"])
+    n = len(out)
+    assert list(out.row_idx) == list(range(n))
+    assert list(out.split == "test") == [i >= n - math.ceil(n * 0.2) for i in range(n)]
