@@ -110,3 +110,16 @@ def test_round_sends_as_many_messages_as_there_are_siblings(spark):
     assert {x.node for x in rows} == {tree([h(str(b)) for b in range(n)], 3)[0]}
     want = tree([h(str(b)) for b in range(n)], 3)[1]
     assert {x._block: [(s.i, list(s.h)) for s in x.proof] for x in rows} == dict(enumerate(want))
+
+
+def test_every_row_is_folded_with_its_proof(spark, monkeypatch):
+    """A proof with one wrong level verifies no row, also none that was left as it was."""
+    right = M.upper_proofs
+
+    def wrong(*args):
+        level = F.array(F.struct(F.lit(0).alias("i"), F.array(F.lit(h("no sibling"))).alias("h"))).cast(M.PROOF)
+        return right(*args).withColumn("proof", F.concat("proof", level))
+    monkeypatch.setattr(M, "upper_proofs", wrong)
+    rows = table(40, lambda i: "ab"[i % 2])
+    got = run(spark, rows, block_levels=1).collect()
+    assert len(got) == 40 and not any(r.verified or r.folded_root == r.root for r in got)
