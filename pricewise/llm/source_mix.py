@@ -10,8 +10,8 @@ high-weight sources lead and low-weight ones gather at the end. The integral of
 the rate up to t is the cumulative demand ``target * ((1 - s) t + s t**2)``. A
 source's documents stand in a seeded hash order, over and over; the copy that
 begins ``c`` words into that sequence is due when the demand reaches ``c``, so its
-position is the inverse of the demand at ``c``. ``mixture`` range-sorts copies by
-position.
+position is the inverse of the demand at ``c``. ``sequence`` range-sorts copies by
+position; the query counts the words of every document in that sequence.
 
 A source of ``n`` words with target ``m`` gives ``floor(m / n)`` whole passes and
 one partial pass. The document on the end of the partial pass gives only its
@@ -26,7 +26,7 @@ rows; other columns are ignored by ``plan``. Reruns agree: the order is an md5 o
 ``doc_id`` (without one: of a hash of the text) and a seed, ties by id, size and text hash;
 texts of any length are read whole.
 
-Scale: texts are read once, for sizes. The running totals inside a source come
+Scale: texts are read for sizes and again for the sequence. The running totals inside a source come
 from totals of hash buckets (about ``BUCKET_ROWS`` rows each, also in a source
 that holds most rows), so no source is handled in one task. Only one-row totals
 reach the driver.
@@ -34,6 +34,8 @@ reach the driver.
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,9 +84,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataF
                         F.least("_cap", share).alias("target"))
 
 
-def plan(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
+def plan(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = SEED, rows: DataFrame | None = None) -> DataFrame:
     """Adds to every row of ``_sized`` documents: ``source_size, target, _class,
-    _start`` (words of the source before it in one pass)."""
+    _start`` (words of the source before it in one pass). ``rows`` are the same documents
+    with more columns, which are kept."""
     n = sizes.count()
     buckets = 16
     while buckets * BUCKET_ROWS < n:
@@ -93,12 +96,12 @@ def plan(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = SEED)
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("_hash").cast("string")))
     key = F.md5(F.concat(name, F.lit(f"-{seed}")))
     bucket = F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32))
-    rows = sizes.withColumn("_key", key).withColumn("_bucket", bucket.cast("long"))
     src = ["_no_source", "_source"]
     before = Window.partitionBy(*src).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (rows.groupBy(*src, "_bucket").agg(F.sum("size").alias("_n"))
+    offsets = (sizes.withColumn("_key", key).groupBy(*src, bucket.cast("long").alias("_bucket")).agg(F.sum("size").alias("_n"))
                .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
     offsets = stored(offsets.join(source_targets(sizes, weights, cap), src))
+    rows = (sizes if rows is None else rows).withColumn("_key", key).withColumn("_bucket", bucket.cast("long"))
     inside = (Window.partitionBy(*src, "_bucket").orderBy("_key", "doc_id", "size", "_hash")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (rows.withColumn("_upto", F.sum("size").over(inside))
@@ -131,7 +134,7 @@ def with_taken(planned: DataFrame, cut: bool = True, cap: int = CAP) -> DataFram
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` as zstandard bytes: what the shuffles of ``mixture`` move."""
+    """``docs`` with ``text`` as zstandard bytes: what the shuffles of ``sequence`` move."""
     at = docs.columns.index("text")
     kinds = [f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema]
 
@@ -146,18 +149,29 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(kinds))
 
 
-def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    at = docs.columns.index("text")
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+def _head(text: bytes, n: int) -> bytes:
+    """The text up to the end of its ``n``-th word."""
+    for k, m in enumerate(re.finditer(WORD.encode(), text), 1):
+        if k == n:
+            return text[:m.end()]
+    return text
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """``rows`` with their texts again; ``_m_cut`` is the number of words kept (null: all)."""
+    at, cut_at = rows.columns.index("text"), rows.columns.index("_m_cut")
+    kinds = [f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema]
 
     def run(batches):
         import zstandard
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            z, size = batch.column(at).to_pylist(), 0
+            z, cuts, size = batch.column(at).to_pylist(), batch.column(cut_at).to_pylist(), 0
             a = 0
             for b in range(len(z)):          # slices of some MB of text
                 z[b] = None if z[b] is None else unpack(z[b])
+                if cuts[b] is not None:
+                    z[b] = _head(z[b], cuts[b])
                 size += len(z[b] or b"")
                 if size >= SLICE or b == len(z) - 1:
                     part = batch.slice(a, b + 1 - a)
@@ -169,41 +183,50 @@ def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(kinds))
 
 
-def mixture(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """The training sequence: the rows of ``docs``, one per whole copy, range-sorted
-    by position. Columns are those of ``docs``. Texts cross both shuffles (to their copies, and
-    to their positions) compressed."""
+def sequence(docs: DataFrame, sizes: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = SEED,
+             cut: bool = True) -> DataFrame:
+    """The training sequence: the rows of ``docs``, one per copy, range-sorted by position, a
+    cut copy with its first words only. Behind the columns of ``docs``: ``_m_no_source,
+    _m_source, _m_start`` (which tell rows with words apart), ``_m_position, _m_cut``.
+    ``sizes``: ``_sized`` of ``docs``, stored. Texts cross two shuffles (to their place in the
+    source, and to their positions) compressed."""
     cols = docs.columns
-    chosen = with_taken(plan(stored(_sized(docs)), weights, cap, seed), cut=False, cap=cap)
-    # Repeated rows of one document pair up by their number.
-    same = ["doc_id", "_no_source", "_source", "size", "_hash"]
-    chosen = chosen.select(*same, F.row_number().over(Window.partitionBy(*same).orderBy("_start")).alias("_nth"),
-                           "_copies").filter(F.size("_copies") > 0)
-    chosen = chosen.select(F.coalesce("doc_id", F.lit(0)).alias("_m_id"), F.col("doc_id").isNull().alias("_m_no_id"),
-                           F.col("_no_source").alias("_m_no_source"), F.col("_source").alias("_m_source"),
-                           F.col("size").alias("_m_size"), F.col("_hash").alias("_m_hash"), F.col("_nth").alias("_m_nth"),
-                           "_copies")
     packed = _packed(docs.withColumns({
         "_m_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "_m_hash": F.xxhash64("text")}))
-    rows = packed.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"),
-                         F.coalesce("doc_id", F.lit(0)).alias("_m_id"), F.col("doc_id").isNull().alias("_m_no_id"),
-                         F.col("source").isNull().alias("_m_no_source"), F.coalesce("source", F.lit("")).alias("_m_source"),
-                         "_m_size", "_m_hash")
-    keys = ["_m_id", "_m_no_id", "_m_no_source", "_m_source", "_m_size", "_m_hash"]
-    rows = rows.withColumn("_m_nth", F.row_number().over(Window.partitionBy(*keys).orderBy("_m_id")))
-    out = rows.join(chosen, [*keys, "_m_nth"]).select("_row", "_m_id", F.explode("_copies").alias("_c"))
-    out = out.select("_row", F.col("_c.position").alias("_p"), "_m_id")
-    return _unpacked(out.repartitionByRange("_p", "_m_id").sortWithinPartitions("_p", "_m_id").select("_row.*"), docs)
+    rows = packed.select("doc_id", F.col("source").isNull().alias("_no_source"), F.coalesce("source", F.lit("")).alias("_source"),
+                         F.col("_m_size").alias("size"), F.col("_m_hash").alias("_hash"),
+                         F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"))
+    chosen = with_taken(plan(sizes, weights, cap, seed, rows), cut=cut, cap=cap)
+    out = chosen.select("_row", "doc_id", "size", "_no_source", "_source", "_start", F.explode("_copies").alias("_c"))
+    out = out.select("_row", F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("_no_source").alias("_m_no_source"),
+                     F.col("_source").alias("_m_source"), F.col("_start").alias("_m_start"),
+                     F.col("_c.position").alias("_m_position"),
+                     F.when(F.col("_c.words") < F.col("size"), F.col("_c.words")).alias("_m_cut"))
+    out = out.repartitionByRange("_m_position", "_id").sortWithinPartitions("_m_position", "_id")
+    return _unpacked(out.select("_row.*", "_m_no_source", "_m_source", "_m_start", "_m_position", "_m_cut"))
+
+
+def mixture(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
+    """The training sequence of whole copies, with the columns of ``docs``."""
+    out = sequence(docs, stored(_sized(docs)), weights, cap, seed, cut=False)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query: words taken from every document and its source's target;
-    ``position`` is the training time of its first copy (null: not taken)."""
-    sizes = stored(_sized(read_table(spark, sf_dir, "documents")))
-    out = with_taken(plan(sizes))
-    return out.select("doc_id", "size", "source_size", "target",
-                      F.aggregate("_copies", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("taken"),
-                      F.get("_copies", F.lit(0))["position"].alias("position"))
+    """Contract query: words of every document in the training sequence, counted in the texts
+    that stand there, and its source's target; ``position`` is the training time of its
+    first copy (null: not taken)."""
+    docs = read_table(spark, sf_dir, "documents")
+    sizes = stored(_sized(docs))
+    # Rows with words have different starts; rows without any meet nothing.
+    place = F.when(F.col("size") > 0, F.col("_start")).otherwise(-1 - F.monotonically_increasing_id())
+    planned = plan(sizes).select("doc_id", "size", "source_size", "target", F.col("_no_source").alias("_m_no_source"),
+                                 F.col("_source").alias("_m_source"), place.alias("_m_start"))
+    key = ["_m_no_source", "_m_source", "_m_start"]
+    there = sequence(docs, sizes).groupBy(*key).agg(
+        F.sum(F.regexp_count("text", F.lit(WORD))).cast("long").alias("taken"), F.min("_m_position").alias("position"))
+    return planned.join(there, key, "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "position")
 
 
 SQL = r"""

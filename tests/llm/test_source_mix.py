@@ -86,3 +86,21 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCUMENT).write.parquet(str(tmp_path / "documents.parquet"))
     assert M.op9_source_mix(spark, str(tmp_path)).count() == 0
     assert M.mixture(spark.createDataFrame([], DOCUMENT)).count() == 0
+
+
+def test_query_reads_its_rows_from_the_sequence(spark, tmp_path, monkeypatch):
+    """Words and positions come from the texts of the training sequence, in its order."""
+    data = rows()
+    spark.createDataFrame(data, DOCUMENT).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    seq = M.sequence(docs, M.stored(M._sized(docs)))
+    at = [r._m_position for r in seq.collect()]
+    assert at == sorted(at) and len(at) > 0
+    got = M.op9_source_mix(spark, str(tmp_path)).collect()
+    assert sum(r.taken for r in got) == sum(len(words(r.text)) for r in seq.collect())
+    cut = [r for r in seq.collect() if r._m_cut is not None]
+    assert cut and all(len(words(r.text)) == r._m_cut < len(words(data[r.doc_id][1])) for r in cut if r.doc_id is not None)
+    right = M.sequence
+    monkeypatch.setattr(M, "sequence", lambda *args: right(*args).filter("doc_id > 20"))
+    less = {r.doc_id: r for r in M.op9_source_mix(spark, str(tmp_path)).collect() if r.doc_id is not None}
+    assert len(less) > 20 and all(r.taken == 0 and r.position is None for d, r in less.items() if d <= 20)
