@@ -2,8 +2,9 @@
 
 A text is its words (lower-cased), then one end token. A token is coded as binary
 decisions: eight bits of its class (a hash of the word's last two bytes; class 0
-is the end), one bit whether the word is unknown, and for a known word its share
-of the class's training tokens. So the probabilities of all tokens add up to one.
+is the end), one bit whether the word is unknown, and a known word within its class:
+a mixture of its share of the class's training tokens and its share of those that
+follow the word before. So the probabilities of all tokens add up to one.
 
 Each class bit is predicted by five predictors: bit counts under four hashed
 contexts (none, the class before, the two classes before, the word before),
@@ -12,7 +13,8 @@ stretched probabilities are combined by a weight set that a gate selects (bit
 position, and whether the two-class context is well known); after every bit the
 chosen weights, and the adaptive states, are refined by the coding error. The
 unknown bit has the class's share of words seen once as its prior and is refined
-along the text in the same way. The score is the log10 probability of the tokens,
+along the text in the same way, and so is the weight of the second share, one a level
+of how often the class follows the word before (``LEVELS``). The score is the log10 probability of the tokens,
 an unknown word being one symbol (as in ``base_score``). ``bits_per_byte`` adds the
 spelling of unknown words, each byte and a closing blank predicted from the byte
 before (counts of the training words), and divides by the bytes of the text.
@@ -24,15 +26,19 @@ partitioned. (``SEGMENT``, if smaller than a text, restarts them within it.)
 Data flow. Documents are packed into blocks as they are read. A block gives its
 distinct words with training counts, cut into hash buckets, and its context
 counts; buckets add up the counts of all blocks and answer every block with the
-corpus counts of its words; the block then scores its texts. Context tables have
-a fixed size; word counts grow with the corpus and are never gathered in one
-place.
+corpus counts of its words; the block then scores its texts. Pairs of a word and the
+word before go the same way: a block sends a key of ``CONTEXT_BITS`` for the word before
+with the class and ``WORD_BITS`` for the word, and gets back how often the pair and its
+context stand in the training texts; there are more buckets for larger corpora. The class
+bits' context tables have a fixed size; counts of words and pairs grow with the corpus
+and are never gathered in one place.
 
 Defined cases: a null or empty text is the end token alone; repeated rows count
 and are scored each; a null ``doc_id`` is a training document; without training
 documents N, V and all counts are 0 and every token is unknown (the score is that
 of the untrained mixture); an empty table gives no rows; other columns are
-ignored. A text of any length is scored whole, word after word in one task. Two words are taken as one with probability 2**-64 a pair (hashes).
+ignored. A text of any length is scored whole, word after word in one task. Two words are taken as one with probability 2**-64 a pair (hashes);
+two words of a class after the same word with 2**-20, two contexts with 2**-32.
 """
 
 from __future__ import annotations
@@ -44,7 +50,7 @@ from pyspark.sql import functions as F
 
 from .common import _ranges, mix64, read_table, stored, utf8, words
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 12 << 20
 BUCKETS = 64                     # of word hashes (a power of two); more for larger corpora
 SEGMENT = 1 << 40                # tokens scored with one set of weights and states
 CONTEXTS = 4096                  # hashed contexts of a table
@@ -52,10 +58,14 @@ WEIGHTS = (0.05, 0.35, 0.35, 0.15, 0.15)
 RATE, STATE_RATE, UNKNOWN_RATE = 0.003, 0.3, 0.2
 SEEN = 400                       # tokens that make a two-class context well known
 BACKOFF = 4.0
+CONTEXT_BITS, WORD_BITS = 32, 20     # of a pair's key
+LEVELS = (1, 3, 10, 100)         # occurrences of a context, each level with a weight of its own
+FOLLOW = (-2.0, -1.0, 0.0, 1.0)  # logits of the weight of the share after the word before
+FOLLOW_RATE = 0.1
 
 _PARTS = "kind int, block long, bucket int, a binary, b binary, c binary"
 _NAMES = ["kind", "block", "bucket", "a", "b", "c"]
-_TEXT, _COUNT, _TABLE, _STAT, _ANSWER = range(5)
+_TEXT, _COUNT, _TABLE, _STAT, _ANSWER, _PAIR = range(6)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -101,6 +111,7 @@ class Tokens:
         self.c1 = c1
         self.two = (mix64(c2.astype(np.uint64) * np.uint64(256) + c1 + np.uint64(1)) % np.uint64(CONTEXTS)).astype(np.uint16)
         self.prev = (mix64(w1 ^ np.uint64(0x51ED270B)) % np.uint64(CONTEXTS)).astype(np.uint16)
+        self.before = w1
 
     def tables(self, use: np.ndarray) -> np.ndarray:
         """Class counts under each context, of the tokens marked in ``use``: rows for
@@ -110,6 +121,12 @@ class Tokens:
         return np.concatenate([np.bincount(c[use].astype(np.int32) * 256 + cls, minlength=cells)
                                for c, cells in ((self.c1, 65536), (self.two, size), (self.prev, size))])
 
+    def pairs(self) -> np.ndarray:
+        """Key of every word with the word before it; the context is in the high bits."""
+        inner = ~self.is_end
+        context = mix64(mix64(self.before[inner]) ^ self.cls[inner].astype(np.uint64)) >> np.uint64(64 - CONTEXT_BITS)
+        word = mix64(self.word[inner] ^ np.uint64(0x2545F491)) >> np.uint64(64 - WORD_BITS)
+        return (context << np.uint64(WORD_BITS)) | word
 
     def spelled(self, which: np.ndarray):
         """(word, byte before, byte) of the marked words, some at a time; a word begins
@@ -186,14 +203,22 @@ class Model:
         unknown = np.clip(unknown, 1e-5, 0.9)
         self.unknown = np.log(unknown / (1 - unknown)).astype(np.float32)
 
-    def score(self, t: Tokens, c: np.ndarray) -> np.ndarray:
-        """Log10 probability of every text; ``c`` is each token's training count."""
+    def score(self, t: Tokens, c: np.ndarray, pair: np.ndarray | None = None, context: np.ndarray | None = None) -> np.ndarray:
+        """Log10 probability of every text; ``c`` is each token's training count, ``pair`` and
+        ``context`` how often it follows the word before and its class does."""
         total = np.zeros(len(t.count))
         known = c > 0
-        static = np.zeros(len(c))
         inner = known & ~t.is_end
-        static[inner] = np.log(c[inner] / self.class_tokens[t.cls[inner]])
-        total += np.bincount(t.doc, static, minlength=len(total))
+        share = np.ones(len(c))
+        share[inner] = c[inner] / self.class_tokens[t.cls[inner]]
+        if context is None:
+            context = np.zeros(len(c), np.int64)
+        level = np.where(inner, np.searchsorted(LEVELS, context, "right") - 1, -1).astype(np.int8)
+        mixed = level >= 0
+        follow = np.zeros(len(c))
+        if mixed.any():
+            follow[mixed] = pair[mixed] / context[mixed]
+        total += np.bincount(t.doc, np.where(mixed, 0.0, np.log(share)), minlength=len(total))
         # segments, longest first, so that the active ones are a prefix
         n_seg = -(-t.count // SEGMENT)
         of = np.repeat(np.arange(len(t.count)), n_seg)
@@ -207,6 +232,7 @@ class Model:
         weight[:] = np.array(WEIGHTS, np.float32)
         state = np.repeat(self.s0, lanes, axis=0)
         unknown_state = np.zeros(lanes, np.float32)
+        follow_weight = np.tile(np.array(FOLLOW), (lanes, 1))
         loss = np.zeros(lanes)
         active = np.searchsorted(-length, -np.arange(length.max(initial=0)), "left")    # lanes longer than the step
         lane = np.arange(lanes)
@@ -237,6 +263,14 @@ class Model:
             is_word, is_unknown = cls > 0, c[at] == 0
             loss[:m] += np.where(is_word, np.log(np.where(is_unknown, u, one - u)), 0.0)
             unknown_state[:m] += np.where(is_word, np.float32(UNKNOWN_RATE) * (is_unknown - u), 0).astype(np.float32)
+            # the word within its class
+            use = np.flatnonzero(mixed[at])
+            if len(use):
+                i, g = at[use], level[at[use]]
+                v = 1 / (1 + np.exp(-follow_weight[use, g]))
+                both = v * follow[i] + (1 - v) * share[i]
+                loss[use] += np.log(both)
+                follow_weight[use, g] += FOLLOW_RATE * (v * follow[i] / both - v)
         total += np.bincount(of, loss, minlength=len(total))
         return total / np.log(10.0)
 
@@ -308,7 +342,7 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
 def _totals(parts: DataFrame) -> DataFrame:
     """Corpus counts of every block's words, per bucket, with class totals; summed tables."""
     def run(batches):
-        bucket, hashes, counts, classes, waiting, table = None, None, None, None, [], None
+        bucket, hashes, counts, classes, waiting, table, asked = None, None, None, None, [], None, []
 
         def merge():
             nonlocal hashes, counts, classes, waiting
@@ -327,6 +361,9 @@ def _totals(parts: DataFrame) -> DataFrame:
                 rows.append((_STAT, -1, bucket, np.bincount(k, counts, minlength=256).astype(np.int64).tobytes(),
                              np.bincount(k[counts == 1], minlength=256).astype(np.int64).tobytes(),
                              np.array([seen.sum()], np.int64).tobytes()))
+                for block, own in asked:
+                    rows.append((_ANSWER, block, bucket, _pack(counts[np.searchsorted(hashes, _unpack(own, np.uint64))]),
+                                 None, None))
             if table is not None:
                 rows.append((_TABLE, -1, bucket, _pack(table), None, None))
         for batch in batches:
@@ -335,36 +372,84 @@ def _totals(parts: DataFrame) -> DataFrame:
                 if b != bucket:
                     merge()
                     stats(rows)
-                    bucket, hashes, waiting, table = b, None, [], None
+                    bucket, hashes, waiting, table, asked = b, None, [], None, []
                 if kind == _COUNT:
+                    asked.append((block, x))
                     waiting.append((_unpack(x, np.uint64), _unpack(y, np.uint32).astype(np.int64), _unpack(z, np.uint8)))
                     if sum(len(v[0]) for v in waiting) > 1_000_000:
                         merge()
-                elif kind == _TABLE:
+                else:
                     one = _unpack(x, np.int32).astype(np.int64)
                     table = one if table is None else table + one
-                else:                # a block's request: all counts of the bucket are in
-                    merge()
-                    own = _unpack(x, np.uint64)
-                    rows.append((_ANSWER, block, b, _pack(counts[np.searchsorted(hashes, own)]), None, None))
             yield _record(rows)
         merge()
         rows = []
         stats(rows)
         yield _record(rows)
     counts = parts.filter(F.col("kind").isin(_COUNT, _TABLE))
-    requests = parts.filter(F.col("kind") == _COUNT).select(
-        F.lit(_ANSWER).alias("kind"), "block", "bucket", "a", F.lit(None).cast("binary").alias("b"),
-        F.lit(None).cast("binary").alias("c"))
-    rows = counts.unionByName(requests).repartition("bucket").sortWithinPartitions("bucket", "kind", "block")
+    rows = counts.repartition("bucket").sortWithinPartitions("bucket", "kind", "block")
     return stored(rows.mapInArrow(run, _PARTS))
 
 
+def _key_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Cuts of ascending pair keys into buckets (a power of two) by their highest bits."""
+    shift = np.uint64(CONTEXT_BITS + WORD_BITS - (buckets.bit_length() - 1))
+    return np.searchsorted(keys >> shift, np.arange(buckets + 1).astype(np.uint64))
+
+
+def _pair_totals(parts: DataFrame, buckets: int) -> DataFrame:
+    """Corpus counts of every block's word pairs and of their contexts, per bucket of contexts."""
+    def send(batches):
+        for batch in batches:
+            for block, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                docs_of = pa.ipc.open_stream(x).read_all().combine_chunks()
+                t = Tokens(*utf8(docs_of.column(1)))
+                train = ~docs_of.column(2).combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+                keys, place = np.unique(t.pairs(), return_inverse=True)
+                count = np.bincount(place, train[t.doc][~t.is_end], minlength=len(keys)).astype(np.uint32)
+                cuts = _key_edges(keys, buckets)
+                rows = [(_PAIR, block, i, _pack(np.diff(keys[a:b], prepend=np.uint64(0))), _pack(count[a:b]), None)
+                        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
+                if rows:
+                    yield _record(rows)
+
+    def answer(batches):
+        def merged(bucket, held):
+            keys, place = np.unique(np.concatenate([k for _, k, _ in held]), return_inverse=True)
+            count = np.bincount(place, np.concatenate([c for _, _, c in held]), minlength=len(keys)).astype(np.int64)
+            of = keys >> np.uint64(WORD_BITS)
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            context = np.repeat(np.add.reduceat(count, first), np.diff(np.append(first, len(of))))
+            a = 0
+            for block, k, _ in held:
+                at = place[a: a + len(k)]
+                a += len(k)
+                yield _record([(_PAIR, block, bucket, _pack(count[at].astype(np.uint32)),
+                                _pack(context[at].astype(np.uint32)), None)])
+        bucket, held = None, []
+        for batch in batches:
+            for b, block, x, y in zip(*[batch.column(n).to_pylist() for n in ("bucket", "block", "a", "b")]):
+                if b != bucket:
+                    if held:
+                        yield from merged(bucket, held)
+                    bucket, held = b, []
+                held.append((block, np.cumsum(_unpack(x, np.uint64), dtype=np.uint64), _unpack(y, np.uint32)))
+        if held:
+            yield from merged(bucket, held)
+    texts = parts.filter(F.col("kind") == _TEXT).select("block", "a")
+    return stored(texts.mapInArrow(send, _PARTS).repartition("bucket").sortWithinPartitions("bucket", "block")
+                  .mapInArrow(answer, _PARTS))
+
+
 def score(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     bits_per_byte`` of every row of ``docs`` (columns ``doc_id, text``)."""
     parts = _blocks(docs, buckets)
     totals = _totals(parts)
+    pair_buckets = BUCKETS           # of four blocks each or less
+    while pair_buckets * 4 < parts.filter(F.col("kind") == _TEXT).count():
+        pair_buckets *= 2
+    pairs = _pair_totals(parts, pair_buckets)
     # Fixed-size results: class totals and one table, in as many rows as buckets.
     stat = totals.filter(F.col("kind") == _STAT).select("a", "b", "c").collect()
     long = lambda b: np.frombuffer(bytes(b), np.int64)                   # noqa: E731
@@ -384,14 +469,17 @@ def score(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         tables = _unpack(packed, np.int64)
         model, spellings = Model(tables[:size], class_tokens, class_once), tables[size:].copy()
         denominator = np.log10(n_train + (distinct + 1))
-        current, answers = None, []
+        current, answers, follow = None, [], []
         for batch in batches:
-            for kind, block, _, x, _, _ in zip(*[c.to_pylist() for c in batch.columns]):
+            for kind, block, _, x, y, _ in zip(*[c.to_pylist() for c in batch.columns]):
                 if block != current:
-                    current, answers = block, []
+                    current, answers, follow = block, [], []
                 if kind == _ANSWER:
                     answers.append(_unpack(x, np.int64))
                     continue
+                if kind == _PAIR:
+                    follow.append((_unpack(x, np.uint32), _unpack(y, np.uint32)))
+                    continue
                 docs_of = pa.ipc.open_stream(x).read_all().combine_chunks()
                 data, off = utf8(docs_of.column(1))
                 t = Tokens(data, off)
@@ -402,8 +490,14 @@ def score(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
                     of_block = np.concatenate(answers)
                     assert len(of_block) == len(distinct_words), "an answer for every word of the block"
                     c[inner] = of_block[place]
+                pair, context = np.zeros((2, len(c)), np.int64)
+                if inner.any():
+                    keys, place = np.unique(t.pairs(), return_inverse=True)
+                    of_block = [np.concatenate(x) for x in zip(*follow)]
+                    assert len(of_block[0]) == len(keys), "an answer for every pair of the block"
+                    pair[inner], context[inner] = of_block[0][place], of_block[1][place]
                 n = len(t.count)
-                got = model.score(t, c)
+                got = model.score(t, c, pair, context)
                 base = np.bincount(t.doc, np.log10(c + 1.0) - denominator, minlength=n)
                 yield pa.RecordBatch.from_arrays(
                     [docs_of.column(0).combine_chunks(), docs_of.column(2).combine_chunks(), pa.array(t.count, pa.int64()),
@@ -411,8 +505,8 @@ def score(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
                      pa.array(base), pa.array(got), pa.array((t.spelling_bits(c == 0, spellings) - got * np.log2(10)) / np.maximum(np.diff(off), 1))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score",
                            "bits_per_byte"])
-    work = parts.filter(F.col("kind") == _TEXT).select(F.lit(_ANSWER + 1).alias("kind"), *_NAMES[1:]) \
-        .unionByName(totals.filter(F.col("kind") == _ANSWER))
+    work = parts.filter(F.col("kind") == _TEXT).select(F.lit(_PAIR + 1).alias("kind"), *_NAMES[1:]) \
+        .unionByName(totals.filter(F.col("kind") == _ANSWER)).unionByName(pairs)
     return work.repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(run, schema)
 
 

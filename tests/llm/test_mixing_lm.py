@@ -134,3 +134,42 @@ def test_empty_and_untrained(spark):
     assert (r.n_known, r.train_tokens, r.n_tokens) == (0, 0, 4) and math.isfinite(r.score) and r.base_score == 0.0
     r = run(spark, [(None, "a a", "en", "s", 1)], 1)[0]
     assert (r.held_out, r.n_known, r.train_tokens) == (False, 3, 3)
+
+
+def test_the_word_before_predicts_the_word_within_its_class(spark):
+    """Both orders have the same words and the same classes; only one stands in the training texts."""
+    held = [d for d in range(400) if zlib.crc32(str(d).encode()) % 7 == 2][:2]
+    rows = [(d, "red catzz blue dogzz " * 5, "en", "s", 1) for d in range(60) if zlib.crc32(str(d).encode()) % 7 != 2]
+    rows += [(held[0], "red catzz blue dogzz " * 3, "en", "s", 1), (held[1], "red dogzz blue catzz " * 3, "en", "s", 1)]
+    got = {r.doc_id: r for r in run(spark, rows)}
+    assert got[held[0]].n_known == got[held[1]].n_known == 13
+    assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    assert got[held[0]].score > got[held[1]].score + 1
+
+
+def test_shares_of_known_words_add_up_to_one(spark):
+    """Counts answered over all blocks equal plain counts, and a class's words share one probability."""
+    data = texts(40)
+    t = L.Tokens(*utf8(pa.array(data, pa.string())))
+    use, inner = t.doc % 3 > 0, ~t.is_end
+    plain_pairs = Counter(zip(t.before[inner & use].tolist(), t.word[inner & use].tolist()))
+    contexts = Counter(zip(t.before[inner & use].tolist(), t.cls[inner & use].tolist()))
+    keys, place = np.unique(t.pairs(), return_inverse=True)
+    count = np.bincount(place, use[inner], minlength=len(keys))
+    every = list(zip(t.before[inner].tolist(), t.word[inner].tolist(), t.cls[inner].tolist()))
+    assert count[place].tolist() == [plain_pairs[b, w] for b, w, _ in every]
+    by = Counter()
+    for (b, w), n in plain_pairs.items():
+        by[b, next(k for x, y, k in every if (x, y) == (b, w))] += n
+    assert by == contexts
+
+
+def test_pair_counts_cross_blocks(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK_BYTES", 300)
+    rows = document_rows(["red catzz blue dogzz"] * 60 + texts(20))
+    parts = L._blocks(spark.createDataFrame(rows, DOCUMENT).repartition(4), 64)
+    for buckets in (64, 256):
+        answers = L._pair_totals(parts, buckets).collect()
+        n = sum(zlib.crc32(str(d).encode()) % 7 != 2 for d in range(60))
+        assert max(L._unpack(bytes(r.a), np.uint32).max() for r in answers) >= n
+        assert all((L._unpack(bytes(r.a), np.uint32) <= L._unpack(bytes(r.b), np.uint32)).all() for r in answers)
