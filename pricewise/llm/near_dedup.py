@@ -20,8 +20,11 @@ are confirmed on the full sets and their components found. Nodes whose classes
 are all connected are settled. The rest: small nodes (``LEAF``) are compared
 exhaustively across components, larger ones branch on. Pairs are dropped early
 only if 128 two-bit sketch positions put them far below the threshold (more than
-four standard deviations). Every link returned was confirmed on full sets with
-integer arithmetic (100 * intersection >= 75 * union).
+four standard deviations). Members of a node with a pair left get their full sets,
+and of all links between them those of a spanning forest are kept: members and
+links, not pairs, are rows, so a node of many copies alike to each other stays
+linear. Every link returned was confirmed on full sets with integer arithmetic
+(100 * intersection >= 75 * union).
 
 Result of ``near_dedup``: the class of every document and the smallest ``doc_id``
 it is connected to.
@@ -36,7 +39,8 @@ hashes, so two different ones collide with probability 2**-64 a pair.
 
 Scale: the corpus is read for sketches and once more, filtered, for the full sets
 of candidates. Tree levels move (path, class) rows of 16 bytes, and only those of
-nodes with several components survive a level. Nothing grows on the driver.
+nodes with several components survive a level. A task holds the sets of one key's
+members, at most about ``2 * LEAF``. Nothing grows on the driver.
 """
 
 from __future__ import annotations
@@ -48,15 +52,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, read_table, shingles, slices, utf8, words, written
+from .common import _ranges, mix64, read_table, shingles, slices, utf8, words, written
 from .components import components
 
 T = 128                          # minwise tokens of a class
 THRESHOLD = 75                   # per cent
 TARGET_RECALL, DESIGN_DEPTH = 0.9999, 3
-LEAF = 384                       # classes of a node compared exhaustively
+LEAF = 1024                      # classes of a node compared exhaustively
 MAX_DEPTH = 24                   # beyond this, remaining nodes are compared in blocks
 MIN_SAME = 86                    # of 128 two-bit positions; 104 expected at the threshold (s.d. 4.4)
+PAIRS, COLUMNS = 1 << 20, 4096   # pairs and shingles compared at a time in a task
 BROADCAST_IDS = 1_000_000        # candidate ids sent to every task (8 MB); more are shuffled
 
 _U = np.uint64
@@ -152,14 +157,16 @@ def _bits(classes: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- tree steps
 
-def _children(rows: DataFrame) -> DataFrame:
-    """(path, node, tokens) -> (path, node) in the chosen children."""
+def _children(rows: DataFrame, levels: int = 1) -> DataFrame:
+    """(path, node, tokens) -> (path, node) in the chosen children, some levels down."""
     i = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(T)).cast("int")
     j = F.pmod(i + 1 + F.pmod(F.xxhash64("path", F.lit(2)), F.lit(T - 1)), F.lit(T)).cast("int")
     two = F.pmod(F.xxhash64("path", F.lit(3)), F.lit(3)) == 0
     child = lambda p: F.xxhash64("path", p, F.get("tokens", p))          # noqa: E731
-    return rows.select(F.explode(F.when(two, F.array(child(i), child(j))).otherwise(F.array(child(i)))).alias("path"),
-                       "node")
+    for _ in range(levels):
+        rows = rows.select(F.explode(F.when(two, F.array(child(i), child(j))).otherwise(F.array(child(i)))).alias("path"),
+                           "node", "tokens")
+    return rows.select("path", "node")
 
 
 def _similar(a: str, b: str):
@@ -182,9 +189,8 @@ def _plausible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
             .filter(_similar("_a", "_b")).select("a", "b"))
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """The stored pairs whose full sets reach the threshold."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _full_sets(nodes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, set``: the shingles of the classes ``nodes``, read from their texts."""
     ids = written(nodes.join(reps, "node").select(F.col("_rep").alias("_id"), "node"))
     src = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
     # Classes without an id are read again from the rows without one, by their sets.
@@ -211,7 +217,12 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
                 take = pa.array(mine, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(2).take(take), whole.take(take)], names=["node", "set"])
     sets = src.select("_id", "_text", "node").mapInArrow(run, "node long, set array<bigint>")
-    sets = written(sets.dropDuplicates(["node"]))
+    return written(sets.dropDuplicates(["node"]))
+
+
+def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """The stored pairs whose full sets reach the threshold."""
+    sets = _full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), reps, docs)
     side = lambda k: sets.select(F.col("node").alias(k), F.col("set").alias(f"_{k}"))      # noqa: E731
     both = F.size(F.array_intersect("_a", "_b"))
     return (pairs.join(side("a"), "a").join(side("b"), "b")
@@ -227,21 +238,145 @@ def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return written(rows.join(stats, "path"))
 
 
+_MEMBER = "path long, i int, j int, block int, node long, label long"
+_KEY = ("path", "i", "j")
+
+
+def _whole_nodes(batches):
+    """Tables of rows sorted by ``_KEY``, cut so that no key's rows are parted."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        starts = _starts(table)
+        if len(starts) == 1:
+            held = table
+            continue
+        yield table.slice(0, int(starts[-1])).combine_chunks()
+        held = table.slice(int(starts[-1])).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    """First rows of the keys."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for c in _KEY:
+        v = table.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def _pairs_of(table: pa.Table):
+    """Row numbers (a, b) of the pairs to compare within each key, a million or so at
+    a time: of different components and, if the key is of two blocks, one of each."""
+    n = table.num_rows
+    starts = _starts(table)
+    end = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+    count = end - np.arange(n) - 1
+    label, block = table.column("label").to_numpy(), table.column("block").to_numpy()
+    two = table.column("i").to_numpy() != table.column("j").to_numpy()
+    total = np.cumsum(count)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+        a = np.repeat(np.arange(at, to), count[at:to])
+        b = _ranges(np.arange(at, to) + 1, count[at:to])
+        keep = (label[a] != label[b]) & (~two[a] | (block[a] != block[b]))
+        yield a[keep], b[keep]
+        at = to
+
+
 def _across(rows: DataFrame, bits: DataFrame) -> DataFrame:
-    """Plausible pairs of different components within each path of ``rows``. The nodes
-    of a path are dealt into blocks of about ``LEAF`` and every pair of blocks is a
-    key of its own, so no path lands in one task."""
+    """The members of each path of ``rows`` that have a plausible partner of another
+    component there (``_MEMBER``). The nodes of a path are dealt into blocks of about
+    ``LEAF`` and every pair of blocks is a key of its own, so no path lands in one task."""
     blocks = F.ceil(F.col("size") / LEAF).cast("int")
     full = (rows.select("path", "node", "label", blocks.alias("_n"))
-            .withColumn("_block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("_n")).cast("int")).join(bits, "node"))
-    values = ("node", "label", "n", "s0", "s1", "s2", "s3")
-    a = full.withColumn("_j", F.explode(F.sequence("_block", F.col("_n") - 1))) \
-        .select("path", F.col("_block").alias("_i"), "_j", *[F.col(c).alias("_a" + c) for c in values])
-    b = full.withColumn("_i", F.explode(F.sequence(F.lit(0), "_block"))) \
-        .select("path", "_i", F.col("_block").alias("_j"), *[F.col(c).alias("_b" + c) for c in values])
-    once = (F.col("_i") < F.col("_j")) | (F.col("_anode") < F.col("_bnode"))
-    return (a.join(b, ["path", "_i", "_j"]).filter(once & (F.col("_alabel") != F.col("_blabel")) & _similar("_a", "_b"))
-            .select(F.least("_anode", "_bnode").alias("a"), F.greatest("_anode", "_bnode").alias("b")).distinct())
+            .withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("_n")).cast("int")).join(bits, "node"))
+    other = full.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    full = other.select("path", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "node",
+                        "label", "n", "s0", "s1", "s2", "s3")
+
+    def run(batches):
+        for table in _whole_nodes(batches):
+            n, *s = (table.column(c).to_numpy() for c in ("n", "s0", "s1", "s2", "s3"))
+            met = np.zeros(table.num_rows, bool)
+            for a, b in _pairs_of(table):
+                fits = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * THRESHOLD
+                a, b = a[fits], b[fits]
+                differ = np.zeros(len(a), np.int64)
+                for v in s:
+                    x = (v[a] ^ v[b]).view(_U)
+                    differ += np.bitwise_count((x | (x >> _U(1))) & _U(0x5555555555555555))
+                near = 128 - differ >= MIN_SAME
+                met[a[near]] = met[b[near]] = True
+            yield from table.filter(pa.array(met)).select(["path", "i", "j", "block", "node", "label"]).to_batches()
+    return full.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(run, _MEMBER)
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all pairs of some sets."""
+    n = len(sets)
+    of = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = df > 1                                  # others add to no intersection
+    place = np.cumsum(shared) - 1
+    use = shared[column]
+    of, column = of[use], place[column[use]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    out = np.zeros((n, n), np.int64)
+    for low in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (low, low + COLUMNS))
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[of[a:b], column[a:b] - low] = 1
+        out += (part @ part.T).astype(np.int64)       # below 2**24: exact
+    return out
+
+
+def _joined(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` on full sets that join the components within each key of
+    ``members``: a spanning forest, so a node gives fewer links than it has classes
+    however many of them are alike."""
+    rows = members.join(sets, "node").select(*_KEY, "block", "node", "label", "set")
+
+    def run(batches):
+        for table in _whole_nodes(batches):
+            node, label, block = (table.column(c).to_numpy() for c in ("node", "label", "block"))
+            i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
+            lists = table.column("set").combine_chunks()
+            off, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            links: list[tuple[int, int]] = []
+            starts = _starts(table)
+            for at, to in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
+                both = _overlaps([values[off[r]: off[r + 1]] for r in range(at, to)])
+                size = np.diff(off[at: to + 1]).astype(np.int64)
+                linked = both * 100 >= (size[:, None] + size[None, :] - both) * THRESHOLD
+                linked &= label[at:to, None] != label[None, at:to]
+                if i[at] != j[at]:
+                    linked &= block[at:to, None] != block[None, at:to]
+                top = {x: x for x in label[at:to].tolist()}
+
+                def root(x, top=top):
+                    while top[x] != x:
+                        top[x] = x = top[top[x]]
+                    return x
+                for a, b in np.argwhere(np.triu(linked)).tolist():
+                    x, y = root(int(label[at + a])), root(int(label[at + b]))
+                    if x != y:
+                        top[x] = y
+                        u, v = int(node[at + a]), int(node[at + b])
+                        links.append((min(u, v), max(u, v)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(run, "a long, b long").distinct()
+
+
+def _of(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The tokens of the classes in ``rows``; while these are few, the others cross no shuffle."""
+    nodes = written(rows.select("node").distinct())
+    return tokens.join(F.broadcast(nodes), "node", "left_semi") if nodes.count() <= BROADCAST_IDS else tokens
 
 
 def _searched(roots, tokens: DataFrame, bits: DataFrame, reps: DataFrame, docs: DataFrame,
@@ -269,14 +404,16 @@ def _searched(roots, tokens: DataFrame, bits: DataFrame, reps: DataFrame, docs:
         found.append(written(_across(small, bits)))
         if last or rows.filter(F.col("size") > LEAF).isEmpty():
             break
-        rows = _children(rows.filter(F.col("size") > LEAF).select("path", "node").join(tokens, "node"))
-        depth += 1
-    more = found[0]
+        large = rows.filter(F.col("size") > LEAF).select("path", "node")
+        levels = min(depth, MAX_DEPTH - depth)       # 1, 2, 4, ...: few rounds for a very large node
+        rows = _children(large.join(_of(large, tokens), "node"), levels)
+        depth += levels
+    members = found[0]
     for f in found[1:]:
-        more = more.unionByName(f)
-    more = written(more.distinct())
-    if not more.isEmpty():
-        links = links.unionByName(written(_confirmed(more, reps, docs)))
+        members = members.unionByName(f)
+    if not members.isEmpty():
+        sets = _full_sets(members.select("node").distinct(), reps, docs)
+        links = links.unionByName(written(_joined(members, sets)))
         labels = components(links)
     return links, labels, depth
 

@@ -139,3 +139,18 @@ def test_stage_keeps_one_row_a_component(spark):
     assert (1, long + " end") in got and (5, "something else entirely here now") in got
     assert (None, "only here x y z") in got and (None, None) in got
     assert sum(t in ("m " + long[::-1], "n " + long[::-1]) for _, t in got) == 1
+
+
+def test_a_node_of_many_copies_gives_members_and_a_forest(spark):
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1:]) for i in range(40)]       # every pair is linked
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = N._sketch(docs).cache()
+    rows = known.selectExpr("0L AS path", "node", "node AS label", "40L AS size")
+    members = N._across(rows, N._bits(known)).cache()
+    assert members.count() == 40                          # not 780 pairs
+    reps = known.selectExpr("node", "_id AS _rep")
+    links = N._joined(members, N._full_sets(members.select("node"), reps, docs)).collect()
+    assert len(links) == 39 and len({x for r in links for x in (r.a, r.b)}) == 40
+    sets = [np.array([1, 2, 3], np.int64), np.array([2, 3, 9], np.int64), np.array([7], np.int64)]
+    assert N._overlaps(sets)[~np.eye(3, dtype=bool)].tolist() == [2, 0, 2, 0, 0, 0]
