@@ -78,6 +78,18 @@ def _unpack(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
+def _pack_steps(x: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers: their steps, byte plane by byte plane."""
+    import zstandard
+    planes = np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpack_steps(b: bytes) -> np.ndarray:
+    planes = _unpack(b, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 # ---------------------------------------------------------------- tokens
 
 class Tokens:
@@ -329,7 +341,7 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
             out.write_table(table)
         yield _record([(_TEXT, block, -1, sink.getvalue().to_pybytes(), None, None)])
         cuts = _bucket_edges(distinct, buckets)
-        yield _record([(_COUNT, block, i, _pack(distinct[a:b]), _pack(count[a:b]), _pack(cls[a:b]))
+        yield _record([(_COUNT, block, i, _pack_steps(distinct[a:b]), _pack(count[a:b]), _pack(cls[a:b]))
                        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
         tables = np.concatenate([t.tables(use), t.spellings(use)]).reshape(BUCKETS, -1)
         yield _record([(_TABLE, block, i, _pack(tables[i].astype(np.int32)), None, None) for i in range(BUCKETS)])
@@ -362,7 +374,7 @@ def _totals(parts: DataFrame) -> DataFrame:
                              np.bincount(k[counts == 1], minlength=256).astype(np.int64).tobytes(),
                              np.array([seen.sum()], np.int64).tobytes()))
                 for block, own in asked:
-                    rows.append((_ANSWER, block, bucket, _pack(counts[np.searchsorted(hashes, _unpack(own, np.uint64))]),
+                    rows.append((_ANSWER, block, bucket, _pack(counts[np.searchsorted(hashes, _unpack_steps(own))]),
                                  None, None))
             if table is not None:
                 rows.append((_TABLE, -1, bucket, _pack(table), None, None))
@@ -375,7 +387,7 @@ def _totals(parts: DataFrame) -> DataFrame:
                     bucket, hashes, waiting, table, asked = b, None, [], None, []
                 if kind == _COUNT:
                     asked.append((block, x))
-                    waiting.append((_unpack(x, np.uint64), _unpack(y, np.uint32).astype(np.int64), _unpack(z, np.uint8)))
+                    waiting.append((_unpack_steps(x), _unpack(y, np.uint32).astype(np.int64), _unpack(z, np.uint8)))
                     if sum(len(v[0]) for v in waiting) > 1_000_000:
                         merge()
                 else:
@@ -405,10 +417,13 @@ def _pair_totals(parts: DataFrame, buckets: int) -> DataFrame:
                 docs_of = pa.ipc.open_stream(x).read_all().combine_chunks()
                 t = Tokens(*utf8(docs_of.column(1)))
                 train = ~docs_of.column(2).combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
-                keys, place = np.unique(t.pairs(), return_inverse=True)
-                count = np.bincount(place, train[t.doc][~t.is_end], minlength=len(keys)).astype(np.uint32)
+                # The lowest bit marks training texts, so one sort gives keys and counts.
+                marked = np.sort((t.pairs() << np.uint64(1)) | train[t.doc][~t.is_end].astype(np.uint64))
+                keys = marked >> np.uint64(1)
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)])
+                keys, count = keys[first], np.add.reduceat(marked & np.uint64(1), first).astype(np.uint32)
                 cuts = _key_edges(keys, buckets)
-                rows = [(_PAIR, block, i, _pack(np.diff(keys[a:b], prepend=np.uint64(0))), _pack(count[a:b]), None)
+                rows = [(_PAIR, block, i, _pack_steps(keys[a:b]), _pack(count[a:b]), None)
                         for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
                 if rows:
                     yield _record(rows)
@@ -433,7 +448,7 @@ def _pair_totals(parts: DataFrame, buckets: int) -> DataFrame:
                     if held:
                         yield from merged(bucket, held)
                     bucket, held = b, []
-                held.append((block, np.cumsum(_unpack(x, np.uint64), dtype=np.uint64), _unpack(y, np.uint32)))
+                held.append((block, _unpack_steps(x), _unpack(y, np.uint32)))
         if held:
             yield from merged(bucket, held)
     texts = parts.filter(F.col("kind") == _TEXT).select("block", "a")

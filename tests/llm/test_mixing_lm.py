@@ -173,3 +173,10 @@ def test_pair_counts_cross_blocks(spark, monkeypatch):
         n = sum(zlib.crc32(str(d).encode()) % 7 != 2 for d in range(60))
         assert max(L._unpack(bytes(r.a), np.uint32).max() for r in answers) >= n
         assert all((L._unpack(bytes(r.a), np.uint32) <= L._unpack(bytes(r.b), np.uint32)).all() for r in answers)
+
+
+def test_steps_take_less_room_than_the_numbers():
+    x = np.unique(np.random.default_rng(4).integers(0, 2 ** 63, 20_000, np.uint64) * np.uint64(2))
+    for part in (x, x[:1], x[:0], np.array([2 ** 64 - 1], np.uint64)):
+        assert L._unpack_steps(L._pack_steps(part)).tolist() == part.tolist()
+    assert len(L._pack_steps(x)) < 0.9 * len(L._pack(x))
