@@ -61,7 +61,7 @@ TARGET_RECALL, DESIGN_DEPTH = 0.9999, 3
 LEAF = 1024                      # classes of a node compared exhaustively
 MAX_DEPTH = 24                   # beyond this, remaining nodes are compared in blocks
 MIN_SAME = 86                    # of 128 two-bit positions; 104 expected at the threshold (s.d. 4.4)
-PAIRS, COLUMNS = 1 << 20, 4096   # pairs and shingles compared at a time in a task
+PAIRS, CELLS = 1 << 18, 1 << 21  # pairs, and members x shingles, compared at a time in a task
 BROADCAST_IDS = 1_000_000        # candidate ids sent to every task (8 MB); more are shuffled
 
 _U = np.uint64
@@ -327,15 +327,35 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     of, column = of[use], place[column[use]]
     order = np.argsort(column, kind="stable")
     of, column = of[order], column[order]
-    out = np.zeros((n, n), np.int64)
-    for low in range(0, int(shared.sum()), COLUMNS):
-        a, b = np.searchsorted(column, (low, low + COLUMNS))
-        part = np.zeros((n, COLUMNS), np.float32)
+    out = np.zeros((n, n), np.float32)                # counts below 2**24: exact
+    columns = max(64, CELLS // n)
+    for low in range(0, int(shared.sum()), columns):
+        a, b = np.searchsorted(column, (low, low + columns))
+        part = np.zeros((n, columns), np.float32)
         part[of[a:b], column[a:b] - low] = 1
-        out += (part @ part.T).astype(np.int64)       # below 2**24: exact
+        out += part @ part.T
     return out
 
 
+def _forest(both: np.ndarray, size: np.ndarray, label: np.ndarray, block: np.ndarray | None) -> list[tuple[int, int]]:
+    """Pairs of members of a key (``block``: of two blocks, one of each) whose overlap
+    ``both`` reaches the threshold: a spanning forest of the components ``label``."""
+    at = np.unique(label, return_inverse=True)[1]
+    links = []
+    for a in range(len(size) - 1):
+        over = both[a, a + 1:].astype(np.int64)
+        linked = over * 100 >= (size[a] + size[a + 1:] - over) * THRESHOLD
+        linked &= at[a + 1:] != at[a]
+        if block is not None:
+            linked &= block[a + 1:] != block[a]
+        b = a + 1 + np.flatnonzero(linked)
+        if len(b):
+            joined, first = np.unique(at[b], return_index=True)
+            links += [(a, x) for x in b[first].tolist()]
+            at[np.isin(at, joined)] = at[a]
+    return links
+
+
 def _joined(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links ``a, b`` on full sets that join the components within each key of
     ``members``: a spanning forest, so a node gives fewer links than it has classes
@@ -353,22 +373,9 @@ def _joined(members: DataFrame, sets: DataFrame) -> DataFrame:
             for at, to in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
                 both = _overlaps([values[off[r]: off[r + 1]] for r in range(at, to)])
                 size = np.diff(off[at: to + 1]).astype(np.int64)
-                linked = both * 100 >= (size[:, None] + size[None, :] - both) * THRESHOLD
-                linked &= label[at:to, None] != label[None, at:to]
-                if i[at] != j[at]:
-                    linked &= block[at:to, None] != block[None, at:to]
-                top = {x: x for x in label[at:to].tolist()}
-
-                def root(x, top=top):
-                    while top[x] != x:
-                        top[x] = x = top[top[x]]
-                    return x
-                for a, b in np.argwhere(np.triu(linked)).tolist():
-                    x, y = root(int(label[at + a])), root(int(label[at + b]))
-                    if x != y:
-                        top[x] = y
-                        u, v = int(node[at + a]), int(node[at + b])
-                        links.append((min(u, v), max(u, v)))
+                for a, b in _forest(both, size, label[at:to], block[at:to] if i[at] != j[at] else None):
+                    u, v = int(node[at + a]), int(node[at + b])
+                    links.append((min(u, v), max(u, v)))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
     return rows.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(run, "a long, b long").distinct()
 

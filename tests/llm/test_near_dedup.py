@@ -154,3 +154,42 @@ def test_a_node_of_many_copies_gives_members_and_a_forest(spark):
     assert len(links) == 39 and len({x for r in links for x in (r.a, r.b)}) == 40
     sets = [np.array([1, 2, 3], np.int64), np.array([2, 3, 9], np.int64), np.array([7], np.int64)]
     assert N._overlaps(sets)[~np.eye(3, dtype=bool)].tolist() == [2, 0, 2, 0, 0, 0]
+
+
+def test_a_node_of_many_copies_is_joined_in_little_memory():
+    import tracemalloc
+    rng = np.random.default_rng(4)
+    n = 1500
+    base = np.arange(400)
+    sets = [np.unique(np.concatenate([np.delete(base, rng.integers(0, 400, 2)), [1000 + i]])) for i in range(n)]
+    size = np.array([len(x) for x in sets], np.int64)
+    label = rng.integers(0, 900, n)
+    tracemalloc.start()
+    links = N._forest(N._overlaps(sets), size, label, None)           # every pair is linked: a million
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    assert len(links) == len(set(label.tolist())) - 1
+
+
+def test_the_forest_joins_what_all_pairs_join():
+    rng = random.Random(9)
+    for two in (False, True):
+        for _ in range(60):
+            n = rng.randint(1, 14)
+            sets = [np.array(sorted(rng.sample(range(8), rng.randint(5, 8)))) for _ in range(n)]
+            label = np.array([rng.randint(0, n) * 10 for _ in range(n)])
+            block = np.array([rng.randint(0, 1) for _ in range(n)])
+            size = np.array([len(x) for x in sets], np.int64)
+            pairs = [(a, b) for a in range(n) for b in range(a + 1, n) if label[a] != label[b] and (not two or block[a] != block[b])
+                     and 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b]))]
+
+            def parted(links):
+                of = {int(x): {int(x)} for x in label}
+                for a, b in links:
+                    whole = of[int(label[a])] | of[int(label[b])]
+                    of.update((x, whole) for x in whole)
+                return {frozenset(x) for x in of.values()}
+            got = N._forest(N._overlaps(sets), size, label, block if two else None)
+            assert set(got) <= set(pairs) and parted(got) == parted(pairs)
+            assert len(got) == len(set(label.tolist())) - len(parted(pairs))
