@@ -238,17 +238,17 @@ def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return written(rows.join(stats, "path"))
 
 
-_MEMBER = "path long, i int, j int, block int, node long, label long"
+_MEMBER = "cluster long, block int, node long, label long"
 _KEY = ("path", "i", "j")
 
 
-def _whole_nodes(batches):
-    """Tables of rows sorted by ``_KEY``, cut so that no key's rows are parted."""
+def _whole_nodes(batches, key=_KEY):
+    """Tables of rows sorted by ``key``, cut so that no key's rows are parted."""
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = table if held is None else pa.concat_tables([held, table])
-        starts = _starts(table)
+        starts = _starts(table, key)
         if len(starts) == 1:
             held = table
             continue
@@ -258,11 +258,11 @@ def _whole_nodes(batches):
         yield held.combine_chunks()
 
 
-def _starts(table: pa.Table) -> np.ndarray:
+def _starts(table: pa.Table, key=_KEY) -> np.ndarray:
     """First rows of the keys."""
     new = np.zeros(table.num_rows, bool)
     new[:1] = True
-    for c in _KEY:
+    for c in key:
         v = table.column(c).to_numpy()
         new[1:] |= v[1:] != v[:-1]
     return np.flatnonzero(new)
@@ -288,10 +288,41 @@ def _pairs_of(table: pa.Table):
         at = to
 
 
+def _merged(at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The components ``at`` of rows, each named by one of its rows, after joining rows ``a`` and ``b``."""
+    while True:
+        x, y = at[a], at[b]
+        apart = x != y
+        if not apart.any():
+            return at
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        to = np.arange(len(at))
+        np.minimum.at(to, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := to[to], to):
+            to = up
+        at = to[at]
+
+
+def _clusters(at: np.ndarray, met: np.ndarray, node: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows ``met`` and a name for the component of each. The name is made of the
+    component's nodes (and blocks), so it is the same wherever the same nodes meet."""
+    rows = np.flatnonzero(met)
+    rows = rows[np.lexsort((node[rows], at[rows]))]
+    names = np.empty(len(rows), np.int64)
+    cuts = np.flatnonzero(np.diff(at[rows])) + 1
+    for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)] if len(rows) else []):
+        own = rows[low:high]
+        raw = np.stack([node[own], block[own]]).tobytes()
+        names[low:high] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+    return rows, names
+
+
 def _across(rows: DataFrame, bits: DataFrame) -> DataFrame:
     """The members of each path of ``rows`` that have a plausible partner of another
-    component there (``_MEMBER``). The nodes of a path are dealt into blocks of about
-    ``LEAF`` and every pair of blocks is a key of its own, so no path lands in one task."""
+    component there (``_MEMBER``), in clusters joined by such pairs. Two classes meet in
+    most of the trees, so clusters of the same members come from several paths and stay
+    once. The nodes of a path over ``LEAF`` (only where branching ends) are dealt into
+    blocks and every pair of blocks is a key of its own, so no path lands in one task."""
     blocks = F.ceil(F.col("size") / LEAF).cast("int")
     full = (rows.select("path", "node", "label", blocks.alias("_n"))
             .withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("_n")).cast("int")).join(bits, "node"))
@@ -302,7 +333,7 @@ def _across(rows: DataFrame, bits: DataFrame) -> DataFrame:
     def run(batches):
         for table in _whole_nodes(batches):
             n, *s = (table.column(c).to_numpy() for c in ("n", "s0", "s1", "s2", "s3"))
-            met = np.zeros(table.num_rows, bool)
+            met, at = np.zeros(table.num_rows, bool), np.arange(table.num_rows)
             for a, b in _pairs_of(table):
                 fits = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * THRESHOLD
                 a, b = a[fits], b[fits]
@@ -312,8 +343,15 @@ def _across(rows: DataFrame, bits: DataFrame) -> DataFrame:
                     differ += np.bitwise_count((x | (x >> _U(1))) & _U(0x5555555555555555))
                 near = 128 - differ >= MIN_SAME
                 met[a[near]] = met[b[near]] = True
-            yield from table.filter(pa.array(met)).select(["path", "i", "j", "block", "node", "label"]).to_batches()
-    return full.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(run, _MEMBER)
+                at = _merged(at, a[near], b[near])
+            i, j, block, node, label = (table.column(c).to_numpy() for c in ("i", "j", "block", "node", "label"))
+            block = np.where(i == j, -1, block).astype(np.int64)     # -1: all pairs, else one of each block
+            own, names = _clusters(at, met, node, block)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names), pa.array(block[own].astype(np.int32)), pa.array(node[own]), pa.array(label[own])],
+                names=["cluster", "block", "node", "label"])
+    found = full.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(run, _MEMBER)
+    return found.dropDuplicates(["cluster", "node"])
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -357,27 +395,26 @@ def _forest(both: np.ndarray, size: np.ndarray, label: np.ndarray, block: np.nda
 
 
 def _joined(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links ``a, b`` on full sets that join the components within each key of
-    ``members``: a spanning forest, so a node gives fewer links than it has classes
+    """Links ``a, b`` on full sets that join the components within each cluster of
+    ``members``: a spanning forest, so a cluster gives fewer links than it has classes
     however many of them are alike."""
-    rows = members.join(sets, "node").select(*_KEY, "block", "node", "label", "set")
+    rows = members.join(sets, "node").select("cluster", "block", "node", "label", "set")
 
     def run(batches):
-        for table in _whole_nodes(batches):
+        for table in _whole_nodes(batches, ("cluster",)):
             node, label, block = (table.column(c).to_numpy() for c in ("node", "label", "block"))
-            i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
             lists = table.column("set").combine_chunks()
             off, values = lists.offsets.to_numpy(), lists.values.to_numpy()
             links: list[tuple[int, int]] = []
-            starts = _starts(table)
+            starts = _starts(table, ("cluster",))
             for at, to in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
                 both = _overlaps([values[off[r]: off[r + 1]] for r in range(at, to)])
                 size = np.diff(off[at: to + 1]).astype(np.int64)
-                for a, b in _forest(both, size, label[at:to], block[at:to] if i[at] != j[at] else None):
+                for a, b in _forest(both, size, label[at:to], block[at:to] if block[at] >= 0 else None):
                     u, v = int(node[at + a]), int(node[at + b])
                     links.append((min(u, v), max(u, v)))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
-    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(run, "a long, b long").distinct()
 
 
 def _of(rows: DataFrame, tokens: DataFrame) -> DataFrame:

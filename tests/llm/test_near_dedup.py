@@ -193,3 +193,36 @@ def test_the_forest_joins_what_all_pairs_join():
             got = N._forest(N._overlaps(sets), size, label, block if two else None)
             assert set(got) <= set(pairs) and parted(got) == parted(pairs)
             assert len(got) == len(set(label.tolist())) - len(parted(pairs))
+
+
+def test_members_that_meet_in_many_paths_are_compared_once(spark):
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1:]) for i in range(12)]       # every pair is linked
+    texts += [" ".join(f"y{i}" for i in range(k, k + 60)) for k in (0, 1)]            # a cluster of its own
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = N._sketch(docs).cache()
+    rows = known.selectExpr("explode(sequence(0L, 9L)) AS path", "node", "node AS label", "14L AS size")
+    members = N._across(rows, N._bits(known)).cache()
+    assert members.count() == 14                          # not 140
+    assert sorted(r["count"] for r in members.groupBy("cluster").count().collect()) == [2, 12]
+    sets = N._full_sets(members.select("node").distinct(), known.selectExpr("node", "_id AS _rep"), docs)
+    assert N._joined(members, sets).count() == 12
+
+
+def test_clusters_are_the_components_of_their_pairs():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        n = int(rng.integers(1, 30))
+        pairs = rng.integers(0, n, (int(rng.integers(0, 40)), 2))
+        at = np.arange(n)
+        for part in np.array_split(pairs, 3):
+            at = N._merged(at, part[:, 0], part[:, 1])
+        least = list(range(n))
+        for _ in range(n):
+            for a, b in pairs.tolist():
+                least[a] = least[b] = min(least[a], least[b])
+        assert at.tolist() == least
+        met, node = np.isin(np.arange(n), pairs), rng.permutation(n).astype(np.int64)
+        own, names = N._clusters(at, met, node, np.full(n, -1, np.int64))
+        assert sorted(own.tolist()) == np.flatnonzero(met).tolist()
+        assert len(set(zip(at[own].tolist(), names.tolist()))) == len(set(names.tolist())) == len(set(at[own].tolist()))
