@@ -39,8 +39,10 @@ hashes, so two different ones collide with probability 2**-64 a pair.
 
 Scale: the corpus is read for sketches and once more, filtered, for the full sets
 of candidates. Tree levels move (path, class) rows of 16 bytes, and only those of
-nodes with several components survive a level. A task holds the sets of one key's
-members, at most about ``2 * LEAF``. Nothing grows on the driver.
+nodes with several components survive a level. Members of a node that are joined by
+plausible pairs form a cluster; one that several paths show is compared once. A task
+holds the sets of one cluster's members, at most about ``LEAF``, and their overlaps
+(4 * LEAF**2 bytes). Nothing grows on the driver.
 """
 
 from __future__ import annotations
@@ -58,7 +60,7 @@ from .components import components
 T = 128                          # minwise tokens of a class
 THRESHOLD = 75                   # per cent
 TARGET_RECALL, DESIGN_DEPTH = 0.9999, 3
-LEAF = 1024                      # classes of a node compared exhaustively
+LEAF = 4096                      # classes of a node compared exhaustively
 MAX_DEPTH = 24                   # beyond this, remaining nodes are compared in blocks
 MIN_SAME = 86                    # of 128 two-bit positions; 104 expected at the threshold (s.d. 4.4)
 PAIRS, CELLS = 1 << 18, 1 << 21  # pairs, and members x shingles, compared at a time in a task
@@ -323,7 +325,7 @@ def _across(rows: DataFrame, bits: DataFrame) -> DataFrame:
     most of the trees, so clusters of the same members come from several paths and stay
     once. The nodes of a path over ``LEAF`` (only where branching ends) are dealt into
     blocks and every pair of blocks is a key of its own, so no path lands in one task."""
-    blocks = F.ceil(F.col("size") / LEAF).cast("int")
+    blocks = F.when(F.col("size") <= LEAF, 1).otherwise(F.ceil(F.col("size") * 2 / LEAF)).cast("int")
     full = (rows.select("path", "node", "label", blocks.alias("_n"))
             .withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("_n")).cast("int")).join(bits, "node"))
     other = full.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
@@ -371,7 +373,8 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
         a, b = np.searchsorted(column, (low, low + columns))
         part = np.zeros((n, columns), np.float32)
         part[of[a:b], column[a:b] - low] = 1
-        out += part @ part.T
+        for r in range(0, n, 512):
+            out[r: r + 512] += part[r: r + 512] @ part.T
     return out
 
 

@@ -226,3 +226,22 @@ def test_clusters_are_the_components_of_their_pairs():
         own, names = N._clusters(at, met, node, np.full(n, -1, np.int64))
         assert sorted(own.tolist()) == np.flatnonzero(met).tolist()
         assert len(set(zip(at[own].tolist(), names.tolist()))) == len(set(names.tolist())) == len(set(at[own].tolist()))
+
+
+def test_a_group_of_near_copies_is_compared_without_branching(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(40)]
+    texts = []
+    for i in range(1500):                                 # alike, most pairs below 0.75
+        t = base[:]
+        for k in rng.sample(range(40), rng.choice([1, 1, 2])):
+            t[k] = f"x{i}"
+        texts.append(" ".join(t))
+    seen = []
+    across = N._across
+    monkeypatch.setattr(N, "_across", lambda rows, bits: (seen.append(rows.agg({"size": "max"}).first()[0] or 0),
+                                                          across(rows, bits))[1])
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_dedup(df).collect()} == groups(rows)
+    assert len(seen) == 1
