@@ -122,9 +122,10 @@ def compare_false_positives(scored_a: DataFrame, scored_b: DataFrame, keys: list
                             label: str = "revision", pred: str = "y_pred") -> DataFrame:
     """The groups among the ``k`` with most false positives of either model, with both
     models' counts (0 if a model has none there) and their difference."""
+    # One count of each table, stored: a row per group
     counts = [s.filter((F.col(label) == 0) & (F.col(pred) == 1)).groupBy(*keys).agg(F.count(F.lit(1)).alias(f"count_{m}"))
-              for m, s in (("a", scored_a), ("b", scored_b))]
-    top = [false_positive_breakdown(s, keys, k, label, pred).select(*keys) for s in (scored_a, scored_b)]
+              .checkpoint(eager=True) for m, s in (("a", scored_a), ("b", scored_b))]
+    top = [c.orderBy(F.desc(c.columns[-1]), *[F.desc(x) for x in keys]).limit(k).select(*keys) for c in counts]
     both = top[0].unionByName(top[1]).distinct()
     for c in counts:
         both = both.join(c, keys, "left")

@@ -134,3 +134,47 @@ def test_fold_safe_search_refits_features_per_fold(spark):
                             fold_features=fold_features)
     assert len(res.scores) == 6 and res.C in (0.01, 1.0) and res.feature_model is not None
     assert sorted(seen)[:3] == sorted(seen[:3]) and all(s < n for s in seen[:3]) and seen[-1] == n
+
+
+def test_searches_over_two_feature_sets_share_passes(spark, monkeypatch):
+    """Two searches at once give what each gives alone, in the passes of the slower one; a missing
+    feature keeps a row out of the search that uses it only."""
+    import random
+    import numpy as np
+    from pyspark.sql import functions as F
+    from pricewise.operators import features as FT
+    from pricewise.operators import model as M
+    rng = random.Random(8)
+    rows = []
+    for i in range(240):
+        a, b = rng.random(), rng.gauss(0, 1)
+        rows.append((i, f"{rng.random():.9f}", a, b, None if i % 17 == 0 else a * b, int(a + 0.5 * a * b + 0.3 * rng.gauss(0, 1) > 0.4)))
+    df = spark.createDataFrame(rows, "id long, k string, a double, b double, ab double, y int")
+    sets, Cs = [["a", "b"], ["a", "b", "ab"]], [0.01, 1.0, 100.0]
+    passes, sums = [], M._sums
+    monkeypatch.setattr(M, "_sums", lambda *a: (passes.append(1), sums(*a))[1])
+    got = M.fit_logistic_cvs(df, sets, "y", "k", Cs, 3)
+    shared = len(passes)
+    folded = M.stratified_folds(FT.balanced_weights(df, "y"), "y", "k", 3)
+    grid, alone = [(C, f) for C in Cs for f in range(3)], 0
+    for features, res in zip(sets, got):
+        passes.clear()
+        data = M.solver_table(folded, features, "y", "weight", "fold")
+        models = M.newton(data, len(features), grid)
+        f1 = dict(zip(grid, M._held_out_f1(data, models, grid)))
+        assert [s for _, _, s in res.scores] == [f1[g] for g in grid]
+        want = M.newton(data, len(features), [(res.C, None)])[0]
+        assert np.allclose([*res.model.coefficients, res.model.intercept], [*want.coefficients, want.intercept], atol=1e-8)
+        alone += len(passes)
+        one = M.fit_logistic_cv(df, features, "y", "k", Cs, 3)
+        assert one.C == res.C and np.allclose(one.model.coefficients, res.model.coefficients, atol=1e-8)
+    assert shared < 0.7 * alone
+
+
+def test_both_models_read_the_tables_once(spark, monkeypatch):
+    from pricewise.plans import catalog_revisions as CR
+    from pricewise.plans.catalog import QUERIES
+    made, dataset = [], CR.model_dataset
+    monkeypatch.setattr(CR, "model_dataset", lambda *a: (made.append(1), dataset(*a))[1])
+    assert QUERIES["i25_false_positives_of_both_models"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(made) == 1
